@@ -141,7 +141,8 @@ def _train(model, ids, y, rows, enough, rng, epochs):
         value -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
 
     balance = {1.0: 0.5 / max(1e-6, (y[rows] == 1).mean()), 0.0: 0.5 / max(1e-6, (y[rows] == 0).mean())}
-    for _ in range(epochs):
+    batches = max(1, len(rows) // 64)
+    for _ in range(max(epochs, -(-500 // batches))):  # 500 steps at least
         for part in np.array_split(rng.permutation(rows), max(1, len(rows) // 64)):
             step += 1
             offsets = np.concatenate([[0], np.cumsum([len(ids[i]) for i in part])]).astype(np.int64)
