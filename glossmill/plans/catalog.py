@@ -2,13 +2,552 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window
+
+from ..functions import text as X
+from ..functions import words as W
+from ..operators import chinese, english, grammar, lexicon, policy, projection, quality
+from ..sources import pages as P
+from ..streaming import revisions
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
 
+def register(name: str, sql: str | None = None):
+    def keep(fn):
+        QUERIES[name] = fn
+        if sql:
+            ORACLE_SQL[name] = sql
+        return fn
+
+    return keep
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
     return dict(ORACLE_SQL)
+
+
+def table(spark, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+
+
+def corpus(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Tokens of documents and the lexicon derived from them."""
+    tokens = X.tokens(documents(spark, sf_dir).where("doc_id is not null"))
+    return tokens, lexicon.corpus_lexicon(tokens)
+
+
+# Parts that many of the SQL twins share.
+TOKEN_SQL = r"[A-Za-z]+(?:[''’][A-Za-z]+)*"
+TOKENS_SQL = f"""
+tk0 AS (SELECT doc_id, lang, regexp_extract_all(coalesce(text, ''), '{TOKEN_SQL}') AS f, regexp_split_to_array(coalesce(text, ''), '{TOKEN_SQL}') AS g FROM documents),
+tk1 AS (SELECT doc_id, lang, unnest(range(len(f)))::INT AS ix, unnest(f) AS surface, unnest(g[1:len(f)]) AS gap FROM tk0),
+tk2 AS (SELECT *, (sum(length(gap) + length(surface)) OVER (PARTITION BY doc_id ORDER BY ix))::INT AS "end" FROM tk1),
+tk AS (SELECT doc_id, lang, ix, surface, lower(surface) AS norm, "end" - length(surface)::INT AS start, "end",
+  ix > 0 AND regexp_matches(gap, '[.!?]') AS boundary, ix > 0 AND regexp_matches(gap, '[.!?。！？]') AS clause_break FROM tk2)"""
+LEXICON_SQL = """
+ty AS (SELECT norm, count(*) AS n FROM tk GROUP BY norm),
+lx0 AS (SELECT norm, ['n', 'v', 'adj', 'n'][length(norm) % 4 + 1] AS p1 FROM ty WHERE n >= 5),
+lx AS (SELECT norm, p1 AS pos, 0.8::DOUBLE AS confidence FROM lx0
+  UNION ALL SELECT norm, CASE WHEN p1 = 'n' THEN 'v' ELSE 'n' END, 0.6::DOUBLE FROM lx0 WHERE length(norm) % 3 = 0)"""
+RANK = {pos: i + 1 for i, pos in enumerate(W.POS_ORDER)}
+RANK_SQL = "CASE pos " + " ".join(f"WHEN '{p}' THEN {i}" for p, i in RANK.items()) + " END"
+PRIORITY_SQL = "CASE pos " + " ".join(f"WHEN '{p}' THEN {v}" for p, v in W.PRIORITY.items()) + " END"
+BEST_SQL = f"""
+be AS (SELECT norm, pos, confidence FROM lx QUALIFY row_number() OVER (PARTITION BY norm ORDER BY confidence DESC, {RANK_SQL}) = 1),
+bt AS (SELECT tk.*, coalesce(be.pos, 'x') AS pos, coalesce(be.confidence, 0.15)::DOUBLE AS confidence FROM tk LEFT JOIN be USING (norm))"""
+FNV_SQL = "list_reduce(list_transform(string_split({0}, ''), lambda c: unicode(c)::BIGINT), lambda h, c: (xor(h, c) * 16777619) & 4294967295, 2166136261::BIGINT)"
+
+
+def best_tokens(spark, sf_dir: str) -> DataFrame:
+    tokens, lex = corpus(spark, sf_dir)
+    return english.best_direct(tokens, lex)
+
+
+@register("flagship_marked_tokens", f"""WITH {TOKENS_SQL}, {LEXICON_SQL}, {BEST_SQL},
+m0 AS (SELECT doc_id, lang, pos, ix, start, norm, pos <> 'x' AS ok, {PRIORITY_SQL} AS priority FROM bt),
+m1 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, ok ORDER BY priority DESC, {FNV_SQL.format("norm || '|' || start")}, start) AS r, count(*) OVER (PARTITION BY doc_id, ok) AS n FROM m0)
+SELECT lang, pos, count(*) AS n_tokens, CAST(sum(CASE WHEN ok AND r <= ceil(n * 0.5::DOUBLE) THEN 1 ELSE 0 END) AS BIGINT) AS n_marked FROM m1 GROUP BY lang, pos""")
+def flagship(spark, sf_dir):
+    """Tokens, best lexicon sense, half of each document's known tokens marked; counts by language and part of speech."""
+    best = best_tokens(spark, sf_dir).withColumn("priority", X.priority(F.col("pos")))
+    marked = projection.mark(best, ["doc_id"], F.lit(0.5), F.col("pos") != "x")
+    langs = documents(spark, sf_dir).select("doc_id", "lang")
+    by_doc = marked.groupBy("doc_id", "pos").agg(F.count("*").alias("n_tokens"), F.sum(F.col("marked").cast("long")).alias("n_marked"))
+    return by_doc.join(langs, "doc_id").groupBy("lang", "pos").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_marked").alias("n_marked"))
+
+
+@register("tokens", f'WITH {TOKENS_SQL} SELECT doc_id, ix, surface, norm, start, "end", boundary, clause_break FROM tk')
+def tokens(spark, sf_dir):
+    return X.tokens(documents(spark, sf_dir))
+
+
+@register("language_detect", """SELECT doc_id,
+  CASE WHEN e AND z THEN 'both' WHEN z THEN 'zh' WHEN e THEN 'en' ELSE 'unknown' END AS by_counts,
+  CASE WHEN e AND z THEN 'both' WHEN z THEN 'zh-Hant' WHEN e THEN 'en' ELSE 'unknown' END AS by_sentence,
+  CASE WHEN e AND z THEN 'both' WHEN z THEN 'zh-Hant' WHEN e THEN 'en' ELSE 'both' END AS by_engine, n_estimate
+FROM (SELECT doc_id, regexp_matches(t, '[A-Za-z]') AS e, regexp_matches(t, '\\p{Han}') AS z,
+  (len(regexp_extract_all(t, '\\p{Han}')) + len(regexp_extract_all(t, '[A-Za-z]+(?:[''’-][A-Za-z]+)*')))::INT AS n_estimate
+  FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN translate(text, 'abcdefgh', '學習語言中文我在') ELSE text END AS t FROM documents))""")
+def language_detect(spark, sf_dir):
+    """All three variants and the token estimate, on documents of which a third is turned into Han text."""
+    docs = documents(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.translate("text", "abcdefgh", "學習語言中文我在")).otherwise(F.col("text")))
+    t = F.col("text")
+    return docs.select("doc_id", X.detect_language(t, "counts").alias("by_counts"), X.detect_language(t, "sentence").alias("by_sentence"), X.detect_language(t, "engine").alias("by_engine"), X.estimate_tokens(t).alias("n_estimate"))
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(str(v) if isinstance(v, float) else "'" + str(v).replace("'", "''") + "'" for v in r) + ")" for r in rows)
+
+
+_SUFFIX_SQL = lambda i: " ".join(f"WHEN regexp_matches(norm, '{p}') AND length(norm) >= {n} THEN {(repr(t), c)[i]}" for p, n, t, c in W.SUFFIX_RULES)
+
+
+@register("rule_pos", f"""WITH {TOKENS_SQL}, wl AS (SELECT * FROM (VALUES {_values(W.rule_words())}) v(norm, p, c)),
+r AS (SELECT norm, CASE WHEN p IS NOT NULL THEN p {_SUFFIX_SQL(0)} ELSE 'x' END AS pos, (CASE WHEN p IS NOT NULL THEN c {_SUFFIX_SQL(1)} ELSE 0.25 END)::DOUBLE AS confidence FROM tk LEFT JOIN wl USING (norm))
+SELECT norm, pos, confidence, CAST(CASE WHEN pos IN ('n', 'v', 'adj', 'adv') THEN 0.85 WHEN pos <> 'x' THEN 0.65 ELSE 0.2 END AS DOUBLE) AS priority, count(*) AS n FROM r GROUP BY ALL""")
+def rule_pos(spark, sf_dir):
+    """Rule-based part of speech of every type, with the older priorities."""
+    types = X.tokens(documents(spark, sf_dir)).groupBy("norm").agg(F.count("*").alias("n"))
+    listed = spark.createDataFrame(W.rule_words(), "norm string, p string, c double")
+    pos, sure = X.rule_pos(F.col("norm"), F.col("p"), F.col("c"))
+    out = types.join(F.broadcast(listed), "norm", "left").select("norm", pos.alias("pos"), sure.alias("confidence"), "n")
+    return out.withColumn("priority", X.priority(F.col("pos"), 1))
+
+
+@register("legacy_tokens", f"""WITH {TOKENS_SQL}, wl AS (SELECT * FROM (VALUES {_values(W.rule_words())}) v(norm, p, c))
+SELECT doc_id, 'token:en:' || start || ':' || "end" AS token_id, coalesce(p, 'x') AS pos, 'simplified-pos' AS evidence, NULL::VARCHAR AS lemma FROM tk LEFT JOIN wl USING (norm) WHERE ix < 50""")
+def legacy_tokens(spark, sf_dir):
+    """Listed parts of speech as tokens of the current contract: one piece of evidence, no lemma; 50 a document are the feature."""
+    listed = spark.createDataFrame(W.rule_words(), "norm string, p string, c double")
+    met = X.tokens(documents(spark, sf_dir)).where("ix < 50").join(F.broadcast(listed), "norm", "left")
+    return met.select("doc_id", F.concat_ws(":", F.lit("token:en"), F.col("start").cast("string"), F.col("end").cast("string")).alias("token_id"), F.coalesce("p", F.lit("x")).alias("pos"), F.lit("simplified-pos").alias("evidence"), F.lit(None).cast("string").alias("lemma"))
+
+
+@register("corpus_lexicon", f"WITH {TOKENS_SQL}, {LEXICON_SQL} SELECT norm, pos, confidence, 'a form of ' || norm AS gloss, 'corpus:' || norm || ':' || pos AS lexical_ref FROM lx")
+def corpus_lexicon(spark, sf_dir):
+    return corpus(spark, sf_dir)[1].select("norm", "pos", "confidence", "gloss", "lexical_ref")
+
+
+_BUCKET_SQL = FNV_SQL.format("norm") + " % 64"
+
+
+@register("lexicon_statistics", f"WITH {TOKENS_SQL}, {LEXICON_SQL} SELECT left(norm, 1) AS first_char, max(length(norm))::INT AS max_len, count(*) AS n_rows, count(DISTINCT norm) AS n_surfaces FROM lx GROUP BY 1")
+def lexicon_statistics(spark, sf_dir):
+    lex = corpus(spark, sf_dir)[1]
+    return lex.groupBy(F.substring("norm", 1, 1).alias("first_char")).agg(F.max(F.char_length("norm")).alias("max_len"), F.count("*").alias("n_rows"), F.countDistinct("norm").alias("n_surfaces"))
+
+
+@register("lexicon_buckets", f"WITH {TOKENS_SQL}, {LEXICON_SQL} SELECT norm, pos, ({_BUCKET_SQL})::INT AS bucket FROM lx")
+def lexicon_buckets(spark, sf_dir):
+    """Bucket of every row; forms with a typographic apostrophe hash by bytes and are left to the tests."""
+    return lexicon.bucketed(corpus(spark, sf_dir)[1], 64).select("norm", "pos", "bucket")
+
+
+@register("lexicon_manifest", f"""WITH {TOKENS_SQL}, {LEXICON_SQL},
+h AS (SELECT ({_BUCKET_SQL})::INT AS bucket, sha256(norm || chr(31) || norm || chr(31) || pos || chr(31) || confidence || chr(31) || 'corpus:' || norm || ':' || pos) AS h FROM lx)
+SELECT 'en' AS locale, bucket, count(*) AS n_rows, sha256(string_agg(h, '' ORDER BY h)) AS content_hash FROM h GROUP BY bucket""")
+def lexicon_manifest(spark, sf_dir):
+    return lexicon.manifest(corpus(spark, sf_dir)[1], 64)
+
+
+@register("gloss_dictionary", f"""WITH {TOKENS_SQL}, {LEXICON_SQL}, g AS (SELECT DISTINCT 'a form of ' || norm AS gloss FROM lx),
+b AS (SELECT gloss, {FNV_SQL.format("gloss")} % 16 AS bucket FROM g) SELECT gloss, bucket, (row_number() OVER (PARTITION BY bucket ORDER BY gloss) - 1)::INT AS gloss_ix FROM b""")
+def gloss_dictionary(spark, sf_dir):
+    return lexicon.gloss_dictionary(corpus(spark, sf_dir)[1])
+
+
+@register("direct_lookup", f"WITH {TOKENS_SQL}, {LEXICON_SQL} SELECT doc_id, pos, count(*) AS n_senses, count(DISTINCT norm) AS n_types FROM tk JOIN lx USING (norm) GROUP BY doc_id, pos")
+def direct_lookup(spark, sf_dir):
+    """All senses of every token: looked up by type, joined back, counted by document and part of speech."""
+    found, lex = corpus(spark, sf_dir)
+    senses = english.direct(found.select("norm").distinct(), lex).select("norm", "pos")
+    per_doc = found.groupBy("doc_id", "norm").agg(F.count("*").alias("n"))
+    return per_doc.join(senses, "norm").groupBy("doc_id", "pos").agg(F.sum("n").alias("n_senses"), F.countDistinct("norm").alias("n_types"))
+
+
+@register("best_sense", f"WITH {TOKENS_SQL}, {LEXICON_SQL}, {BEST_SQL} SELECT doc_id, ix, norm, pos, confidence FROM bt")
+def best_sense(spark, sf_dir):
+    return best_tokens(spark, sf_dir).select("doc_id", "ix", "norm", "pos", "confidence")
+
+
+_CUTS = [
+    ("length(norm) > 3 AND norm LIKE '%ies'", "left(norm, length(norm) - 3) || 'y'", "s"), ("length(norm) > 3 AND regexp_matches(norm, '(ches|shes|sses|xes|zes|oes)$')", "left(norm, length(norm) - 2)", "s"),
+    ("length(norm) > 2 AND norm LIKE '%s' AND norm NOT LIKE '%ss'", "left(norm, length(norm) - 1)", "s"), ("length(norm) > 4 AND norm LIKE '%ing'", "left(norm, length(norm) - 3)", "ing"),
+    ("length(norm) > 4 AND norm LIKE '%ing'", "left(norm, length(norm) - 3) || 'e'", "ing"), ("length(norm) > 4 AND norm LIKE '%ing' AND left(right(norm, 5), 1) = left(right(norm, 4), 1) AND regexp_matches(left(right(norm, 5), 1), '[b-df-hj-np-tv-z]')", "left(norm, length(norm) - 4)", "ing"),
+    ("length(norm) > 3 AND norm LIKE '%ed'", "left(norm, length(norm) - 2)", "ed"), ("length(norm) > 3 AND norm LIKE '%ed'", "left(norm, length(norm) - 2) || 'e'", "ed"),
+    ("length(norm) > 3 AND norm LIKE '%ed' AND left(right(norm, 4), 1) = left(right(norm, 3), 1) AND regexp_matches(left(right(norm, 4), 1), '[b-df-hj-np-tv-z]')", "left(norm, length(norm) - 3)", "ed"),
+    ("length(norm) > 3 AND norm LIKE '%ied'", "left(norm, length(norm) - 3) || 'y'", "ed"), ("length(norm) > 4 AND norm LIKE '%est'", "left(norm, length(norm) - 3)", "est"), ("length(norm) > 3 AND norm LIKE '%er'", "left(norm, length(norm) - 2)", "er"),
+]
+CANDIDATES_SQL = "ca0 AS (" + " UNION ".join(f"SELECT norm, {lemma} AS lemma, '{kind}' AS kind FROM ty WHERE {test}" for test, lemma, kind in _CUTS) + "), ca AS (SELECT * FROM ca0 WHERE lemma <> norm AND regexp_full_match(lemma, '[a-z]+(?:[''’][a-z]+)*'))"
+
+
+@register("inflection_candidates", f"WITH {TOKENS_SQL}, {LEXICON_SQL}, {CANDIDATES_SQL} SELECT norm, lemma, kind FROM ca")
+def inflection_candidates(spark, sf_dir):
+    types = X.tokens(documents(spark, sf_dir)).select("norm").distinct()
+    return types.select("norm", F.explode(X.inflection_candidates(F.col("norm"))).alias("c")).select("norm", "c.lemma", "c.kind")
+
+
+@register("regular_lookup", f"""WITH {TOKENS_SQL}, {LEXICON_SQL}, {CANDIDATES_SQL}
+SELECT ca.norm, ca.lemma, pos, least(confidence, 0.9)::DOUBLE AS confidence, CASE WHEN kind = 's' AND pos = 'n' THEN 'plural' WHEN kind = 's' THEN 'third-person-singular' WHEN kind = 'ing' THEN 'present-participle' WHEN kind = 'ed' THEN 'past-or-participle' WHEN kind = 'er' THEN 'comparative' ELSE 'superlative' END AS form
+FROM ca JOIN lx ON lx.norm = ca.lemma WHERE (kind = 's' AND pos IN ('n', 'v')) OR (kind IN ('ing', 'ed') AND pos = 'v') OR (kind IN ('er', 'est') AND pos = 'adj')""")
+def regular_lookup(spark, sf_dir):
+    found, lex = corpus(spark, sf_dir)
+    return english.regular(found.select("norm").distinct(), lex).select("norm", "lemma", "pos", "confidence", F.col("morph.form").alias("form"))
+
+
+def _derived_exceptions(lex: DataFrame) -> DataFrame:
+    """Exceptions by rule: a type of seven letters inflects the type that its last six spell, as a noun."""
+    return lex.where(F.char_length("norm") == 7).select(F.col("norm").alias("inflected"), F.substring("norm", 2, 6).alias("lemma"), F.lit("n").alias("pos")).distinct()
+
+
+@register("irregular_lookup", f"""WITH {TOKENS_SQL}, {LEXICON_SQL}, ex AS (SELECT DISTINCT norm AS inflected, substr(norm, 2, 6) AS lemma FROM lx WHERE length(norm) = 7)
+SELECT inflected AS norm, ex.lemma, pos, least(confidence, 0.96)::DOUBLE AS confidence FROM ex JOIN lx ON lx.norm = ex.lemma WHERE pos = 'n'""")
+def irregular_lookup(spark, sf_dir):
+    found, lex = corpus(spark, sf_dir)
+    return english.irregular(found.select("norm").distinct(), lex, _derived_exceptions(lex)).select("norm", "lemma", "pos", "confidence")
+
+
+@register("registry_precedence", f"""WITH {TOKENS_SQL}, {LEXICON_SQL}, u AS (SELECT norm, pos, 0 AS o FROM lx WHERE length(norm) % 2 = 0 UNION ALL SELECT norm, pos, 1 FROM lx WHERE length(norm) % 5 < 3 UNION ALL SELECT norm, 'x', 2 FROM ty)
+SELECT norm, pos, o AS index_order FROM u QUALIFY o = min(o) OVER (PARTITION BY norm)""")
+def registry_precedence(spark, sf_dir):
+    found, lex = corpus(spark, sf_dir)
+    rows = lex.select("norm", "locale", "pos")
+    types = found.select("norm").distinct().select("norm", F.lit("en").alias("locale"), F.lit("x").alias("pos"))
+    picked = lexicon.registry([rows.where(F.char_length("norm") % 2 == 0), rows.where(F.char_length("norm") % 5 < 3)], types)
+    return picked.select("norm", "pos", "index_order")
+
+
+@register("provider_chain", f"""WITH {TOKENS_SQL}, {LEXICON_SQL}, wl AS (SELECT * FROM (VALUES {_values(W.rule_words())}) v(norm, pos, c))
+SELECT tier, pos, count(*) AS n FROM (SELECT 'verified' AS tier, pos FROM lx UNION ALL SELECT 'fallback', pos FROM wl WHERE norm IN (SELECT norm FROM ty)) GROUP BY ALL""")
+def provider_chain(spark, sf_dir):
+    found, lex = corpus(spark, sf_dir)
+    listed = spark.createDataFrame(W.rule_words(), "norm string, pos string, confidence double")
+    chain = lexicon.provider_chain(lex, listed.join(found.select("norm").distinct(), "norm", "left_semi"))
+    return chain.groupBy("tier", "pos").agg(F.count("*").alias("n"))
+
+
+@register("normalize_rows", f"""WITH {TOKENS_SQL}, {LEXICON_SQL} SELECT norm, CASE WHEN length(norm) = 4 THEN 'x' ELSE pos END AS pos, least(greatest(confidence * 2 - 0.5, 0), 1)::DOUBLE AS confidence FROM lx""")
+def normalize_rows(spark, sf_dir):
+    lex = corpus(spark, sf_dir)[1].withColumn("confidence", F.col("confidence") * 2 - 0.5).withColumn("pos", F.when(F.char_length("norm") != 4, F.col("pos")).otherwise("other")).drop("lemma").withColumn("lemma", F.lit(None).cast("string"))
+    return lexicon.normalize_rows(lex).select("norm", "pos", "confidence")
+
+
+@register("duplicate_records", """WITH l AS (SELECT doc_id AS line_number, text, lang FROM documents)
+SELECT line_number, first_line, 'DUPLICATE_RECORD' AS code FROM (SELECT *, min(line_number) OVER (PARTITION BY text, lang) AS first_line FROM l) WHERE line_number > first_line""")
+def duplicate_records(spark, sf_dir):
+    rows = documents(spark, sf_dir).select(F.col("doc_id").alias("line_number"), F.sha2("text", 256).alias("digest"), "lang")
+    return lexicon.duplicate_records(rows, ["digest", "lang"]).select("line_number", "first_line", "code")
+
+
+@register("merge_entries", "SELECT 'e' || (n_chars % 997) AS entry_id, count(*) AS n_rows, min(text || lang) <> max(text || lang) AS conflict FROM documents GROUP BY 1")
+def merge_entries(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return lexicon.merge_entries(docs.select(F.concat(F.lit("e"), (F.col("n_chars") % 997).cast("string")).alias("entry_id"), "text", "lang"))
+
+
+_T, _C = ".!?。！？", "\"''’”)\\]}〉》」』】〕〗〙〛"
+SENTENCE_SQL = f"[^\r\n{_T}]*[{_T}]+[{_C}]*|[^\r\n{_T}]+"
+
+
+@register("sentences", f"""WITH s0 AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{SENTENCE_SQL}') AS f, regexp_split_to_array(coalesce(text, ''), '{SENTENCE_SQL}') AS g FROM documents),
+s1 AS (SELECT doc_id, unnest(range(len(f))) AS i, unnest(f) AS s, unnest(g[1:len(f)]) AS gap FROM s0),
+s2 AS (SELECT doc_id, i, s, trim(s) AS t, sum(length(gap) + length(s)) OVER (PARTITION BY doc_id ORDER BY i) - length(s) + length(s) - length(ltrim(s)) AS start FROM s1),
+s3 AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS sent_ix, t AS text, start::INT AS start, (start + length(t))::INT AS "end" FROM s2 WHERE t <> '')
+SELECT *, CASE WHEN regexp_matches(text, '[A-Za-z]') THEN CASE WHEN regexp_matches(text, '\\p{{Han}}') THEN 'both' ELSE 'en' END WHEN regexp_matches(text, '\\p{{Han}}') THEN 'zh-Hant' ELSE 'unknown' END AS language FROM s3""")
+def sentences(spark, sf_dir):
+    return X.sentences(documents(spark, sf_dir))
+
+
+@register("grammar_roles", f"""WITH {TOKENS_SQL}, {LEXICON_SQL}, {BEST_SQL},
+c0 AS (SELECT *, sum(clause_break::INT) OVER (PARTITION BY doc_id ORDER BY ix) AS clause FROM bt),
+c1 AS (SELECT *, min(ix) FILTER (pos = 'v') OVER w AS verb, min(ix) OVER w AS c_start FROM c0 WINDOW w AS (PARTITION BY doc_id, clause)),
+c2 AS (SELECT *, max(CASE WHEN pos IN ('n', 'pron') AND ix < verb THEN ix END) OVER w AS subj, min(CASE WHEN pos IN ('n', 'pron') AND ix > verb THEN ix END) OVER w AS obj FROM c1 WINDOW w AS (PARTITION BY doc_id, clause)),
+c3 AS (SELECT *, max(CASE WHEN ix < subj AND pos NOT IN ('det', 'adj') THEN ix END) OVER (PARTITION BY doc_id, clause) AS other FROM c2)
+SELECT doc_id, ix, CASE WHEN ix = subj THEN 'subject' WHEN ix = verb THEN 'predicate' WHEN ix = obj THEN 'object' END AS grammar_role,
+  CASE WHEN ix BETWEEN coalesce(other + 1, c_start) AND subj THEN 'noun-phrase' WHEN ix BETWEEN verb AND coalesce(obj, verb) THEN 'verb-phrase' END AS chunk FROM c3""")
+def grammar_roles(spark, sf_dir):
+    """Roles and chunks over best senses; the derived lexicon has no auxiliaries, so tenses are left to english_analysis."""
+    best = best_tokens(spark, sf_dir).withColumn("language", F.lit("en")).withColumn("morphology", F.lit(None).cast(english.NO_FEATURES))
+    return grammar.roles(grammar.clauses(best)).select("doc_id", "ix", "grammar_role", "chunk")
+
+
+@register("english_analysis")
+def english_analysis(spark, sf_dir):
+    """The whole English analysis with authored, rule and corpus rows: counts by part of speech, role and tense."""
+    found, lex = corpus(spark, sf_dir)
+    every = lexicon.provider_chain(lex, lexicon.seed_lexicon(spark).where("tier = 'fallback'"))
+    options = english.analyses(found.select("norm").distinct(), every, lexicon.seed_morphology(spark))
+    enriched = grammar.roles(grammar.clauses(english.choose(found, options)))
+    return enriched.groupBy("doc_id", "pos").agg(F.count("*").alias("n"), F.count("grammar_role").alias("n_roles"), F.count("tense_aspect").alias("n_tenses"), F.count("lemma").alias("n_lemmas"))
+
+
+@register("marks", f"""WITH {TOKENS_SQL}, {LEXICON_SQL}, {BEST_SQL}, pr AS (SELECT * FROM (VALUES ('dense', 0.65::DOUBLE, 0.0::DOUBLE), ('sure', 0.35::DOUBLE, 0.7::DOUBLE)) v(profile_id, density, min_confidence)),
+m0 AS (SELECT profile_id, density, doc_id, ix, start, norm, pos <> 'x' AND confidence >= min_confidence AS ok, {PRIORITY_SQL} AS priority FROM bt CROSS JOIN pr),
+m1 AS (SELECT *, row_number() OVER (PARTITION BY profile_id, doc_id, ok ORDER BY priority DESC, {FNV_SQL.format("norm || '|' || start")}, start) AS r, count(*) OVER (PARTITION BY profile_id, doc_id, ok) AS n FROM m0)
+SELECT profile_id, doc_id, count(*) AS n_marked, CAST(sum(ix) AS BIGINT) AS ix_sum FROM m1 WHERE ok AND r <= ceil(n * density) GROUP BY ALL""")
+def marks(spark, sf_dir):
+    """Marks for two profiles of density and least confidence, summed by document."""
+    profiles = projection.normalize_profiles(spark.createDataFrame([("dense", "auto", 0.65, 0.0, "top"), ("sure", "auto", 0.35, 0.7, "top")], "profile_id string, language_mode string, density double, min_confidence double, label_position string").withColumns({c: F.lit(None).cast("boolean") for c in projection.CHANNELS}))
+    none = F.lit(None).cast("string")
+    rows = best_tokens(spark, sf_dir).withColumns({"language": F.lit("en"), "priority": X.priority(F.col("pos")), "grammar_role": none, "tense_aspect": none, "chunk_type": none, "morphology": F.lit(None).cast(english.NO_FEATURES)})
+    shown = projection.decorations(rows, profiles)
+    marked = projection.mark(shown, ["profile_id", "doc_id"], F.col("density"), F.col("eligible")).where("marked")
+    return marked.groupBy("profile_id", "doc_id").agg(F.count("*").alias("n_marked"), F.sum(F.col("ix").cast("long")).alias("ix_sum"))
+
+
+@register("segments", f"""WITH {TOKENS_SQL}, n AS (SELECT doc_id, count(*) FILTER (norm IN ('the', 'of', 'and', 'de')) AS n_marked_runs FROM tk GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_marked_runs, 0)::BIGINT AS n_marked_runs, sha256(coalesce(text, '')) AS text_sha256 FROM documents d LEFT JOIN n USING (doc_id)""")
+def segments(spark, sf_dir):
+    """Common words as marked runs; the runs of a document joined again spell its text."""
+    docs = documents(spark, sf_dir)
+    spans = X.tokens(docs).where(F.col("norm").isin("the", "of", "and", "de"))
+    runs = projection.segments(docs, spans)
+    joined = runs.groupBy("doc_id").agg(F.sum(F.col("marked").cast("long")).alias("n_marked_runs"), F.sort_array(F.collect_list(F.struct("seg_ix", "text"))).alias("s"))
+    both = docs.select("doc_id").join(joined, "doc_id", "left")
+    return both.select("doc_id", F.coalesce("n_marked_runs", F.lit(0).cast("long")).alias("n_marked_runs"), F.sha2(F.encode(F.coalesce(F.array_join(F.transform("s", lambda x: x["text"]), ""), F.lit("")), "UTF-8"), 256).alias("text_sha256"))
+
+
+@register("fragments", """WITH r0 AS (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS t FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+r AS (SELECT doc_id, i, sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(t) - 1 AS s, sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS e FROM r0),
+p AS (SELECT doc_id, unnest(range(0, greatest(length(coalesce(text, '')), 1), 100)) AS a FROM documents)
+SELECT r.doc_id AS page_id, a AS span_id, 'n' || i AS node_id, (greatest(a, s) - s)::INT AS node_start, (least(a + 150, e) - s)::INT AS node_end FROM r JOIN p ON r.doc_id = p.doc_id AND a < e AND a + 150 > s WHERE e > s""")
+def fragments(spark, sf_dir):
+    """Spans of 150 characters at every 100th against a document's lines as text runs."""
+    docs = documents(spark, sf_dir).withColumn("text", F.coalesce("text", F.lit("")))
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "t")).select("doc_id", "i", F.char_length("t").alias("n"))
+    stop = F.sum(F.col("n") + 1).over(Window.partitionBy("doc_id").orderBy("i")) - 1
+    runs = lines.withColumn("end", stop.cast("int")).withColumn("start", F.col("end") - F.col("n")).select(F.col("doc_id").alias("page_id"), F.concat(F.lit("n"), F.col("i").cast("string")).alias("node_id"), "start", "end")
+    spans = docs.select(F.col("doc_id").alias("page_id"), F.explode(F.sequence(F.lit(0), F.greatest(F.char_length("text") - 1, F.lit(0)), F.lit(100))).alias("start"))
+    spans = spans.select("page_id", F.col("start").cast("long").alias("span_id"), "start", (F.col("start") + 150).alias("end"))
+    return projection.fragments(runs, spans).select("page_id", "span_id", "node_id", F.col("node_start").cast("int").alias("node_start"), F.col("node_end").cast("int").alias("node_end"))
+
+
+@register("chunk_packing")
+def chunk_packing(spark, sf_dir):
+    """Sentences of each document packed under the four budgets."""
+    rows = X.sentences(documents(spark, sf_dir)).select("doc_id", "sent_ix", F.lit(1).cast("long").alias("n_nodes"), F.char_length("text").cast("long").alias("n_chars"), X.estimate_tokens(F.col("text")).cast("long").alias("n_tokens"))
+    return projection.pack_chunks(rows, "doc_id").groupBy("doc_id", "chunk").agg(F.count("*").alias("n_sentences"), F.min("sent_ix").alias("first_sentence"))
+
+
+@register("over_budget", """SELECT doc_id, array_to_string(list_filter([CASE WHEN n_chars > 2000 THEN 'n_chars' END, CASE WHEN n_lines > 8 THEN 'n_lines' END], lambda x: x IS NOT NULL), ',') AS exceeded
+FROM (SELECT doc_id, n_chars, len(string_split(coalesce(text, ''), chr(10))) AS n_lines FROM documents)""")
+def over_budget(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n_lines"))
+    return projection.over_budget(docs, {"n_chars": 2000, "n_lines": 8}).select("doc_id", F.array_join("exceeded", ",").alias("exceeded"))
+
+
+HAN_FROM, HAN_TO = "abcdefghijklmnopqrstuvwxyz", "學習語言中文我在正的是有一人這大來上國個到說們為子和"
+
+
+def han_documents(spark, sf_dir):
+    """Documents turned into Han text, letter by letter, and a lexicon of their frequent two- and three-letter runs."""
+    docs = documents(spark, sf_dir).select("doc_id", F.translate("text", HAN_FROM, HAN_TO).alias("text"))
+    runs = docs.select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[\p{IsHan}]+"), F.lit(0))).alias("run"))
+    def of_length(n):
+        cuts = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("run") - n + 1, F.lit(1))), lambda i: F.substring(F.col("run"), i, F.lit(n)))
+        return F.when(F.char_length("run") >= n, cuts).otherwise(F.array().cast("array<string>"))
+
+    grams = runs.where(F.char_length("run") > 1).select(F.explode(F.concat(of_length(2), of_length(3))).alias("norm"))
+    words = grams.groupBy("norm").agg(F.count("*").alias("n")).where("n >= 200")
+    lex = words.select("norm", F.lit("zh-Hant").alias("locale"), F.col("norm").alias("lemma"), F.when(F.char_length("norm") == 2, "n").otherwise("v").alias("pos"), F.lit(0.8).alias("confidence"), F.lit(None).cast("string").alias("gloss"), F.concat(F.lit("han:"), "norm").alias("lexical_ref"), F.lit("verified").alias("tier"))
+    return docs, lex
+
+
+@register("longest_matches", f"""WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{HAN_FROM}', '{HAN_TO}') AS t FROM documents),
+r AS (SELECT unnest(regexp_extract_all(t, '[\\p{{Han}}]+')) AS run FROM d),
+g AS (SELECT substr(run, i, 2) AS norm FROM (SELECT run, unnest(range(1, length(run))) AS i FROM r) UNION ALL SELECT substr(run, i, 3) FROM (SELECT run, unnest(range(1, length(run) - 1)) AS i FROM r)),
+w AS (SELECT norm FROM g GROUP BY norm HAVING count(*) >= 200),
+p AS (SELECT doc_id, unnest(range(length(t)))::INT AS start, t FROM d),
+s AS (SELECT doc_id, start, substr(t, start + 1, 2) AS a, substr(t, start + 1, 3) AS b, length(t) AS n FROM p WHERE regexp_matches(substr(t, start + 1, 1), '\\p{{Han}}'))
+SELECT doc_id, len, count(*) AS n, sum(start)::BIGINT AS start_sum FROM (
+  SELECT doc_id, start, CASE WHEN start + 3 <= n AND b IN (SELECT norm FROM w) THEN 3 WHEN start + 2 <= n AND a IN (SELECT norm FROM w) THEN 2 END AS len FROM s) GROUP BY doc_id, len""")
+def longest_matches(spark, sf_dir):
+    docs, lex = han_documents(spark, sf_dir)
+    return chinese.longest_matches(docs, lex).groupBy("doc_id", "len").agg(F.count("*").alias("n"), F.sum(F.col("start").cast("long")).alias("start_sum"))
+
+
+@register("chinese_tokens")
+def chinese_tokens(spark, sf_dir):
+    """Greedy longest-match tokens of the Han documents, counted by document and part of speech."""
+    docs, lex = han_documents(spark, sf_dir)
+    return chinese.tokens(docs, lex).groupBy("doc_id", "pos").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("n_chars"))
+
+
+_HOSTED = "CASE page_id % 7 WHEN 0 THEN 'https://www.chase.com/' WHEN 1 THEN 'https://mail.example.org/a' WHEN 2 THEN 'https://x.test/login?next=1' WHEN 3 THEN 'ftp://files.test/a' WHEN 4 THEN 'https://chase.com.attacker.test/' ELSE url END"
+
+
+@register("url_policy", f"""SELECT page_id, allow, category, reason_code FROM (SELECT page_id, url, page_id % 7 AS k,
+  regexp_matches(lower(url), '[/?#&=_.]login([^a-z0-9-]|$)') AS x FROM pages),
+  LATERAL (SELECT CASE k WHEN 0 THEN false WHEN 1 THEN false WHEN 2 THEN false WHEN 3 THEN false WHEN 4 THEN true ELSE NOT regexp_matches(url, 'example\\.net') END AS allow,
+  CASE k WHEN 0 THEN 'banking' WHEN 1 THEN 'webmail' WHEN 2 THEN 'authentication' WHEN 3 THEN 'unsupported' WHEN 4 THEN 'public' ELSE CASE WHEN regexp_matches(url, 'example\\.net') THEN 'user-denylist' ELSE 'public' END END AS category,
+  CASE k WHEN 0 THEN 'SENSITIVE_URL_CATEGORY' WHEN 1 THEN 'SENSITIVE_URL_CATEGORY' WHEN 2 THEN 'SENSITIVE_URL_CATEGORY' WHEN 3 THEN 'UNSUPPORTED_PROTOCOL' WHEN 4 THEN 'ALLOW' ELSE CASE WHEN regexp_matches(url, 'example\\.net') THEN 'USER_DENYLIST' ELSE 'ALLOW' END END AS reason_code)""")
+def url_policy(spark, sf_dir):
+    """Policy decisions on page addresses, of which five in seven are turned into ones that rules fit; example.net is denied."""
+    urls = table(spark, sf_dir, "pages").select("page_id", F.expr(_HOSTED).alias("url"))
+    return policy.classify(urls, ["example.net"]).select("page_id", "allow", "category", "reason_code")
+
+
+@register("topmost_paths", """WITH p AS (SELECT DISTINCT page_id % 10 AS batch, CASE WHEN page_id % 3 = 0 THEN '/' || split_part(split_part(url, '://', 2), '/', 2) ELSE '/' || array_to_string(string_split(split_part(url, '://', 2), '/')[2:], '/') END AS path FROM pages)
+SELECT batch, path FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.batch = a.batch AND b.path <> a.path AND b.path <> '' AND starts_with(a.path, b.path || '/'))""")
+def topmost_paths(spark, sf_dir):
+    parts = F.split(F.get(F.split("url", "://"), F.lit(1)), "/")
+    short, full = F.coalesce(F.get(parts, F.lit(1)), F.lit("")), F.array_join(F.slice(parts, 2, F.size(parts)), "/")
+    rows = table(spark, sf_dir, "pages").select((F.col("page_id") % 10).alias("batch"), F.concat(F.lit("/"), F.when(F.col("page_id") % 3 == 0, short).otherwise(full)).alias("path"))
+    return policy.topmost(rows)
+
+
+@register("page_runs")
+def page_runs(spark, sf_dir):
+    """Visible text runs of every page with their aggregate offsets."""
+    return P.text_runs(table(spark, sf_dir, "pages"))
+
+
+@register("page_sentences")
+def page_sentences(spark, sf_dir):
+    """Sentences of page texts and the parts of text runs they cover."""
+    runs = P.text_runs(table(spark, sf_dir, "pages"))
+    found = X.sentences(P.page_texts(runs), "page_id").withColumn("span_id", F.col("sent_ix").cast("long"))
+    parts = projection.fragments(runs, found).groupBy("page_id", "span_id").agg(F.count("*").alias("n_fragments"))
+    return found.join(parts, ["page_id", "span_id"]).select("page_id", "sent_ix", "start", "end", "language", "n_fragments")
+
+
+@register("page_signals")
+def page_signals(spark, sf_dir):
+    """Policy decisions with form signals from the pages' own markup."""
+    return policy.classify(P.form_signals(table(spark, sf_dir, "pages"))).select("page_id", "allow", "category", "reason_code", "evidence_kind")
+
+
+@register("line_audit", "WITH l AS (SELECT doc_id, unnest(range(1, len(a) + 1))::INT AS line, unnest(a) AS c FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents)), r AS (SELECT * FROM (VALUES " + _values(quality.AUDIT_RULES) + ") v(code, pattern)) SELECT doc_id, line, code FROM l CROSS JOIN r WHERE regexp_matches(c, pattern)")
+def line_audit(spark, sf_dir):
+    return quality.line_audit(documents(spark, sf_dir))
+
+
+_GOLD = "CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END"
+_GUESS = "CASE WHEN n_chars % 5 = 0 THEN 'bad' WHEN n_chars % 7 = 0 THEN '__missing__' ELSE 'good' END"
+
+
+@register("label_scores", f"""WITH o AS (SELECT {_GOLD} AS expected, {_GUESS} AS actual FROM labels JOIN documents USING (doc_id)),
+s AS (SELECT e.label, count(*) FILTER (o.expected = e.label AND o.actual = e.label) AS tp, count(*) FILTER (o.expected <> e.label AND o.actual = e.label) AS fp, count(*) FILTER (o.expected = e.label AND o.actual <> e.label) AS fn, count(*) FILTER (o.expected = e.label) AS support FROM (SELECT DISTINCT expected AS label FROM o) e CROSS JOIN o GROUP BY e.label),
+p AS (SELECT *, CASE WHEN tp + fp <> 0 THEN tp::DOUBLE / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp + fn <> 0 THEN tp::DOUBLE / (tp + fn) ELSE 0 END AS recall FROM s)
+SELECT *, CASE WHEN precision + recall <> 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM p""")
+def label_scores(spark, sf_dir):
+    met = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    return quality.label_scores(met.select(F.expr(_GOLD).alias("expected"), F.expr(_GUESS).alias("actual")))
+
+
+@register("span_alignment", f"""WITH {TOKENS_SQL}, {LEXICON_SQL}, {BEST_SQL}, g AS (SELECT doc_id, start, "end", pos FROM bt WHERE ix % 3 <> 0), p AS (SELECT doc_id, start, "end", CASE WHEN ix % 11 = 0 THEN 'v' ELSE pos END AS pos FROM bt WHERE ix % 4 <> 0)
+SELECT coalesce(g.pos, '__extra__') AS expected, coalesce(p.pos, '__missing__') AS actual, count(*) AS n FROM g FULL JOIN p USING (doc_id, start, "end") GROUP BY ALL""")
+def span_alignment(spark, sf_dir):
+    best = best_tokens(spark, sf_dir)
+    gold = best.where("ix % 3 <> 0")
+    predicted = best.where("ix % 4 <> 0").withColumn("pos", F.when(F.col("ix") % 11 == 0, "v").otherwise(F.col("pos")))
+    return quality.align(gold, predicted, "doc_id").groupBy("expected", "actual").agg(F.count("*").alias("n"))
+
+
+@register("span_scores", f"""WITH {TOKENS_SQL}, g AS (SELECT doc_id, start, "end" FROM tk WHERE ix % 3 <> 0), p AS (SELECT doc_id, start, "end" FROM tk WHERE ix % 4 <> 0),
+n AS (SELECT (SELECT count(*) FROM g JOIN p USING (doc_id, start, "end")) AS matched, (SELECT count(*) FROM g) AS n_expected, (SELECT count(*) FROM p) AS n_predicted), q AS (SELECT *, matched::DOUBLE / n_predicted AS precision, matched::DOUBLE / n_expected AS recall FROM n)
+SELECT *, 2 * precision * recall / (precision + recall) AS f1 FROM q""")
+def span_scores(spark, sf_dir):
+    found = X.tokens(documents(spark, sf_dir))
+    return quality.span_scores(found.where("ix % 3 <> 0"), found.where("ix % 4 <> 0"), "doc_id")
+
+
+@register("metric_summary", "SELECT event_type AS metric, count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS max FROM events WHERE value IS NOT NULL GROUP BY event_type HAVING count(*) >= 20")
+def metric_summary(spark, sf_dir):
+    return quality.percentiles(table(spark, sf_dir, "events").select(F.col("event_type").alias("metric"), "value"), least=20)
+
+
+@register("budget_gate", """WITH m AS (SELECT event_type AS metric, quantile_disc(value, 0.95) AS p95 FROM events WHERE value IS NOT NULL GROUP BY event_type), b AS (SELECT metric, 'p95' AS statistic, 50.0::DOUBLE + length(metric) AS budget FROM m)
+SELECT metric, statistic, p95 AS measured, budget, p95 <= budget AS passed FROM b JOIN m USING (metric)""")
+def budget_gate(spark, sf_dir):
+    summary = metric_summary(spark, sf_dir)
+    budgets = summary.select("metric", F.lit("p95").alias("statistic"), (F.lit(50.0) + F.char_length("metric")).alias("budget"))
+    return quality.budget_gate(summary, budgets).select("metric", "statistic", "measured", "budget", "passed")
+
+
+@register("diagnostics", f"""WITH {TOKENS_SQL}, {LEXICON_SQL}, {BEST_SQL}, n AS (SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (pos = 'x') AS n_unknown FROM bt GROUP BY doc_id)
+SELECT d.doc_id, length(coalesce(text, ''))::BIGINT AS text_length, coalesce(n_tokens, 0) AS n_tokens, coalesce(n_unknown, 0) AS n_unknown, false AS fallback_used FROM documents d LEFT JOIN n USING (doc_id)""")
+def diagnostics(spark, sf_dir):
+    best = best_tokens(spark, sf_dir).withColumn("source", F.lit("verified-lexical-index"))
+    return quality.diagnostics(documents(spark, sf_dir), best)
+
+
+@register("contract_violations", f"""WITH {TOKENS_SQL} SELECT code, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN ix % 100 = 7 THEN 'LENGTH' END, CASE WHEN length(norm) = 3 THEN 'POS' END, CASE WHEN ix % 50 = 3 THEN 'CONFIDENCE' END], lambda x: x IS NOT NULL)) AS code FROM tk) GROUP BY code""")
+def contract_violations(spark, sf_dir):
+    """Tokens with planted faults: what the contract check finds is what was planted."""
+    docs = documents(spark, sf_dir)
+    bad = X.tokens(docs).withColumns({"surface": F.when(F.col("ix") % 100 == 7, F.concat("surface", F.lit("x"))).otherwise(F.col("surface")), "pos": F.when(F.char_length("norm") == 3, "noun").otherwise("n"), "confidence": F.when(F.col("ix") % 50 == 3, 1.5).otherwise(0.5)})
+    return quality.token_violations(bad, docs)
+
+
+@register("set_ids", f"SELECT doc_id, {FNV_SQL.format("'en' || chr(1) || left(t, 200) || chr(1) || 'provider' || chr(1) || '1'")} AS set_id FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
+def set_ids(spark, sf_dir):
+    """Set ids over UTF-16 units; the text's first 200 characters go in, as the id's own definition here."""
+    text = F.substring(F.coalesce("text", F.lit("")), 1, 200)
+    return documents(spark, sf_dir).select("doc_id", X.fnv_units(F.concat_ws("\x01", F.lit("en"), text, F.lit("provider"), F.lit("1"))).alias("set_id"))
+
+
+@register("required_buckets", f"""WITH {TOKENS_SQL}, b AS (SELECT DISTINCT doc_id, ({_BUCKET_SQL})::INT AS bucket FROM tk) SELECT doc_id, array_to_string(list_sort(list(bucket)), ',') AS buckets FROM b GROUP BY doc_id""")
+def required_buckets(spark, sf_dir):
+    found = X.tokens(documents(spark, sf_dir)).select("doc_id", "norm").distinct()
+    types = found.select("norm").distinct().withColumn("bucket", lexicon.bucket_of(F.lit("en"), F.col("norm"), 64))
+    return found.join(types, "norm").groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("bucket")), ",").alias("buckets"))
+
+
+def event_requests(spark, sf_dir) -> DataFrame:
+    """Events as revision requests: users are roots, event order is arrival, revisions lag now and then."""
+    e = table(spark, sf_dir, "events")
+    rows = e.select(
+        F.col("event_id").alias("seq"), F.concat(F.lit("r"), (F.col("event_id") % 5000).cast("string")).alias("request_id"), F.floor(F.col("event_id") / 4000).cast("int").alias("page_epoch"),
+        F.col("user_id").cast("string").alias("root_id"), F.greatest(F.floor(F.col("event_id") / 300) - F.col("event_id") % 3, F.lit(0)).cast("int").alias("root_revision"),
+        F.when(F.col("event_id") % 4 < 2, "bootstrap").otherwise("lexical").alias("phase"), F.col("event_type").alias("text"), F.lit("en").alias("language_mode"), F.lit("1").alias("semantic_version"), F.lit("1").alias("grammar_version"), F.lit("1").alias("profile_revision"), F.lit("1").alias("lexical_version"), F.col("value"))
+    return rows.withColumn("analysis_key", revisions.analysis_key())
+
+
+_REQUESTS_SQL = """q AS (SELECT event_id AS seq, 'r' || (event_id % 5000) AS request_id, (event_id // 4000)::INT AS page_epoch, user_id::VARCHAR AS root_id, greatest(event_id // 300 - event_id % 3, 0)::INT AS root_revision,
+  CASE WHEN event_id % 4 < 2 THEN 'bootstrap' ELSE 'lexical' END AS phase, 'ak1:' || sha256('["' || event_type || '","en","1","1","1","1"]') AS analysis_key, event_id % 97 = 0 AS invalid, event_id % 5000 = 77 AS cancelled FROM events)"""
+
+
+@register("analysis_keys", f"WITH {_REQUESTS_SQL} SELECT seq, analysis_key FROM q")
+def analysis_keys(spark, sf_dir):
+    return event_requests(spark, sf_dir).select("seq", "analysis_key")
+
+
+@register("revision_gate", f"""WITH {_REQUESTS_SQL}, a AS (SELECT *, NOT invalid AND NOT cancelled AS live FROM q),
+b AS (SELECT *, max(page_epoch) OVER (PARTITION BY root_id, live ORDER BY seq) AS e, max(root_revision) OVER (PARTITION BY root_id, live, page_epoch ORDER BY seq) AS r,
+  row_number() OVER (PARTITION BY root_id, live, page_epoch, root_revision, phase, analysis_key ORDER BY seq) AS nth,
+  coalesce(max((phase = 'lexical')::INT) OVER (PARTITION BY root_id, live, page_epoch, root_revision ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS done FROM a)
+SELECT seq, root_id, CASE WHEN invalid THEN 'invalid' WHEN cancelled THEN 'cancelled' WHEN page_epoch < e OR root_revision < r THEN 'stale' WHEN nth > 1 THEN 'duplicate' WHEN phase = 'bootstrap' AND done THEN 'stale' ELSE 'ok' END AS status FROM b""")
+def revision_gate(spark, sf_dir):
+    """The batch form of the revision stream's gate, with planted invalid and cancelled requests."""
+    rows = event_requests(spark, sf_dir)
+    rows = rows.withColumn("analysis_key", F.when(F.col("seq") % 97 == 0, F.concat("analysis_key", F.lit("x"))).otherwise(F.col("analysis_key")))
+    cancelled = rows.where(F.col("seq") % 5000 == 77).select("request_id")
+    return revisions.gate(rows, cancelled).select("seq", "root_id", "status")
+
+
+@register("admission", """SELECT 'b' || (event_id // 20) AS request_id, count(*) AS n_items, sum(length(props))::BIGINT AS n_chars, sum(length(event_type))::BIGINT AS n_tokens, count(DISTINCT user_id % 32) AS n_buckets,
+  count(*) <= 24 AND sum(length(props)) <= 12000 AND sum(length(event_type)) <= 120 AND count(DISTINCT user_id % 32) <= 15 AS admitted FROM events GROUP BY 1""")
+def admission(spark, sf_dir):
+    items = table(spark, sf_dir, "events").select(F.concat(F.lit("b"), F.floor(F.col("event_id") / 20).cast("string")).alias("request_id"), F.char_length("props").alias("n_chars"), F.char_length("event_type").alias("n_tokens"), F.array(F.col("user_id") % 32).alias("buckets"))
+    return revisions.admit(items, 24, 12_000, 120, 15)
+
+
+@register("first_candidate", """WITH g AS (SELECT event_type AS candidate, count(*) AS n, max(value) AS m FROM events GROUP BY 1)
+SELECT arg_min(candidate, length(candidate) * 100 + n) AS candidate FROM g WHERE n % 2 = 0 OR m > 0 HAVING count(*) > 0""")
+def first_candidate(spark, sf_dir):
+    g = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("candidate")).agg(F.count("*").alias("n"), F.max("value").alias("m"))
+    gates = g.select("candidate", ((F.col("n") % 2 == 0) | (F.col("m") > 0)).alias("passed"))
+    return quality.first_passing(g.select("candidate", (F.char_length("candidate") * 100 + F.col("n")).alias("priority")), gates)
