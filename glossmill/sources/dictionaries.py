@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import gloss_cue_pos
 
@@ -51,7 +52,7 @@ def exceptions(lines: DataFrame, pos: str) -> tuple[DataFrame, DataFrame]:
     return rows.dropDuplicates(["inflected", "lemma", "pos"]), rejected
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Canonical composition; Spark has no such function. Meant for dictionary forms and distinct types."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
