@@ -173,7 +173,7 @@ def big_links(members: DataFrame, radius: int) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, root: the least node of each connected group, over edges (a, b) of longs.
+    """node, root: for every node but the least of its group that least node, over edges (a, b) of longs.
 
     Each round links every node's larger neighbours to its least neighbour, then its smaller ones, until
     nothing changes. A node with very many neighbours is a key of joins that AQE splits and of sums that
