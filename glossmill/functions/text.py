@@ -17,25 +17,27 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def byte_at(data: Column, i: Column) -> Column:
-    return F.conv(F.substring(F.hex(data), 2 * i - 1, F.lit(2)), 16, 10).cast("long")
+def _fnv(data: Column, width: int) -> Column:
+    """32-bit FNV-1a over units of so many bytes; substring of a binary takes constant time, of a string it doesn't."""
+    step = lambda h, b: (h.bitwiseXOR(b) * F.lit(16777619).cast("long")).bitwiseAND(F.lit(4294967295).cast("long"))
+    basis = F.lit(2166136261).cast("long")
 
+    def of(d):
+        unit = lambda i: F.conv(F.hex(F.substring(d, width * i + 1, F.lit(width))), 16, 10).cast("long")
+        n = (F.octet_length(d) / width).cast("int")
+        return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), basis, lambda h, i: step(h, unit(i)))).otherwise(basis)
 
-def _fnv(values: Column) -> Column:
-    step = lambda h, b: (h.bitwiseXOR(b) * F.lit(16777619).cast("long")).bitwiseAND(F.lit(4294967295).cast("long"))
-    return F.aggregate(values, F.lit(2166136261).cast("long"), step)
+    return F.when(data.isNotNull(), let(data, of))
 
 
 def fnv_bytes(text: Column) -> Column:
     """32-bit FNV-1a over UTF-8 bytes, as a long."""
-    pairs = let(F.hex(F.encode(text, "UTF-8")), lambda h: F.transform(F.sequence(F.lit(1), F.greatest(F.length(h) / 2, F.lit(1)).cast("int")), lambda i: F.conv(F.substring(h, 2 * i - 1, F.lit(2)), 16, 10).cast("long")))
-    return F.when(F.length(text) > 0, _fnv(pairs)).when(text.isNotNull(), F.lit(2166136261).cast("long"))
+    return _fnv(F.encode(text, "UTF-8"), 1)
 
 
 def fnv_units(text: Column) -> Column:
     """32-bit FNV-1a over UTF-16 code units, as a long."""
-    units = let(F.hex(F.encode(text, "UTF-16BE")), lambda h: F.transform(F.sequence(F.lit(1), F.greatest(F.length(h) / 4, F.lit(1)).cast("int")), lambda i: F.conv(F.substring(h, 4 * i - 3, F.lit(4)), 16, 10).cast("long")))
-    return F.when(F.length(text) > 0, _fnv(units)).when(text.isNotNull(), F.lit(2166136261).cast("long"))
+    return _fnv(F.encode(text, "UTF-16BE"), 2)
 
 
 def utf16_length(text: Column) -> Column:
@@ -161,15 +163,20 @@ def mask_protected(text: Column, offsets: Column) -> Column:
 
 
 def sentences(docs: DataFrame, key: str = "doc_id", protected: str | None = None) -> DataFrame:
-    """key, sent_ix, text, start, end, language of trimmed sentences, with code-point offsets."""
+    """key, sent_ix, text, start, end, language of trimmed sentences, with code-point offsets.
+
+    Each row carries its own sentence only. With protected offsets sentences are found in a masked text and
+    cut from the original one, a second pass over the documents.
+    """
     text = F.coalesce("text", F.lit(""))
     cut = mask_protected(text, F.col(protected)) if protected else text
-    rows = docs.select(key, text.alias("whole"), F.regexp_extract_all(cut, F.lit(SENTENCE), F.lit(0)).alias("found"), F.split(cut, SENTENCE, -1).alias("gaps"))
-    sizes = F.zip_with("found", F.slice("gaps", F.lit(1), F.size("found")), lambda s, g: F.struct(F.char_length(g).alias("gap"), F.char_length(s).alias("size"), F.char_length(F.regexp_extract(s, r"^(?U)\s*", 0)).alias("lead"), F.char_length(F.regexp_replace(s, r"^(?U)\s+|(?U)\s+$", "")).alias("kept")))
+    rows = docs.select(key, F.regexp_extract_all(cut, F.lit(SENTENCE), F.lit(0)).alias("found"), F.split(cut, SENTENCE, -1).alias("gaps"))
+    sizes = F.zip_with("found", F.slice("gaps", F.lit(1), F.size("found")), lambda s, g: F.struct(F.char_length(g).alias("gap"), F.char_length(s).alias("size"), F.char_length(F.regexp_extract(s, r"^(?U)\s*", 0)).alias("lead"), F.regexp_replace(s, r"^(?U)\s+|(?U)\s+$", "").alias("text")))
     spots = rows.select(key, F.posexplode(sizes).alias("i", "s")).select(key, "i", "s.*")
-    end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy(key).orderBy("i"))
-    placed = spots.withColumn("start", (end - F.col("size") + F.col("lead")).cast("int")).where("kept > 0")
-    numbered = placed.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("i")) - 1).alias("sent_ix"), "start", (F.col("start") + F.col("kept")).alias("end"))
-    lists = numbered.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("sent_ix", "start", "end"))).alias("spans"))
-    out = docs.select(key, text.alias("whole")).join(lists, key).select(key, F.explode(F.transform("spans", lambda s: F.struct(s["sent_ix"].alias("sent_ix"), F.substring(F.col("whole"), s["start"] + 1, s["end"] - s["start"]).alias("text"), s["start"].alias("start"), s["end"].alias("end")))).alias("s"))
-    return out.select(key, "s.*").withColumn("language", detect_language(F.col("text"), "sentence"))
+    order = Window.partitionBy(key).orderBy("i")
+    placed = spots.withColumn("start", (F.sum(F.col("gap") + F.col("size")).over(order) - F.col("size") + F.col("lead")).cast("int")).where("text <> ''")
+    out = placed.select(key, (F.row_number().over(order) - 1).alias("sent_ix"), "text", "start", (F.col("start") + F.char_length("text")).alias("end"))
+    if protected:
+        whole = docs.select(key, text.alias("whole"))
+        out = out.join(whole, key).withColumn("text", F.substring("whole", F.col("start") + 1, F.col("end") - F.col("start"))).drop("whole")
+    return out.withColumn("language", detect_language(F.col("text"), "sentence"))

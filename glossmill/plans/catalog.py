@@ -127,11 +127,11 @@ def rule_pos(spark, sf_dir):
 
 
 @register("legacy_tokens", f"""WITH {TOKENS_SQL}, wl AS (SELECT * FROM (VALUES {_values(W.rule_words())}) v(norm, p, c))
-SELECT doc_id, 'token:en:' || start || ':' || "end" AS token_id, coalesce(p, 'x') AS pos, 'simplified-pos' AS evidence, NULL::VARCHAR AS lemma FROM tk LEFT JOIN wl USING (norm) WHERE ix < 50""")
+SELECT doc_id, 'token:en:' || start || ':' || "end" AS token_id, coalesce(p, 'x') AS pos, 'simplified-pos' AS evidence, NULL::VARCHAR AS lemma FROM tk LEFT JOIN wl USING (norm)""")
 def legacy_tokens(spark, sf_dir):
-    """Listed parts of speech as tokens of the current contract: one piece of evidence, no lemma; 50 a document are the feature."""
+    """Listed parts of speech as tokens of the current contract: one piece of evidence, no lemma."""
     listed = spark.createDataFrame(W.rule_words(), "norm string, p string, c double")
-    met = X.tokens(documents(spark, sf_dir)).where("ix < 50").join(F.broadcast(listed), "norm", "left")
+    met = X.tokens(documents(spark, sf_dir)).join(F.broadcast(listed), "norm", "left")
     return met.select("doc_id", F.concat_ws(":", F.lit("token:en"), F.col("start").cast("string"), F.col("end").cast("string")).alias("token_id"), F.coalesce("p", F.lit("x")).alias("pos"), F.lit("simplified-pos").alias("evidence"), F.lit(None).cast("string").alias("lemma"))
 
 
@@ -492,10 +492,10 @@ def contract_violations(spark, sf_dir):
     return quality.token_violations(bad, docs)
 
 
-@register("set_ids", f"SELECT doc_id, {FNV_SQL.format("'en' || chr(1) || left(t, 200) || chr(1) || 'provider' || chr(1) || '1'")} AS set_id FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
+@register("set_ids", f"SELECT doc_id, {FNV_SQL.format("'en' || chr(1) || t || chr(1) || 'provider' || chr(1) || '1'")} AS set_id FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
 def set_ids(spark, sf_dir):
-    """Set ids over UTF-16 units; the text's first 200 characters go in, as the id's own definition here."""
-    text = F.substring(F.coalesce("text", F.lit("")), 1, 200)
+    """Set ids over the UTF-16 units of mode, whole text, provider and version."""
+    text = F.coalesce("text", F.lit(""))
     return documents(spark, sf_dir).select("doc_id", X.fnv_units(F.concat_ws("\x01", F.lit("en"), text, F.lit("provider"), F.lit("1"))).alias("set_id"))
 
 
