@@ -22,6 +22,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 RARE = -20.0  # log weight of a character without a piece
 LONE = 1 << 20  # ids from here on stand for characters that are written as bytes
-MOST_EDGES = 3_000_000  # lattice edges that a task remembers
+MOST_EDGES = 5_000_000  # lattice edges that a task remembers
 
 
 def load(model_file: str = MODEL) -> dict:
@@ -64,59 +65,135 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+BASE = np.uint64(0x5851F42D4C957F2D)
+SHORT = 30  # characters of a word that is added together with others
+
+
 class Lattices:
     """Forward passes of distinct words, as edges sorted by their end node.
 
     An edge's key is its end node plus the cumulated share of the forward sum; its start is negative
-    where the lattice begins.
+    where the lattice begins. Short words are added together in numpy: substrings are looked up by rolling
+    hashes in tables of piece prefixes, length by length, and sums advance over all words at once. Longer
+    words are added one by one with rescaled sums.
     """
 
     def __init__(self, vocab: dict, theta: float = 1.0):
-        self.vocab, self.theta = vocab, theta
+        self.vocab, self.longest, self.rare = vocab, vocab["longest"], math.exp(theta * RARE)
+        self.weights = {p: (i, math.exp(theta * w)) for p, (i, w) in vocab["pieces"].items()}
+        self.tables = [self._table(n) for n in range(1, self.longest + 1)]
         self.clear()
 
+    def _table(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted hashes of all piece prefixes of n characters, with id (-1: no piece) and weight."""
+        prefixes = sorted({p[:n] for p in self.weights if len(p) >= n})
+        h = np.zeros(len(prefixes), np.uint64)
+        for k in range(n):
+            h = h * BASE + np.array([ord(p[k]) for p in prefixes], np.uint64) + np.uint64(1)
+        found = [self.weights.get(p, (-1, 0.0)) for p in prefixes]
+        order = h.argsort()
+        if len(np.unique(h)) < len(h):
+            raise ValueError("piece prefixes collide under the rolling hash")
+        return h[order], np.array([f[0] for f in found], np.int32)[order], np.array([f[1] for f in found])[order]
+
     def clear(self):
         self.last, self.nodes = {}, 0
-        self.new = ([], [], [])
-        self.edges = (np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int64))
-
-    def add(self, word: str) -> None:
-        pieces, longest, theta, base = self.vocab["pieces"], self.vocab["longest"], self.theta, self.nodes
-        keys, ids, starts = self.new
-        alpha = [0.0]
+        self.keys, self.ids, self.starts, self.first = np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _keep(self, words, sizes, keys, ids, starts, ends):
+        """Appends words whose nodes follow the known ones; edges are sorted by end node."""
+        count = int(sizes.sum()) + len(sizes)
+        first = np.searchsorted(ends, np.arange(self.nodes, self.nodes + count)) + len(self.keys)
+        self.last.update(zip(words, (self.nodes + np.cumsum(sizes + 1) - 1).tolist()))
+        self.nodes += count
+        self.keys, self.ids, self.starts, self.first = (np.concatenate(x) for x in ((self.keys, keys), (self.ids, ids), (self.starts, starts), (self.first, first)))
+
+    def add_short(self, words: list[str]) -> None:
+        sizes = np.array([len(w) for w in words])
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        word = np.repeat(np.arange(len(words)), sizes)
+        stop = np.cumsum(sizes)[word]
+        offset = np.arange(len(chars)) - (np.cumsum(sizes) - sizes)[word]
+        node = self.nodes + np.arange(len(chars)) + word  # the node before each character
+        live, h, edges = np.arange(len(chars)), np.zeros(len(chars), np.uint64), []
+        for n, (hashes, ids, weights) in enumerate(self.tables, 1):
+            fits = live + n <= stop[live]
+            live, h = live[fits], h[fits]
+            h = h * BASE + chars[live + n - 1].astype(np.uint64) + np.uint64(1)
+            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            ok = hashes[at] == h
+            piece = np.where(ok, ids[at], -1)
+            if n == 1:  # characters without a piece of their own
+                lone = live[piece < 0]
+                edges.append((lone, np.ones(len(lone), np.int64), LONE + chars[lone].astype(np.int32), np.full(len(lone), self.rare)))
+            whole = piece >= 0
+            edges.append((live[whole], np.full(int(whole.sum()), n), piece[whole], weights[at[whole]]))
+            live, h = live[ok], h[ok]
+            if not len(live):
+                break
+        at, length, piece, weight = (np.concatenate(x) for x in zip(*edges))
+        start, end_offset = node[at], offset[at] + length
+        end = start + length
+        by = end_offset.astype(np.uint16).argsort(kind="stable")
+        cuts = np.searchsorted(end_offset[by], np.arange(1, int(sizes.max()) + 2))
+        alpha = np.zeros(len(chars) + len(words))
+        local = lambda x: x - self.nodes
+        alpha[np.cumsum(sizes + 1) - sizes - 1] = 1.0
+        flow = np.empty(len(at))
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            if lo < hi:
+                e = by[lo:hi]
+                flow[e] = alpha[local(start[e])] * weight[e]
+                np.add.at(alpha, local(end[e]), flow[e])
+        order = end.argsort(kind="stable")
+        end, start, piece = end[order], start[order], piece[order]
+        run = np.cumsum(flow[order] / alpha[local(end)])
+        fresh = np.flatnonzero(np.append(True, end[1:] != end[:-1]))
+        groups = np.diff(np.append(fresh, len(end)))
+        before = np.repeat(np.append(0.0, run[fresh[1:] - 1]), groups)
+        keys = end + np.minimum(run - before, 1.0)
+        keys[fresh + groups - 1] = end[fresh] + 1.0
+        starts = np.where(offset[at[order]] == 0, -1, start)
+        self._keep(words, sizes, keys, piece, starts, end)
+
+    def add_long(self, word: str) -> None:
+        """Forward sums in plain floats, rescaled where they get small, and the edges they give."""
+        get, longest, base = self.weights.get, self.longest, self.nodes
+        keys, ids, starts, ends, alpha = [], [], [], [], [1.0]
         for end in range(1, len(word) + 1):
-            edges = []
-            for start in range(max(0, end - longest), end):
-                found = pieces.get(word[start:end])
+            total, shares, single = 0.0, [], False
+            for start in range(end - longest if end > longest else 0, end):
+                found = get(word[start:end])
                 if found is not None:
-                    edges.append((alpha[start] + theta * found[1], found[0], start))
-            if not edges or edges[-1][2] != end - 1:  # no piece for this character alone
-                edges.append((alpha[end - 1] + theta * RARE, LONE + ord(word[end - 1]), end - 1))
-            top = max(edges)[0]
-            total, run = 0.0, 0.0
-            shares = [math.exp(e[0] - top) for e in edges]
-            total = sum(shares)
-            alpha.append(top + math.log(total))
-            for share, (_, piece, start) in zip(shares, edges):
-                run += share / total
-                keys.append(base + end + min(run, 1.0))
-                ids.append(piece)
-                starts.append(base + start if start else -1)
+                    total += alpha[start] * found[1]
+                    shares.append(total)
+                    ids.append(found[0])
+                    starts.append(base + start if start else -1)
+                    single = start == end - 1
+            if not single:  # no piece for this character alone
+                total += alpha[end - 1] * self.rare
+                shares.append(total)
+                ids.append(LONE + ord(word[end - 1]))
+                starts.append(base + end - 1 if end > 1 else -1)
+            keys += [base + end + x / total for x in shares]
             keys[-1] = base + end + 1.0
-        self.nodes += len(word) + 1
-        self.last[word] = self.nodes - 1
+            ends += [base + end] * len(shares)
+            alpha.append(total)
+            if total < 1e-200:  # only the last sums are looked at again
+                alpha[-longest:] = [x / total for x in alpha[-longest:]]
+        self._keep([word], np.array([len(word)]), np.array(keys), np.array(ids, np.int32), np.array(starts, np.int64), np.array(ends, np.int64))
 
     def of(self, words: list[str]) -> np.ndarray:
         """The last node of each word's lattice."""
-        if len(self.edges[0]) > MOST_EDGES:
+        if len(self.keys) > MOST_EDGES:
             self.clear()
         last = self.last
-        for w in set(words):
-            if w not in last:
-                self.add(w)
-        if self.new[0]:
-            self.edges = tuple(np.concatenate([old, np.array(new, old.dtype)]) for old, new in zip(self.edges, self.new))
-            self.new = ([], [], [])
+        new = [w for w in set(words) if w not in last]
+        if short := [w for w in new if len(w) <= SHORT]:
+            self.add_short(short)
+        for w in new:
+            if len(w) > SHORT:
+                self.add_long(w)
         return np.array([last[w] for w in words], np.int64)
 
 
@@ -129,18 +206,21 @@ def sample(texts: list, keys: np.ndarray, lattices: Lattices, seed: int) -> tupl
         return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
     owners = np.repeat(np.arange(len(texts)), counts)
     node = lattices.of(words)
-    edge_keys, edge_ids, edge_starts = lattices.edges
     place = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
     state = mix(mix(keys.view(np.uint64) ^ np.uint64(seed))[owners] + place.astype(np.uint64))
     live, steps, length = np.arange(len(words)), [], np.zeros(len(words), np.int64)
     while len(live):
-        u = (mix(state[live] + np.uint64(len(steps))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-        at = np.searchsorted(edge_keys, node[live] + u, side="right")
-        steps.append((live, edge_ids[at]))
+        target = node + (mix(state + np.uint64(len(steps))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+        at = lattices.first[node]
+        more = np.flatnonzero(lattices.keys[at] <= target)
+        while len(more):
+            at[more] += 1
+            more = more[lattices.keys[at[more]] <= target[more]]
+        steps.append((live, lattices.ids[at]))
         length[live] += 1
-        start = edge_starts[at]
-        node[live] = start
-        live = live[start >= 0]
+        node = lattices.starts[at]
+        on = node >= 0
+        live, node, state = live[on], node[on], state[on]
     ends = np.cumsum(length)
     ids = np.empty(ends[-1], np.int32)
     for k, (word, piece) in enumerate(steps):  # sampled from the end of each word
@@ -164,7 +244,7 @@ def as_bytes(ids: np.ndarray, who: np.ndarray, byte_ids: np.ndarray, n: int) ->
     return ids, np.bincount(who, minlength=n).astype(np.int64)
 
 
-def _parts_of(texts: list, most: int = 400_000):
+def _parts_of(texts: list, most: int = 1_000_000):
     """Slices of texts of about so many characters, so that a batch of long texts takes no more memory."""
     start, chars = 0, 0
     for i, t in enumerate(texts):
@@ -205,13 +285,16 @@ def join_pieces(ids, surface: list[bytes]) -> str:
 
 def _decoder(shared):
     def run(batches):
-        surface = shared.value["surface"]
+        surface = pa.array(shared.value["surface"], pa.binary())
         for batch in batches:
-            lists = batch.column("ids")
             for lo in range(0, batch.num_rows, 256):
-                texts = [None if x is None else join_pieces(x, surface) for x in lists.slice(lo, 256).to_pylist()]
                 part = batch.slice(lo, 256)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+                lists = part.column("ids")
+                offsets = lists.offsets.cast(pa.int64())
+                offsets = pa.array(offsets.to_numpy() - offsets[0].as_py(), pa.int32())
+                spelled = pa.ListArray.from_arrays(offsets, surface.take(lists.flatten()))
+                texts = pc.if_else(lists.is_null(), None, pc.binary_join(spelled, b"").cast(pa.string()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, texts], names=["doc_id", "ids", "text"])
 
     return run
 

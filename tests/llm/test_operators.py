@@ -135,8 +135,10 @@ def test_pieces_round_trip(spark):
     assert pieces.encode(frame(spark, []), vocab).count() == 0
 
 
-def test_pieces_law():
+@pytest.mark.parametrize("short", [30, 0])
+def test_pieces_law(short, monkeypatch):
     """Sampled segmentations of a word follow the law that all its paths give."""
+    monkeypatch.setattr(pieces, "SHORT", short)
     vocab = pieces.load()
     word, theta, n = "abed", 0.4, 20_000
     paths = {}
@@ -323,3 +325,16 @@ def test_long_text_pools_like_short_chunks(monkeypatch):
     whole = toxicity.pooled(bag, toxicity.Hasher(), model)
     monkeypatch.setattr(toxicity, "CHUNK", 7)
     assert np.allclose(whole, toxicity.pooled(bag, toxicity.Hasher(), model))
+
+
+def test_short_and_long_words_have_one_law():
+    """Words added together in numpy and words added one by one get the same edges."""
+    vocab = pieces.load()
+    words = [" hello", "naïve", "漢字x", " ", "aaaa", "\n", "unbelievably"]
+    a, b = pieces.Lattices(vocab, 0.5), pieces.Lattices(vocab, 0.5)
+    a.add_short(words)
+    for w in words:
+        b.add_long(w)
+    assert a.last == b.last and a.nodes == b.nodes
+    edges = lambda x: sorted(zip(np.floor(x.keys - 1e-12).tolist(), x.starts.tolist(), x.ids.tolist()))
+    assert edges(a) == edges(b)
