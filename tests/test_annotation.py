@@ -126,3 +126,18 @@ def test_roles_stop_at_clauses(spark):
     rows = [(1, 0, "en", "n", False), (1, 1, "en", "v", False), (1, 2, "en", "n", True)]
     t = spark.createDataFrame(rows, "doc_id long, ix int, language string, pos string, clause_break boolean").withColumns({"norm": F.lit("w"), "lemma": F.lit("w"), "morphology": F.lit(None).cast(english.NO_FEATURES)})
     assert [r.grammar_role for r in grammar.roles(grammar.clauses(t)).orderBy("ix").collect()] == ["subject", "predicate", None]
+
+
+def test_table_function(spark):
+    from glossmill.functions import table
+
+    table.register(spark)
+    docs(spark, "It's here", None).createOrReplaceTempView("two_texts")
+    rows = spark.sql("SELECT doc_id, t.surface, t.start, t.end FROM two_texts, LATERAL tokenize(text) t ORDER BY start").collect()
+    assert [tuple(r) for r in rows] == [(0, "It's", 0, 4), (0, "here", 5, 9)]
+
+
+def test_annotator_hook(spark):
+    only_nouns = lambda tokens: tokens.where("pos = 'n'")
+    out = annotate(docs(spark, "The child reads books."), lexicon.seed_lexicon(spark), lexicon.seed_morphology(spark), "en", only_nouns)
+    assert sorted(r.norm for r in out.collect()) == ["books", "child"]
