@@ -65,13 +65,26 @@ def by_size(templates: DataFrame, dice: float) -> DataFrame:
 
 
 def scan(docs: DataFrame, templates: DataFrame, dice: float = DICE) -> DataFrame:
-    """doc_id, license, n_units, best_dice for every licence that a unit of a document matches."""
+    """doc_id, license, n_units, best_dice for every licence that a unit of a document matches.
+
+    Words are counted once a line; a text has its lines' words, as no word crosses a line. Units whose size no
+    template can match leave before the explode.
+    """
+    sized = by_size(templates, dice)
+    least, most = sized.agg(F.min("size"), F.max("size")).first()
+    if least is None:
+        least, most = 1, 0
     text = F.coalesce("text", F.lit(""))
-    lines = F.split(text, "\n")
-    units = docs.select("doc_id", F.explode(F.when(F.size(lines) > 1, F.concat(lines, F.array(text))).otherwise(lines)).alias("unit"))
-    counted = units.select("doc_id", "unit", (F.regexp_count("unit", F.lit(r"[\p{L}\p{N}]+")) - 1).cast("long").alias("size")).where("size >= 1")
-    near = counted.join(F.broadcast(by_size(templates, dice)), "size")
-    shared = near.select("doc_id", "license", "size", F.size("template_bigrams").alias("b"), let(F.struct(let(normal_words(F.col("unit")), bigrams).alias("a"), F.col("template_bigrams").alias("b")), lambda s: common_bigrams(s["a"], s["b"])).alias("m"))
+    count = lambda u: F.regexp_count(u, F.lit(r"[\p{L}\p{N}]+"))
+    unit = lambda u, n: F.struct(u.alias("unit"), (n - 1).cast("long").alias("size"))
+
+    def units(lines):
+        whole = F.array(unit(text, F.aggregate(lines, F.lit(0).cast("long"), lambda n, u: n + u["size"] + 1)))
+        return F.filter(F.when(F.size(lines) > 1, F.concat(lines, whole)).otherwise(lines), lambda u: u["size"].between(least, most))
+
+    near = docs.select("doc_id", F.explode(let(F.transform(F.split(text, "\n"), lambda u: unit(u, count(u))), units)).alias("u")).select("doc_id", "u.unit", "u.size")
+    met = near.join(F.broadcast(sized), "size")
+    shared = met.select("doc_id", "license", "size", F.size("template_bigrams").alias("b"), let(F.struct(let(normal_words(F.col("unit")), bigrams).alias("a"), F.col("template_bigrams").alias("b")), lambda s: common_bigrams(s["a"], s["b"])).alias("m"))
     scored = shared.withColumn("dice", 2.0 * F.col("m") / (F.col("size") + F.col("b"))).where(F.col("dice") >= dice)
     return scored.groupBy("doc_id", "license").agg(F.count("*").alias("n_units"), F.max("dice").alias("best_dice"))
 
