@@ -169,3 +169,11 @@ def order_violations(rows: DataFrame, keys: list[str], partition: list[str]) ->
     """Rows that stand before their predecessor in a declared order (column ix)."""
     here, prior = F.struct(*keys), F.lag(F.struct(*keys)).over(Window.partitionBy(*partition).orderBy("ix"))
     return rows.withColumn("prior", prior).where(F.col("prior") > here).drop("prior")
+
+
+def synthetic(spark: SparkSession, n: int = 20_000) -> DataFrame:
+    """n made-up rows, nouns and verbs in turn, to size a lexicon's storage."""
+    ids = spark.range(n)
+    name = F.concat(F.lit("term"), F.lpad(F.col("id").cast("string"), 6, "0"))
+    pos = F.when(F.col("id") % 2 == 0, "n").otherwise("v")
+    return ids.select(name.alias("norm"), F.lit("en").alias("locale"), name.alias("surface"), name.alias("lemma"), pos.alias("pos"), F.lit(1.0).alias("confidence"), F.concat(F.lit("gloss of "), name).alias("gloss"), F.concat(F.lit("synthetic-gloss:"), name).alias("gloss_ref"), F.concat(F.lit("synthetic:"), name).alias("lexical_ref"), F.lit("synthetic").alias("dataset_id"), F.lit("verified").alias("tier"))
