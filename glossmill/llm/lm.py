@@ -7,8 +7,8 @@ document's own text never vouches for itself. Seen bigrams score log(others' cou
 word), others log(BACKOFF * count of the second word / all words); scores are summed for each document.
 
 Bigrams that very many documents hold are found by approx_top_k, a sketch without a shuffle; their counts are
-summed with map-side combination and broadcast (HOT_BIGRAMS rows at most), and their rows skip the exchange.
-The sketch only steers the dealing: results don't depend on what it finds. Unigram counts join by broadcast
+summed with map-side combination and broadcast (HOT_BIGRAMS rows at most), and their rows are dealt by document
+too. The sketch only steers the dealing: results don't depend on what it finds. Unigram counts join by broadcast
 behind a count of their rows, else by shuffle; words seen once are left out of that table and default to 1.
 
 Defined cases: null, empty and blank texts have no words and a null mean; a text of one word has a unigram
@@ -48,51 +48,62 @@ def second_word(gram: Column) -> Column:
     return gram.bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def unigram_table(docs: DataFrame) -> DataFrame:
-    """word, f for words that occur more than once in docs(text)."""
-    return docs.select(F.explode(word_ids(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("f")).where("f > 1")
+def bigram_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, gram, head: every bigram of a text, and before them its first word alone, as head."""
+    rows = docs.select("doc_id", F.posexplode(let(word_ids(F.col("text")), lambda ids: F.concat(F.slice(ids, 1, 1), bigrams(ids)))).alias("pos", "gram"))
+    return rows.select("doc_id", "gram", (F.col("pos") == 0).alias("head"))
 
 
-def bigram_rows(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.explode(let(word_ids(F.col("text")), bigrams)).alias("gram"))
+def hot_bigrams(docs: DataFrame) -> DataFrame:
+    """gram, total of bigrams that are frequent in a sixteenth of the documents, counted exactly over all of them.
+
+    The sixteenth only chooses which bigrams are dealt over slices; HOT_BIGRAMS rows at most.
+    """
+    part = bigram_rows(docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(16)) == 0)).where("not head")
+    top = part.agg(F.count("*").alias("n"), F.expr(f"approx_top_k(gram, {HOT_BIGRAMS}, {HOT_BIGRAMS * 20})").alias("top"))
+    found = top.select("n", F.explode("top").alias("t")).where(F.col("t.count") > F.greatest(F.col("n") * 1e-4, F.lit(100))).select(F.col("t.item").alias("gram"))
+    hot = stored(found, "hot-bigrams")
+    return stored(bigram_rows(docs).where("not head").join(F.broadcast(hot), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("hot_total")), "hot-totals")
 
 
 def counted_bigrams(docs: DataFrame) -> DataFrame:
-    """gram, doc_id, own, others: occurrences of a bigram in a document, and in all others."""
-    rows = bigram_rows(docs)
-    top = bigram_rows(docs.select("doc_id", "text")).agg(F.count("*").alias("n"), F.expr(f"approx_top_k(gram, {HOT_BIGRAMS}, {HOT_BIGRAMS * 20})").alias("top"))
-    hot = stored(top.select("n", F.explode("top").alias("t")).where(F.col("t.count") > F.greatest(F.col("n") * 1e-4, F.lit(1000))).select(F.col("t.item").alias("gram")), "hot-bigrams")  # HOT_BIGRAMS rows at most
-    totals = F.broadcast(stored(rows.join(F.broadcast(hot), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("total")), "hot-totals"))
-    of_hot = rows.join(totals, "gram").groupBy("gram", "doc_id").agg(F.count("*").alias("own"), F.first("total").alias("total"))
-    cold = rows.join(F.broadcast(hot), "gram", "left_anti").repartition("gram")
-    own = cold.groupBy("gram", "doc_id").agg(F.count("*").alias("own"))
-    of_cold = own.withColumn("total", F.sum("own").over(Window.partitionBy("gram")))
-    both = of_cold.unionByName(of_hot)
-    return both.select("gram", "doc_id", "own", (F.col("total") - F.col("own")).alias("others"))
+    """gram, doc_id, own, others: occurrences of a bigram in a document, and in all others.
+
+    One exchange by bigram brings a bigram's rows together; those of hot bigrams are dealt by document too and
+    bring their totals along.
+    """
+    slices = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = F.broadcast(hot_bigrams(docs).withColumn("head", F.lit(False)))
+    rows = bigram_rows(docs).join(hot, ["gram", "head"], "left")
+    of_doc = F.pmod(F.xxhash64("doc_id"), F.lit(slices)).cast("int")
+    dealt = rows.withColumn("slice", F.when(F.col("head"), -1 - of_doc).when(F.col("hot_total").isNotNull(), of_doc).otherwise(0))
+    own = dealt.repartition("gram", "slice").groupBy("gram", "slice", "doc_id").agg(F.count("*").alias("own"), F.first("hot_total").alias("hot_total"))
+    total = F.coalesce("hot_total", F.sum("own").over(Window.partitionBy("gram", "slice")))
+    return own.select("gram", (F.col("slice") < 0).alias("head"), "doc_id", "own", (total - F.col("own")).alias("others"))
 
 
 def scores(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_seen, log_score, mean_log_score for docs(doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    table = stored(unigram_table(docs), "unigrams")
+    every = docs.select(F.explode(word_ids(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("f"))
+    every = stored(every, "unigrams")
+    total = every.agg(F.sum("f")).first()[0] or 0
+    table = every.where("f > 1")
     small = table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    lookup = F.broadcast(table) if small else table
-    per_doc = docs.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n"), F.get(let(word_ids(F.col("text")), lambda w: F.slice(w, 1, 1)), F.lit(0)).alias("word"))
-    per_doc = stored(per_doc, "document-words")
-    total = per_doc.agg(F.sum("n")).first()[0] or 0
-
-    def f_of(df, word, name):
-        return df.join(lookup.select(F.col("word").alias("_w"), F.col("f").alias(name)), word == F.col("_w"), "left").drop("_w").withColumn(name, F.coalesce(name, F.lit(1)))
+    lookup = (F.broadcast(table) if small else table).select(F.col("word").alias("_w"), F.col("f"))
 
     grams = counted_bigrams(docs)
-    seen = F.col("others") > 0
-    looked = f_of(grams, F.when(seen, first_word(F.col("gram"))).otherwise(second_word(F.col("gram"))), "f")
-    log = F.when(seen, F.log(F.col("others") / F.col("f"))).otherwise(F.log(F.lit(BACKOFF) * F.col("f") / F.lit(float(max(total, 1)))))
-    sums = looked.groupBy("doc_id").agg(F.sum(F.col("own") * log).alias("s"), F.sum(F.when(seen, F.col("own")).otherwise(0)).alias("n_seen"))
-    heads = f_of(per_doc, F.col("word"), "f").groupBy("doc_id").agg(F.sum("n").alias("n_words"), F.sum(F.when(F.col("word").isNotNull(), F.log(F.col("f") / F.lit(float(max(total, 1))))).otherwise(0.0)).alias("first"))
-    both = heads.join(sums.withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d")), "left").drop("d")
-    score = F.col("first") + F.coalesce("s", F.lit(0.0))
-    return both.select("doc_id", "n_words", F.coalesce("n_seen", F.lit(0).cast("long")).alias("n_seen"), F.round(score, 6).alias("log_score"), F.round(score / F.when(F.col("n_words") > 0, F.col("n_words")), 6).alias("mean_log_score"))
+    head = F.col("head")
+    seen = ~head & (F.col("others") > 0)
+    word = F.when(head, F.col("gram")).when(seen, first_word(F.col("gram"))).otherwise(second_word(F.col("gram")))
+    looked = grams.join(lookup, word == F.col("_w"), "left").withColumn("f", F.coalesce("f", F.lit(1)))
+    n = F.lit(float(max(total, 1)))
+    log = F.when(seen, F.log(F.col("others") / F.col("f"))).otherwise(F.log(F.when(head, 1.0).otherwise(BACKOFF) * F.col("f") / n))
+    sums = looked.groupBy("doc_id").agg(F.sum("own").alias("n"), F.sum(F.col("own") * log).alias("s"), F.sum(F.when(seen, F.col("own")).otherwise(0)).alias("seen"))
+    both = docs.select("doc_id").distinct().join(sums.withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d")), "left")
+    zero = F.lit(0).cast("long")
+    score = F.coalesce("s", F.lit(0.0))
+    return both.select("doc_id", F.coalesce("n", zero).alias("n_words"), F.coalesce("seen", zero).alias("n_seen"), F.round(score, 6).alias("log_score"), F.round(score / F.col("n"), 6).alias("mean_log_score"))
 
 
 def query(spark, sf_dir):
