@@ -1,7 +1,9 @@
 """Each stage of the pipeline on its own input, and the whole run."""
 
 import corpus_pipeline
-from glossmill.llm import pieces
+from glossmill.llm import decontamination, pieces
+
+from .test_operators import fingerprint, groups
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -40,3 +42,46 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([], DOCS)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def tokens(text):
+    return "".join(c if c.isalnum() else " " for c in (text or "").lower()).split()
+
+
+def leaked(text, items):
+    """Whether a seed hit on some diagonal has a stretch of enough agreement, tried at every place."""
+    t = tokens(text)
+    spots = {}
+    for mask in decontamination.MASKS:
+        for i in range(len(t) - len(mask) + 1):
+            spots.setdefault((mask, tuple(t[i + k] for k, m in enumerate(mask) if m == "1")), []).append(i)
+    for item in items:
+        shifts = set()
+        for mask in decontamination.MASKS:
+            for j in range(len(item) - len(mask) + 1):
+                shifts |= {i - j for i in spots.get((mask, tuple(item[j + k] for k, m in enumerate(mask) if m == "1")), ())}
+        width = min(20, len(item))
+        for s in shifts:
+            same = [0 <= i + s < len(t) and t[i + s] == w for i, w in enumerate(item)]
+            if max(sum(same[i : i + width]) for i in range(len(same) - width + 1)) >= 0.8 * width:
+                return True
+    return False
+
+
+def test_run_against_brute_force(spark):
+    """Every stage after the trained one is done again in plain Python on what the stage before kept."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = corpus_pipeline.drop_toxic(spark, docs, SF).collect()
+    first, key = {}, lambda line: "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r"))
+    for d in kept:
+        for line in d.text.split("\n"):
+            if len(key(line)) >= 10:
+                first[key(line)] = min(first.get(key(line), d.doc_id), d.doc_id)
+    texts = {d.doc_id: "\n".join(x for x in d.text.split("\n") if len(key(x)) < 10 or first[key(x)] == d.doc_id) for d in kept}
+    least = groups([(i, fingerprint(t)) for i, t in texts.items()])
+    texts = {i: t for i, t in texts.items() if least[i] == i}
+    items = [tokens(b.text) for b in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    assert all(len(x) >= decontamination.SPAN for x in items)
+    texts = {i: t for i, t in texts.items() if not leaked(t, items)}
+    surface = pieces.load()["surface"]
+    assert {r.doc_id: pieces.join_pieces(r.ids, surface) for r in corpus_pipeline.run(spark, SF).collect()} == texts
