@@ -1,8 +1,8 @@
 """Benchmark decontamination by spaced seeds.
 
-Tokens are lower-cased runs of letters and digits. Fixed masks lay over every window of SPAN tokens of
+Tokens are lower-cased runs of letters and digits. Fixed masks lay over every window of
 documents and benchmark items; the hash of the tokens under a mask's marks ignores the positions between,
-so a hit survives substitutions there. Hits name a document, an item and a diagonal. Each diagonal is
+so a hit survives substitutions there. The masks together hit every overlap that verification accepts. Hits name a document, an item and a diagonal. Each diagonal is
 verified: over the aligned tokens of item and document, the best stretch of STRETCH tokens (the item's
 length, if shorter) must agree in at least MATCH of its places.
 
@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import let, stored, text_key
 
-MASKS = ("1101100111", "1110011011")
+#: With any MATCH of STRETCH places agreeing, or of an item of SPAN or more, one of these lies on agreeing places only
+#: (a test enumerates all patterns).
+MASKS = ("11111", "111011", "11010011")
 SPAN = 10
 LEAST_WORDS = 5
 STRETCH = 20
