@@ -47,6 +47,12 @@ def words(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
+def lower_words(text: Column) -> Column:
+    """Words of a text in ASCII lower case, as words(ascii_lower(text)) but cut at one sign, which is faster."""
+    one = F.translate(F.coalesce(text, F.lit("")), UPPER + SPACE[1:], LOWER + " " * (len(SPACE) - 1))
+    return F.filter(F.split(one, " "), lambda w: w != "")
+
+
 def text_key(text: Column) -> Column:
     """Tells apart rows that share a doc_id but not a text; null texts have a key of their own."""
     return F.when(text.isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(text))

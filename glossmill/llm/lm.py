@@ -1,109 +1,142 @@
 """Language-model scores by stupid backoff, computed relationally over the whole corpus.
 
-Words are hashed to 32 bits, so a bigram is one bigint and carries both of its words. Every occurrence becomes
-a row (bigram, document); one exchange by bigram brings a bigram's rows together, where its count over the
-corpus and its count in each document follow. A bigram counts as seen if other documents hold it, so a
-document's own text never vouches for itself. Seen bigrams score log(others' count / count of the first
-word), others log(BACKOFF * count of the second word / all words); scores are summed for each document.
-
-Bigrams that very many documents hold are found by approx_top_k, a sketch without a shuffle; their counts are
-summed with map-side combination and broadcast (HOT_BIGRAMS rows at most), and their rows are dealt by document
-too. The sketch only steers the dealing: results don't depend on what it finds. Unigram counts join by broadcast
-behind a count of their rows, else by shuffle; words seen once are left out of that table and default to 1.
-
-Defined cases: null, empty and blank texts have no words and a null mean; a text of one word has a unigram
-score only; the first word of a text is scored as a unigram without BACKOFF; rows that repeat a doc_id are
-one document for its sum; rows with a null doc_id count towards the corpus and are scored together under
-null; extra columns are ignored. Words whose 32-bit hashes collide count as one word.
+Two count tables: words with their counts, and bigrams with their counts and whether two documents hold them. A
+bigram scores count(first second) / count(first) if at least two documents hold it, so that no document vouches
+for itself alone, else BACKOFF * count(second) / all words; the first word of a text scores count / all words.
+Numerators and denominators are counts over the whole corpus.
+
+A text's score is the sum of its backed-off scores plus, for each seen bigram, what seeing it adds. That addend
+depends on the bigram only, so it is a column of the bigram table: exploded bigrams are partitioned by hash once, the
+table is aggregated on that partitioning, gets its words' counts, and joins the exploded bigrams where they lie.
+
+Words are 64-bit hashes. A bigram of two is one bigint: a word's id is the low 31 bits of its hash, or, where a
+smaller hash has the same, bit 31 and the next 31 bits. Moved words are a counted broadcast; where they are more than
+MOVED_ROWS, or two ids still meet, both whole hashes are the key instead. Either way no two words share a count.
+
+Bigrams that very many documents hold are found by approx_top_k, a sketch without a shuffle; they are dealt over
+slices by document and their partial counts, HOT_BIGRAMS * slices rows at most, summed apart. The sketch only steers
+the dealing. Word counts join by broadcast behind a count of their rows, else by shuffle with words of a large share
+(SHARES at most, by their exact counts) broadcast. Words that occur once need no row: their logarithm is 0.
+
+Defined cases: null, empty and blank texts have no words, score 0 and a null mean; a text of one word has a unigram
+score only; rows that repeat a doc_id are one document; rows with a null doc_id are one document under null; extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import ascii_lower, let, stored, words
+from .common import let, lower_words, stored
 
 BACKOFF = 0.4
 HOT_BIGRAMS = 2000
 BROADCAST_ROWS = 3_000_000
+MOVED_ROWS = 1_000_000
+SHARES = 10_000
+LOW = (1 << 31) - 1
+NOBODY = -(1 << 63)  # stands for a null doc_id
 
 
-def word_ids(text: Column) -> Column:
-    """32-bit hashes of a text's words, as longs of at least 0."""
-    return F.transform(words(ascii_lower(text)), lambda w: F.xxhash64(w).bitwiseAND(F.lit(0xFFFFFFFF)))
-
-
-def bigrams(ids: Column) -> Column:
-    pair = lambda i: F.shiftleft(F.get(ids, i), 32).bitwiseOR(F.get(ids, i + 1))
-    return F.when(F.size(ids) > 1, F.transform(F.sequence(F.lit(0), F.greatest(F.size(ids) - 2, F.lit(0))), pair)).otherwise(F.array().cast("array<bigint>"))
+def word_hashes(text: Column) -> Column:
+    return F.transform(lower_words(text), lambda w: F.xxhash64(w))
 
 
-def first_word(gram: Column) -> Column:
-    return F.shiftrightunsigned(gram, 32)
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word, f of every word."""
+    return docs.select(F.explode(word_hashes(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("f"))
 
 
-def second_word(gram: Column) -> Column:
-    return gram.bitwiseAND(F.lit(0xFFFFFFFF))
+def moved_words(counts: DataFrame) -> DataFrame | None:
+    """word, id of words whose low bits belong to a smaller hash; None where ids don't tell all words apart."""
+    place = F.row_number().over(Window.partitionBy(F.col("word").bitwiseAND(F.lit(LOW).cast("long"))).orderBy("word"))
+    other = F.shiftrightunsigned("word", 31).bitwiseAND(F.lit((1 << 31) - 1).cast("long")).bitwiseOR(F.lit(1 << 31).cast("long"))
+    moved = stored(counts.withColumn("place", place).where("place > 1").select("word", other.alias("id")), "moved-words")
+    few, ids = moved.limit(MOVED_ROWS + 1).agg(F.count("*"), F.countDistinct("id")).first()
+    return moved if few <= MOVED_ROWS and few == ids else None
 
 
-def bigram_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, gram, head: every bigram of a text, and before them its first word alone, as head."""
-    rows = docs.select("doc_id", F.posexplode(let(word_ids(F.col("text")), lambda ids: F.concat(F.slice(ids, 1, 1), bigrams(ids)))).alias("pos", "gram"))
-    return rows.select("doc_id", "gram", (F.col("pos") == 0).alias("head"))
+def with_ids(rows: DataFrame, moved: DataFrame | None, column: str) -> DataFrame:
+    """rows with a word's hash replaced by its id; without a table of moved words the hash is the id."""
+    if moved is None:
+        return rows
+    own = F.broadcast(moved.select(F.col("word").alias("_word"), F.col("id").alias("_id")))
+    return rows.join(own, F.col(column) == F.col("_word"), "left").withColumn(column, F.coalesce("_id", F.col(column).bitwiseAND(F.lit(LOW).cast("long")), F.lit(0).cast("long"))).drop("_word", "_id")
 
 
-def hot_bigrams(docs: DataFrame) -> DataFrame:
-    """gram, total of bigrams that are frequent in a sixteenth of the documents, counted exactly over all of them.
+def bigrams(docs: DataFrame, moved: DataFrame | None) -> DataFrame:
+    """doc and the key of every bigram: gram where ids fit into one bigint, else first and second."""
+    pairs = let(word_hashes(F.col("text")), lambda h: F.arrays_zip(F.slice(h, F.lit(1), F.greatest(F.size(h) - 1, F.lit(0))).alias("first"), F.slice(h, F.lit(2), F.greatest(F.size(h) - 1, F.lit(0))).alias("second")))
+    rows = docs.select("doc", F.explode(pairs).alias("p")).select("doc", F.coalesce("p.first", F.lit(0).cast("long")).alias("first"), F.coalesce("p.second", F.lit(0).cast("long")).alias("second"))
+    if moved is None:
+        return rows
+    rows = with_ids(with_ids(rows, moved, "first"), moved, "second")
+    return rows.select("doc", F.coalesce(F.shiftleft("first", 32).bitwiseOR(F.col("second")), F.lit(0).cast("long")).alias("gram"))
 
-    The sixteenth only chooses which bigrams are dealt over slices; HOT_BIGRAMS rows at most.
-    """
-    part = bigram_rows(docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(16)) == 0)).where("not head")
-    top = part.agg(F.count("*").alias("n"), F.expr(f"approx_top_k(gram, {HOT_BIGRAMS}, {HOT_BIGRAMS * 20})").alias("top"))
-    found = top.select("n", F.explode("top").alias("t")).where(F.col("t.count") > F.greatest(F.col("n") * 1e-4, F.lit(100))).select(F.col("t.item").alias("gram"))
-    hot = stored(found, "hot-bigrams")
-    return stored(bigram_rows(docs).where("not head").join(F.broadcast(hot), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("hot_total")), "hot-totals")
 
-
-def counted_bigrams(docs: DataFrame) -> DataFrame:
-    """gram, doc_id, own, others: occurrences of a bigram in a document, and in all others.
-
-    One exchange by bigram brings a bigram's rows together; those of hot bigrams are dealt by document too and
-    bring their totals along.
-    """
+def dealt_bigrams(docs: DataFrame, moved: DataFrame | None) -> tuple[DataFrame, list[str]]:
+    """doc, key and slice of every bigram, partitioned by key and slice (-1, or of hot bigrams one by document)."""
+    rows = bigrams(docs, moved)
+    key = [c for c in rows.columns if c != "doc"]
+    whole = F.xxhash64(*key)
+    part = bigrams(docs.where(F.pmod(F.xxhash64("doc", "text"), F.lit(16)) == 0), moved)
+    top = part.agg(F.count("*").alias("n"), F.expr(f"approx_top_k(xxhash64({', '.join(key)}), {HOT_BIGRAMS}, {HOT_BIGRAMS * 20})").alias("top"))
+    found = top.select("n", F.explode("top").alias("t")).where(F.col("t.count") > F.greatest(F.col("n") * 1e-4, F.lit(100))).select(F.col("t.item").alias("hot"))
+    hot = F.broadcast(stored(found, "hot-bigrams"))
     slices = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = F.broadcast(hot_bigrams(docs).withColumn("head", F.lit(False)))
-    rows = bigram_rows(docs).join(hot, ["gram", "head"], "left")
-    of_doc = F.pmod(F.xxhash64("doc_id"), F.lit(slices)).cast("int")
-    dealt = rows.withColumn("slice", F.when(F.col("head"), -1 - of_doc).when(F.col("hot_total").isNotNull(), of_doc).otherwise(0))
-    own = dealt.repartition("gram", "slice").groupBy("gram", "slice", "doc_id").agg(F.count("*").alias("own"), F.first("hot_total").alias("hot_total"))
-    total = F.coalesce("hot_total", F.sum("own").over(Window.partitionBy("gram", "slice")))
-    return own.select("gram", (F.col("slice") < 0).alias("head"), "doc_id", "own", (total - F.col("own")).alias("others"))
+    met = rows.join(hot, whole == F.col("hot"), "left")
+    slice_ = F.coalesce(F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("doc"), F.lit(slices)).cast("int")), F.lit(-1))
+    return met.select("doc", *key, slice_.alias("slice")).repartition(*key, "slice"), key
+
+
+def add_logs(rows: DataFrame, counts: DataFrame, column: str, name: str, n: int, small: bool, spread: Column) -> DataFrame:
+    """rows with name: the logarithm of the count of the word in a column, 0 where counts(word, f) has no row."""
+    table = counts.select(F.col("word").alias("_w"), F.log("f").alias("_l"))
+    if small:
+        return rows.join(F.broadcast(table), F.col(column) == F.col("_w"), "left").withColumn(name, F.coalesce("_l", F.lit(0.0))).drop("_w", "_l")
+    frequent = F.broadcast(counts.where(F.col("f") * SHARES > n).select(F.col("word").alias("_h"), F.log("f").alias("_hl")))
+    met = rows.join(frequent, F.col(column) == F.col("_h"), "left")
+    # A frequent word's rows need no partner: they spread by another value.
+    met = met.withColumn("_k", F.when(F.col("_h").isNull(), F.col(column)).otherwise(F.xxhash64(spread)))
+    met = met.join(table, (F.col("_k") == F.col("_w")) & F.col("_h").isNull(), "left")
+    return met.withColumn(name, F.coalesce("_hl", "_l", F.lit(0.0))).drop("_w", "_l", "_h", "_hl", "_k")
+
+
+def seen_sums(docs: DataFrame, counts: DataFrame, n: int, small: bool) -> DataFrame:
+    """doc, n_seen, gain: how many bigrams of a document are seen, and what they add to its score."""
+    moved = moved_words(counts)
+    rows, key = dealt_bigrams(docs, moved)
+    parts = rows.groupBy(*key, "slice").agg(F.count("*").alias("c"), F.min("doc").alias("low"), F.max("doc").alias("high"))
+    totals = parts.where("slice >= 0").groupBy(*key).agg(F.sum("c").alias("all_c"), F.min("low").alias("all_low"), F.max("high").alias("all_high"))
+    totals = F.broadcast(stored(totals, "hot-totals"))  # HOT_BIGRAMS rows at most
+    table = parts.join(totals, key, "left").select(*key, "slice", F.coalesce("all_c", "c").alias("c"), F.coalesce("all_low", "low").alias("low"), F.coalesce("all_high", "high").alias("high")).where("low < high")
+    if moved is not None:
+        table = table.withColumns({"first": F.shiftrightunsigned("gram", 32), "second": F.col("gram").bitwiseAND(F.lit((1 << 32) - 1))})
+    logs = with_ids(counts.where("f > 1"), moved, "word")
+    for column in ("first", "second"):
+        table = add_logs(table, logs, column, f"log_{column}", n, small, F.concat_ws(" ", *key, "slice"))
+    gain = F.log("c") - F.col("log_first") - F.col("log_second") + math.log(max(n, 1)) - math.log(BACKOFF)
+    met = rows.join(table.select(*key, "slice", gain.alias("gain")).hint("shuffle_hash"), [*key, "slice"])
+    return met.groupBy("doc").agg(F.count("*").alias("n_seen"), F.sum("gain").alias("gain"))
 
 
 def scores(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_seen, log_score, mean_log_score for docs(doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    every = docs.select(F.explode(word_ids(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("f"))
-    every = stored(every, "unigrams")
-    total = every.agg(F.sum("f")).first()[0] or 0
-    table = every.where("f > 1")
-    small = table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    lookup = (F.broadcast(table) if small else table).select(F.col("word").alias("_w"), F.col("f"))
-
-    grams = counted_bigrams(docs)
-    head = F.col("head")
-    seen = ~head & (F.col("others") > 0)
-    word = F.when(head, F.col("gram")).when(seen, first_word(F.col("gram"))).otherwise(second_word(F.col("gram")))
-    looked = grams.join(lookup, word == F.col("_w"), "left").withColumn("f", F.coalesce("f", F.lit(1)))
-    n = F.lit(float(max(total, 1)))
-    log = F.when(seen, F.log(F.col("others") / F.col("f"))).otherwise(F.log(F.when(head, 1.0).otherwise(BACKOFF) * F.col("f") / n))
-    sums = looked.groupBy("doc_id").agg(F.sum("own").alias("n"), F.sum(F.col("own") * log).alias("s"), F.sum(F.when(seen, F.col("own")).otherwise(0)).alias("seen"))
-    both = docs.select("doc_id").distinct().join(sums.withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d")), "left")
-    zero = F.lit(0).cast("long")
-    score = F.coalesce("s", F.lit(0.0))
-    return both.select("doc_id", F.coalesce("n", zero).alias("n_words"), F.coalesce("seen", zero).alias("n_seen"), F.round(score, 6).alias("log_score"), F.round(score / F.col("n"), 6).alias("mean_log_score"))
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NOBODY)).alias("doc"), "text")
+    counts = stored(word_counts(docs), "word-counts")
+    n = counts.agg(F.sum("f")).first()[0] or 0
+    small = counts.where("f > 1").limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+    words = docs.select("doc", F.explode(word_hashes(F.col("text"))).alias("word"))
+    logs = add_logs(words, counts.where("f > 1"), "word", "log", n, small, F.col("doc")).groupBy("doc").agg(F.count("*").alias("n_words"), F.sum("log").alias("logs"))
+    texts = docs.groupBy("doc").agg(F.sum(F.when(F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"), 1).otherwise(0)).alias("n_texts"))
+    both = texts.join(logs, "doc", "left").join(seen_sums(docs, counts, n, small), "doc", "left").na.fill(0)
+    score = F.col("logs") - F.col("n_words") * math.log(max(n, 1)) + (F.col("n_words") - F.col("n_texts")) * math.log(BACKOFF) + F.col("gain")
+    return both.select(F.nullif(F.col("doc"), F.lit(NOBODY)).alias("doc_id"), "n_words", "n_seen", F.round(score, 4).alias("log_score"), F.round(score / F.nullif(F.col("n_words"), F.lit(0)), 6).alias("mean_log_score"))
 
 
 def query(spark, sf_dir):
@@ -121,15 +154,15 @@ u AS (SELECT w, count(*) AS f FROM t GROUP BY w),
 n AS (SELECT count(*) AS n FROM t),
 b AS (SELECT doc_id, w1, w2, count(*) AS own FROM (
   SELECT doc_id, w AS w1, lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS w2 FROM t) WHERE w2 IS NOT NULL GROUP BY ALL),
-o AS (SELECT *, sum(own) OVER (PARTITION BY w1, w2) - own AS others FROM b),
-s AS (SELECT doc_id, sum(own * CASE WHEN others > 0 THEN ln(others / u1.f) ELSE ln(0.4 * u2.f / n.n) END) AS s,
-             sum(CASE WHEN others > 0 THEN own ELSE 0 END) AS n_seen
-      FROM o JOIN u u1 ON u1.w = w1 JOIN u u2 ON u2.w = w2 CROSS JOIN n GROUP BY doc_id),
+g AS (SELECT w1, w2, sum(own) AS c, count(*) > 1 AS seen FROM b GROUP BY ALL),
+s AS (SELECT doc_id, sum(own * CASE WHEN seen THEN ln(c / u1.f) ELSE ln(0.4 * u2.f / n.n) END) AS s,
+             sum(CASE WHEN seen THEN own ELSE 0 END) AS n_seen
+      FROM b JOIN g USING (w1, w2) JOIN u u1 ON u1.w = w1 JOIN u u2 ON u2.w = w2 CROSS JOIN n GROUP BY doc_id),
 h AS (SELECT doc_id, ln(u.f / n.n) AS first FROM t JOIN u USING (w) CROSS JOIN n WHERE i = 1),
 r AS (SELECT w.doc_id, CAST(len(a) AS BIGINT) AS n_words, CAST(coalesce(n_seen, 0) AS BIGINT) AS n_seen,
              coalesce(first, 0) + coalesce(s, 0) AS score
       FROM w LEFT JOIN s USING (doc_id) LEFT JOIN h USING (doc_id))
-SELECT doc_id, n_words, n_seen, round(score, 6) AS log_score,
+SELECT doc_id, n_words, n_seen, round(score, 4) AS log_score,
        round(score / CASE WHEN n_words > 0 THEN n_words END, 6) AS mean_log_score
 FROM r
 """

@@ -269,23 +269,32 @@ def test_neighbours_edges(spark):
     assert neighbours.search(vectors(spark, []), vectors(spark, []), 10).count() == 0
 
 
-def test_lm_brute_force(spark):
-    texts = [(1, "a b a b c"), (2, "a b c"), (3, None), (4, ""), (5, "z"), (2, "b c a"), (6, "A b\tc  a b")]
-    got = {r.doc_id: (r.n_words, r.n_seen, r.log_score) for r in lm.scores(frame(spark, texts)).collect()}
+@pytest.mark.parametrize("form", ["narrow", "moved", "wide", "shuffled"])
+def test_lm_brute_force(spark, monkeypatch, form):
+    if form == "moved":  # so few bits that words meet, and nearly all are moved
+        monkeypatch.setattr(lm, "LOW", 3)
+    if form == "wide":
+        monkeypatch.setattr(lm, "moved_words", lambda counts: None)
+    if form == "shuffled":
+        monkeypatch.setattr(lm, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(lm, "SHARES", 4)
+    texts = [(1, "a b a b c"), (2, "a b c"), (3, None), (4, ""), (5, "z"), (2, "b c a"), (6, "A b\tc  a b"), (None, "c a q"), (None, "r q"), (7, "long words " * 20_000), (8, "x" * 90_000)]
+    got = {r.doc_id: (r.n_words, r.n_seen, r.log_score, r.mean_log_score) for r in lm.scores(frame(spark, texts)).collect()}
     docs = defaultdict(list)
     for i, t in texts:
         docs[i].append((t or "").lower().split())
     uni = Counter(w for d in docs.values() for t in d for w in t)
     own = {i: Counter(p for t in d for p in zip(t, t[1:])) for i, d in docs.items()}
     every, n = sum(own.values(), Counter()), sum(uni.values())
+    held = Counter(p for c in own.values() for p in c)
+    assert len(got) == len(docs)
     for i, d in docs.items():
         s = sum(math.log(uni[t[0]] / n) for t in d if t)
-        seen = 0
         for (a, b), c in own[i].items():
-            others = every[a, b] - c
-            seen += c if others else 0
-            s += c * (math.log(others / uni[a]) if others else math.log(0.4 * uni[b] / n))
-        assert got[i][:2] == (sum(map(len, d)), seen) and abs(got[i][2] - s) < 1e-5
+            s += c * (math.log(every[a, b] / uni[a]) if held[a, b] > 1 else math.log(0.4 * uni[b] / n))
+        words = sum(map(len, d))
+        assert got[i][:2] == (words, sum(c for p, c in own[i].items() if held[p] > 1)) and abs(got[i][2] - s) < 2e-4
+        assert (got[i][3] is None) == (words == 0)
     assert lm.scores(frame(spark, [])).count() == 0
 
 
