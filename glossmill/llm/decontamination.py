@@ -10,8 +10,10 @@ Exploded windows carry hashes and positions only. The benchmark's windows are br
 their rows, else both sides are shuffled by hash; texts move only where verified documents are too many
 to broadcast.
 
-Defined cases: null and short texts have no windows and are clean; items with fewer words than SPAN but
-LEAST_WORDS or more must occur word for word; shorter items take no part; rows with a null doc_id or item_id
+Items with fewer words than SPAN but LEAST_WORDS or more must occur word for word. Still shorter items, which common
+phrases are full of, must be the whole of one of the document's lines.
+
+Defined cases: null and short texts have no windows; items without a word, and rows with a null doc_id or item_id
 take no part; repeated documents and items report once; extra columns are ignored.
 """
 
@@ -75,7 +77,9 @@ def best_stretch(aligned: Column, item: Column, width: Column) -> Column:
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, matched, stretch: verified overlaps, the best for each pair."""
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), token_hashes(F.col("text")).alias("tokens")).distinct()
-    items = items.withColumn("words", F.size("tokens")).where(F.col("words") >= LEAST_WORDS)
+    items = stored(items.withColumn("words", F.size("tokens")), "benchmark-items")
+    few_words = items.where(F.col("words").between(1, LEAST_WORDS - 1))
+    items = items.where(F.col("words") >= LEAST_WORDS)
     own = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")).alias("text_key"))
     found = hits(own.select("doc_id", "text_key", token_hashes(F.col("text")).alias("tokens")), items)
     found = stored(found.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("item_id", "words", "shift")).alias("diagonals")), "diagonals")
@@ -89,13 +93,23 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     same_length = F.size("aligned") == F.col("words")
     scored = near.join(items, "item_id").where(same_length).select("doc_id", "item_id", best_stretch(F.col("aligned"), F.col("tokens"), width).alias("matched"), width.alias("stretch"), "words")
     need = F.when(F.col("words") < SPAN, F.col("stretch").cast("double")).otherwise(F.lit(MATCH) * F.col("stretch"))
-    return scored.where(F.col("matched") >= need).groupBy("doc_id", "item_id").agg(F.max("matched").cast("long").alias("matched"), F.max("stretch").cast("long").alias("stretch"))
+    out = scored.where(F.col("matched") >= need).groupBy("doc_id", "item_id").agg(F.max("matched").cast("long").alias("matched"), F.max("stretch").cast("long").alias("stretch"))
+    return out.unionByName(whole_lines(own, few_words)) if few_words.take(1) else out
+
+
+def whole_lines(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, item_id, matched, stretch: items that are the whole of a document's line."""
+    lines = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), token_hashes))).alias("tokens"))
+    lines = lines.where(F.size("tokens").between(1, LEAST_WORDS - 1))
+    small = items.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    words = F.col("words").cast("long")
+    return lines.join(F.broadcast(items) if small else items, "tokens").select("doc_id", "item_id", words.alias("matched"), words.alias("stretch")).distinct()
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id has no verified overlap; rows with a null doc_id stay."""
     bad = overlaps(docs, benchmark).select(F.col("doc_id").alias("leaked_doc")).distinct()
-    return docs.join(bad, docs.doc_id == F.col("leaked_doc"), "left_anti")
+    return docs.join(bad, docs["doc_id"] == bad["leaked_doc"], "left_anti")
 
 
 def query(spark, sf_dir):

@@ -4,23 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+MOST_ROWS, LEAST_ROWS, MOST_CHARS = 12_000, 8, 100_000
 
-def labelled_sample(rows: DataFrame, label: str, per_label: int, max_labels: int = 64) -> list:
+
+def labelled_sample(rows: DataFrame, label: str, per_label: int) -> list:
     """About per_label rows of each label, chosen by a hash of the key, as a list of Row.
 
-    rows: key, text and label columns without nulls in the label. The result holds at most
-    2 * per_label * max_labels rows; labels beyond the max_labels most frequent are left out of the fit.
+    rows: key, text and label columns without nulls in the label. Bounds: every label is in the sample; with many
+    labels each has fewer rows, so that about MOST_ROWS come, but LEAST_ROWS at least; more labels than MOST_ROWS /
+    LEAST_ROWS are an error. Texts of up to MOST_CHARS characters are drawn whole; only a label that has none of them
+    gives a stretch of so many characters from the middle of its texts.
     """
-    counts = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_labels).collect()
+    most_labels = MOST_ROWS // LEAST_ROWS
+    fits = F.char_length("text") <= MOST_CHARS
+    counts = rows.groupBy(label).agg(F.count("*").alias("n"), F.count_if(fits).alias("n_fit")).limit(most_labels + 1).collect()
     if not counts:
         return []
+    if len(counts) > most_labels:
+        raise ValueError(f"more than {most_labels} labels can't be learned from {MOST_ROWS} rows")
+    per = max(LEAST_ROWS, min(per_label, MOST_ROWS // len(counts)))
+    shares = [(r[label], min(1 << 20, -(-per * (1 << 20) // (r["n_fit"] or r["n"]))), r["n_fit"] == 0) for r in counts]
+    schema = T.StructType([T.StructField("_label", rows.schema[label].dataType), T.StructField("_share", T.LongType()), T.StructField("_cut", T.BooleanType())])
+    shares = F.broadcast(rows.sparkSession.createDataFrame(shares, schema))
     draw = F.pmod(F.xxhash64(F.col("key"), F.lit("draw")), F.lit(1 << 20))
-    wanted = F.lit(False)
-    for row in counts:
-        share = min(1 << 20, -(-per_label * (1 << 20) // row["count"]))
-        wanted = wanted | ((F.col(label) == row[label]) & (draw < share))
-    return sorted(rows.where(wanted).limit(2 * per_label * len(counts)).collect(), key=lambda r: (str(r["key"]), str(r["text"])))
+    drawn = rows.join(shares, F.col(label) == F.col("_label")).where((draw < F.col("_share")) & (fits | F.col("_cut")))
+    middle = F.substring(F.col("text"), (F.char_length("text") / 2 - MOST_CHARS / 2).cast("int") + 1, F.lit(MOST_CHARS))
+    drawn = drawn.withColumn("text", F.when(F.col("_cut"), middle).otherwise(F.col("text"))).drop("_label", "_share", "_cut")
+    return sorted(drawn.limit(2 * per * len(counts)).collect(), key=lambda r: (str(r["key"]), str(r["text"])))
 
 
 def remainder(doc_id, base: int):

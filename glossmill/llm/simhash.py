@@ -208,14 +208,6 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFram
     return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def representatives(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
-    """The rows of docs that stand for their group: the smallest doc_id, once; rows with a null doc_id stay."""
-    found = near_duplicates(docs.select("doc_id", "text"), size, radius)
-    heads = found.where("doc_id = component_id").select(F.col("doc_id").alias("head")).distinct()
-    kept = docs.join(heads, docs.doc_id == F.col("head"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
-
-
 def query(spark, sf_dir):
     from .common import table
 

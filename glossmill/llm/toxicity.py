@@ -3,13 +3,14 @@
 A word's vector is the sum of hashed embeddings of the word and of its five-letter stem. Filters of several
 widths slide over the words of a whole text, each keeps its maximum, and a logistic layer reads the maxima.
 The net is trained with Adam in numpy on the driver from a sample of at most 2 * per_label labelled texts of
-each label (documented bound). Embeddings of slots never seen in training stay zero, so unknown words are
+each label (documented bound, see sampling). Embeddings of slots never seen in training stay zero, so unknown words are
 neutral. Thresholds are calibrated for each language on a fold of the sample; a text's language is guessed
 from its own words, by word log-odds learned from the same sample, and scores are shifted so that 0.5 is
 the threshold.
 
 Defined cases: null, empty and letterless texts score as a text without words; with no labels of both kinds
-every row scores 0; repeated rows score alike; equal scores predict alike.
+every row scores 0; repeated rows score alike; equal scores predict alike; rows with a null doc_id are scored and
+never learned from; extra columns are ignored, but for those carried on, which may not be called score or predicted.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from glossmill.llm import decontamination, language_id, licenses, line_dedup, lm, neighbours, pieces, sharding, simhash, toxicity
+from glossmill.llm import decontamination, language_id, licenses, line_dedup, lm, neighbours, pieces, sampling, sharding, simhash, toxicity
 from glossmill.llm.sampling import remainder
 
 SF = "/root/testdata/sf0.001"
@@ -205,12 +205,13 @@ def test_decontamination(spark):
     half = items[0][:13] + noise(17)
     rows = [
         (1, noise(50) + items[0] + noise(9)), (2, noise(5) + swapped), (3, noise(90)), (4, noise(3) + [w.upper() + "!" for w in items[1]] + noise(3)), (5, items[2] * 4),
-        (6, noise(4) + items[1][:6] + noise(4)), (7, noise(3) + half), (8, items[0][:25]), (None, items[0]),
+        (6, noise(4) + items[1][:6] + noise(4)), (7, noise(3) + half), (8, items[0][:25]), (None, items[0]), (12, noise(30_000) + items[0]), (1, noise(50) + items[0] + noise(9)),
     ]
-    docs = frame(spark, [(i, " ".join(t)) for i, t in rows] + [(9, None), (10, "")])
+    rows[-1] = rows[0]
+    docs = frame(spark, [(i, " ".join(t)) for i, t in rows] + [(9, None), (10, ""), (11, "a line\n " + " ".join(items[2]).upper() + ".\nan end")]).withColumn("leaked_doc", F.lit(1))
     bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)] + [(None, "x"), (4, None)], "item_id long, text string")
     got = {(r.doc_id, r.item_id): (r.matched, r.stretch) for r in decontamination.overlaps(docs, bench).collect()}
-    assert got == {(1, 0): (20, 20), (2, 0): (18, 20), (4, 1): (7, 7), (8, 0): (20, 20)}
+    assert got == {(1, 0): (20, 20), (2, 0): (18, 20), (4, 1): (7, 7), (8, 0): (20, 20), (11, 2): (3, 3), (12, 0): (20, 20)}
     assert sorted(str(r.doc_id) for r in decontamination.clean(docs, bench).collect()) == sorted(["3", "5", "6", "7", "9", "10", "None"])
     assert decontamination.overlaps(docs, bench.limit(0)).count() == 0 and decontamination.overlaps(docs.limit(0), bench).count() == 0
 
@@ -304,6 +305,31 @@ def test_language_codes():
         assert len({tuple(r) for r in code.tolist()}) == n
 
 
+def test_many_languages(spark):
+    """Every label is learned, however many there are: 90 languages with letters of their own."""
+    rng = random.Random(3)
+    rows = []
+    for n in range(90):
+        letters = [chr(0x4E00 + 40 * n + k) for k in range(12)]
+        rows += [(1000 * n + i, " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(12)), f"l{n:02}") for i in range(14 if n else 400)]
+    docs = spark.createDataFrame(rows, "key long, text string, lang string")
+    model = language_id.learn(docs.where("key % 2 = 0"))
+    assert len(model["names"]) == 90
+    held = docs.where("key % 2 = 1").select(F.col("key").alias("doc_id"), "text", F.lit(True).alias("held_out"), "lang")
+    got = language_id.identify(held, model).join(held.select("doc_id", "lang"), "doc_id").collect()
+    assert sum(r.lang_pred == r.lang for r in got) >= 0.9 * len(got)
+
+
+def test_samples(spark, monkeypatch):
+    """Long texts give a stretch only where a label has no other; too many labels are an error."""
+    monkeypatch.setattr(sampling, "MOST_CHARS", 10)
+    rows = spark.createDataFrame([(1, "short a", "a"), (2, "a" * 30, "a"), (3, "b" * 10 + "middle" + "b" * 10, "b")], "key long, text string, lang string")
+    assert [(r.key, r.text) for r in sampling.labelled_sample(rows, "lang", 10)] == [(1, "short a"), (3, "bbmiddlebb")]
+    monkeypatch.setattr(sampling, "MOST_ROWS", 8)
+    with pytest.raises(ValueError):
+        sampling.labelled_sample(rows, "lang", 10)
+
+
 def test_language_id(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("held_out", remainder(F.col("doc_id"), 3) == 1)
     model = language_id.learn(docs.where("not held_out").select(F.col("doc_id").alias("key"), "text", "lang"))
