@@ -233,10 +233,52 @@ def test_decontamination_finds_all_shared_passages(spark):
     assert want and want <= got
 
 
+def best_runs(rows, dice=0.8):
+    """The best run of words for each document and licence, over all runs of all sizes."""
+    import regex
+
+    words = lambda t: regex.findall(r"[\p{L}\p{N}]+", (t or "").lower())
+    found = {}
+    for doc, text in rows:
+        w = words(text)
+        grams = list(zip(w, w[1:]))
+        for name, wording in licenses.TEMPLATES:
+            t = words(wording)
+            want = Counter(zip(t, t[1:]))
+            b = len(t) - 1
+            for i in range(len(grams)):
+                seen, m = Counter(), 0
+                for j in range(i, min(len(grams), i + 2 * b)):
+                    seen[grams[j]] += 1
+                    m += seen[grams[j]] <= want[grams[j]]
+                    d = 2 * m / (j - i + 1 + b)
+                    if d >= dice:
+                        found[doc, name] = min(found.get((doc, name), (0, 0, 0)), (-d, i, j))
+    return {(str(doc), name): (round(-d, 9), i, j - i + 2) for (doc, name), (d, i, j) in found.items()}
+
+
+def wrapped(text, width=12, sign="# "):
+    w = text.split()
+    return "\n".join(sign + " ".join(w[i : i + width]) for i in range(0, len(w), width))
+
+
 def test_licenses(spark):
-    rows = [(1, "Some words to begin with\nreleased under the MIT license\nand some to end with"), (2, "Licensed under CC BY-NC 4.0."), (3, None), (4, "MIT License"), (None, "Released under the MIT License."), (5, "the of and to a in")]
-    got = {(str(r.doc_id), r.license): (r.n_units, round(r.best_dice, 6)) for r in licenses.scan(frame(spark, rows), licenses.template_table(spark)).collect()}
-    assert got == {("1", "mit"): (1, 1.0), ("2", "cc-by-nc-4.0"): (1, 1.0), ("None", "mit"): (1, 1.0)}
+    rng = random.Random(7)
+    code = "\n".join(f"def f{i}(x, y):\n    return x * {i} + y  # of the software, in the case of any use" for i in range(60))
+    mit = " ".join(t for n, t in licenses.TEMPLATES if n == "mit" and len(t) > 600)
+    bsd = max((t for n, t in licenses.TEMPLATES if n == "bsd-3-clause"), key=len).split()
+    for k in range(5, len(bsd), 25):
+        bsd[k] = "changed"
+    rows = [
+        (1, "Some words to begin with\nreleased under the MIT license\nand some to end with"), (2, "Licensed under CC BY-NC 4.0."), (3, None), (4, "MIT License"), (None, "Released under the MIT License."),
+        (5, "the of and to a in"), (6, "/*\n" + wrapped(mit) + "\n*/\n" + code), (7, "Copyright 2020 somebody\n" + wrapped(" ".join(bsd), 9, " * ") + code), (8, wrapped(licenses.MIT_1, 7, "// ")), (9, ""),
+        (10, "Released under the MIT License. See the file LICENSE for details."), (1, "Some words to begin with\nreleased under the MIT license\nand some to end with"), (11, "word " * 30_000 + "Released under the MIT License."),
+        (12, " ".join(rng.choice(licenses.MIT_1.split()) for _ in range(400))), (13, "of the of the of the license of the license mit license released under the mit the mit license under the mit license"),
+    ]
+    docs = frame(spark, rows).withColumns({"template": F.lit("x"), "license": F.lit(1), "wanted": F.lit(2), "text_key": F.lit(3)})
+    got = {(str(r.doc_id), r.license): (round(r.best_dice, 9), r.first_word, r.n_words) for r in licenses.scan(docs, licenses.template_table(spark)).collect()}
+    assert got == best_runs([r for r in rows if len(r[1] or "") < 100_000]) | {("11", "mit"): (1.0, 30_000, 5)}
+    assert {("6", "mit"), ("7", "bsd-3-clause"), ("8", "mit"), ("10", "mit"), ("None", "mit")} <= set(got) and not {"3", "4", "5", "9"} & {d for d, _ in got}
     assert licenses.scan(frame(spark, []), licenses.template_table(spark)).count() == 0
     with pytest.raises(ValueError):
         licenses.template_table(spark, [("x", "y z")] * 3000)
