@@ -1,33 +1,37 @@
 """A uniform shuffle of rows into shards of exact size, by a hypergeometric communication matrix.
 
-Rows fall into source blocks by a hash. The matrix of how many rows go from each block to each shard is drawn
-from the multivariate hypergeometric law with the blocks' counts as row sums and the shard sizes as column
-sums, so shard sizes are exact and every assignment is equally likely. Each block is permuted by a random key
-and its first rows go to shard 0, the next to shard 1 and so on; rows are exchanged by shard, and permuted
-again inside it. The second permutation sorts by a fresh random key that is dealt over bins first, so a shard
-is never one task: slots are the bin's offset plus the place in the bin.
-
-Random keys are hashes of the row and the seed, so a lost task is computed again with the same result. Rows
-that are equal in all given columns are counted before the first exchange and numbered on their way out, so
-many repeats of one row cost one row of the shuffle.
-
-Only the drawing of the matrix (BLOCKS x shards integers) is done by the driver.
-
-Defined cases: null columns are values like any other; null texts have 0 bytes; an empty table gives no
-rows; repeated rows are told apart by `copy` and get places of their own; columns called block, shard, slot,
-copy or n of the input are dropped by the query before they can clash.
+The rows are written once, so that partitions and places stay as they are, however often a lost task is computed
+again. The driver draws how many rows go from each partition to each shard from the multivariate hypergeometric law
+with the partitions' counts as row sums and the shard sizes as column sums, so shard sizes are exact and every
+assignment is equally likely. Each partition is permuted where it lies, by a sort within the partition on random keys;
+its first rows go to shard 0, the next to shard 1 and so on. The one exchange of rows brings a shard's rows together,
+dealt over bins by a second random key so that a shard is never one task, and they are permuted again inside: a slot is
+the bin's offset plus the place in the bin.
+
+Random keys are hashes of the seed and a row's place, never of its content, so equal rows are dealt like any other and
+no key is hot. The same partitions give the same shards; another layout of the table gives another draw.
+
+Only counts reach the driver: a number for each partition (MOST_BLOCKS at most; of more it asks to be given larger
+ones) and the matrix it draws.
+
+Defined cases: null columns are values like any other; null texts have 0 bytes; an empty table gives no rows; repeated
+rows get places of their own; input columns called shard or slot are replaced, all others are kept.
 """
 
 from __future__ import annotations
 
 import math
 import random
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-BLOCKS = 256
+from .common import stored
+
+MOST_BLOCKS = 65_536
+BIN_ROWS = 1_000_000
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
@@ -78,32 +82,34 @@ def shard_sizes(total: int, shards: int) -> list[int]:
 
 
 def shuffle_into_shards(df: DataFrame, shards: int, seed: int = 0) -> DataFrame:
-    """df's columns with copy (number among equal rows), shard and slot."""
-    spark, own = df.sparkSession, df.columns
-    order = [F.col(c) for c in own]
-    key = F.xxhash64(F.lit(seed), *order, "copy")
-    counted = df.groupBy(*own).agg(F.count("*").alias("n"))
-    rows = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("n")
-    blocked = rows.withColumn("block", F.pmod(key, F.lit(BLOCKS)).cast("int"))
-
-    counts = dict.fromkeys(range(BLOCKS), 0) | {r["block"]: r["count"] for r in blocked.groupBy("block").count().collect()}  # BLOCKS rows
+    """df's columns with shard and slot."""
+    spark, own = df.sparkSession, [c for c in df.columns if c not in ("shard", "slot")]
+    rows = stored(df.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(own))), "sharding-input")
+    block = F.spark_partition_id()
+    found = rows.groupBy(block.alias("block")).count().limit(MOST_BLOCKS + 1).collect()
+    if len(found) > MOST_BLOCKS:
+        raise ValueError(f"read the table in at most {MOST_BLOCKS} partitions: set spark.sql.files.maxPartitionBytes")
+    counts = {r["block"]: r["count"] for r in sorted(found)}
     total = sum(counts.values())
-    matrix = communication_matrix([counts[b] for b in range(BLOCKS)], shard_sizes(total, shards), seed)
-    ends = [[sum(row[: j + 1]) for j in range(shards)] for row in matrix]
-    table = F.broadcast(spark.createDataFrame([(b, row) for b, row in enumerate(ends)], "block int, ends array<bigint>"))  # BLOCKS rows
-
-    first = Window.partitionBy("block").orderBy(F.xxhash64(F.lit(seed + 1), *order, "copy"), *order, "copy")
-    placed = blocked.withColumn("rank", F.row_number().over(first).cast("long")).join(table, "block")
-    sent = placed.withColumn("shard", F.size(F.filter("ends", lambda e: e < F.col("rank"))).cast("int")).drop("ends", "rank", "block")
-
-    bins = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // shards)) * 4
-    again = F.xxhash64(F.lit(seed + 2), *order, "copy")
+    matrix = communication_matrix(list(counts.values()), shard_sizes(total, shards), seed)
+    ends = [(b, list(accumulate(row))) for b, row in zip(counts, matrix)]
+    table = F.broadcast(spark.createDataFrame(ends, "block int, ends array<bigint>"))  # MOST_BLOCKS rows at most
+
+    # The number of a row in its partition: before the sort its place, after it its rank in the permutation.
+    number = F.monotonically_increasing_id()
+    permuted = rows.withColumn("row", number).sortWithinPartitions(F.xxhash64(F.lit(seed + 1), "row"), "row")
+    ranked = permuted.withColumns({"rank": number.bitwiseAND(F.lit((1 << 33) - 1)), "block": block})
+    sent = ranked.join(table, "block").withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("rank"))).cast("int")).drop("ends", "rank", "block")
+
+    bins = max(-(-int(spark.conf.get("spark.sql.shuffle.partitions")) // shards) * 4, total // (shards * BIN_ROWS), 1)
+    again = F.xxhash64(F.lit(seed + 2), "row")
     dealt = sent.withColumn("bin", F.floor((F.shiftrightunsigned(again, 1) / F.lit(2.0**63)) * bins).cast("int"))
-    in_bin = Window.partitionBy("shard", "bin").orderBy(again, *order, "copy")
     sizes = dealt.groupBy("shard", "bin").count()
     before = Window.partitionBy("shard").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     offsets = F.broadcast(sizes.withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count"))  # shards x bins rows
-    return dealt.withColumn("place", F.row_number().over(in_bin)).join(offsets, ["shard", "bin"]).withColumn("slot", (F.col("before") + F.col("place") - 1).cast("long")).drop("bin", "before", "place")
+    in_bin = Window.partitionBy("shard", "bin").orderBy(again, "row")
+    placed = dealt.withColumn("place", F.row_number().over(in_bin)).join(offsets, ["shard", "bin"])
+    return placed.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(own)), "shard", (F.col("before") + F.col("place") - 1).cast("long").alias("slot"))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -189,11 +189,41 @@ def test_sharding_edges(spark):
 
 
 def test_sharding_is_repeatable(spark):
-    d = sharding.digest(documents(spark))
-    a, b = (sorted(map(tuple, sharding.shuffle_into_shards(x, 7, 1).collect())) for x in (d, d.repartition(11)))
+    d = sharding.digest(documents(spark)).repartition(5, "doc_id")
+    a, b = (sorted(map(tuple, sharding.shuffle_into_shards(d, 7, 1).collect())) for _ in range(2))
     assert a == b
 
 
+def test_sharding_keeps_columns(spark):
+    """Columns of any name come back, but shard and slot are replaced."""
+    names = ["block", "copy", "n", "bin", "row", "rank", "ends", "c0", "shard", "slot", "before", "place"]
+    df = spark.createDataFrame([tuple(f"{i}{k}" for k in names) for i in range(30)], ", ".join(f"{k} string" for k in names))
+    got = sharding.shuffle_into_shards(df, 4, 2).collect()
+    assert sorted(r.block for r in got) == sorted(f"{i}block" for i in range(30)) and all(r.c0 == r.block.replace("block", "c0") for r in got)
+    assert {type(r.shard) for r in got} == {int} and Counter(r.shard for r in got) == {0: 8, 1: 8, 2: 7, 3: 7}
+
+
+def test_sharding_is_uniform(spark):
+    """From end to end: where rows come from says nothing about shard, slot or the order of neighbours."""
+    n, shards, runs = 3000, 6, 6
+    df = spark.range(n, numPartitions=5)
+    cells, same, later, halves = Counter(), 0, 0, Counter()
+    for seed in range(runs):
+        at = {r.id: (r.shard, r.slot) for r in sharding.shuffle_into_shards(df, shards, 100 + 7 * seed).collect()}
+        assert Counter(s for s, _ in at.values()) == {s: n // shards for s in range(shards)}
+        for i in range(n):
+            cells[i * 30 // n, at[i][0]] += 1
+            halves[i * 30 // n] += at[i][1] < n // shards // 2
+            same += i + 1 < n and at[i][0] == at[i + 1][0]
+            later += i + 1 < n and at[i] < at[i + 1]
+    mean = runs * n / 30 / shards
+    chi = sum((cells[a, s] - mean) ** 2 / mean for a in range(30) for s in range(shards))
+    assert abs(chi - 29 * 5) < 5 * math.sqrt(2 * 29 * 5)
+    pairs = runs * (n - 1)
+    assert abs(same / pairs - 1 / shards) < 5 * math.sqrt(1 / shards / pairs) and abs(later / pairs - 0.5) < 5 * math.sqrt(0.25 / pairs)
+    assert max(abs(h - runs * n / 60) for h in halves.values()) < 5 * math.sqrt(runs * n / 120)
+
+
 def test_decontamination(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
