@@ -318,30 +318,64 @@ def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>")
 
 
-def test_neighbours_recall(spark):
-    rows = spark.read.parquet(f"{SF}/embeddings.parquet")
+def recall(got, x, ids, asked):
+    """Share of the true ten nearest that were found, over all queries, those without a result included."""
+    hit = 0
+    for q in asked:
+        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(axis=1))
+        best = {i for _, i in sorted((v, i) for v, i in zip(d, ids) if i != q)[:10]}
+        found = {i for i, _ in got.get(q, [])}
+        assert all(abs(d[ids == i][0] - s) < 1e-9 for i, s in got.get(q, []))
+        hit += len(best & found) / len(best)
+    return hit / len(asked)
+
+
+@pytest.mark.parametrize("sf, block_rows", [("sf0.1", neighbours.BLOCK_ROWS), ("sf0.1", 300), ("sf0.01", 40)])
+def test_neighbours_recall(spark, sf, block_rows):
+    rows = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
     got = defaultdict(list)
-    for r in neighbours.search(rows, rows.where("vec_id % 100 = 0"), 10, block_rows=100, query_rows=2).orderBy("query_id", "rank").collect():
+    for r in neighbours.search(rows, rows.where("vec_id % 100 = 0"), 10, block_rows=block_rows).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     pdf = rows.toPandas()
     x, ids = np.stack(pdf.embedding).astype(float), pdf.vec_id.to_numpy()
-    hit = 0
-    for q in got:
-        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(axis=1))
-        best = sorted((v, i) for v, i in zip(d, ids) if i != q)[:10]
-        hit += len({i for _, i in best} & {i for i, _ in got[q]})
-        assert all(abs(d[ids == i][0] - s) < 1e-9 for i, s in got[q])
-    assert hit >= 0.9 * 10 * len(got)
+    assert recall(got, x, ids, [i for i in ids if i % 100 == 0]) >= 0.9
+
+
+@pytest.mark.parametrize("kind", ["sphere", "gaussian", "clusters"])
+def test_neighbours_of_a_full_block(kind):
+    """The shipped block size: recall against brute force, and the threshold leaves most vectors out."""
+    rng, n = np.random.default_rng(5), neighbours.BLOCK_ROWS
+    x = rng.normal(size=(n, 64))
+    if kind == "sphere":
+        x /= np.linalg.norm(x, axis=1)[:, None]
+    if kind == "clusters":
+        x = rng.normal(size=(100, 64))[rng.integers(0, 100, n)] + 0.2 * x
+    ids = np.arange(n)
+    block = neighbours.Block(ids, x)
+    got = {q: list(zip(*block.search(x[q], 10, q))) for q in range(0, n, 100)}
+    assert recall(got, x, ids, list(range(0, n, 100))) >= 0.9
+    assert block.verified / block.searches / n < (0.05 if kind == "clusters" else 0.6)
 
 
 def test_neighbours_edges(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [5.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [1.0]), (8, [9.0, 9.0]), (None, [1.0, 0.0]), (100, [float("inf"), 0.0])]
-    v = vectors(spark, rows)
+    v = vectors(spark, rows).withColumns({c: F.lit("x") for c in ("v", "block", "kind", "id", "score", "rank")})
     got = [tuple(r) for r in neighbours.search(v, v.where("vec_id % 100 = 0"), 10).orderBy("query_id", "rank").collect()]
     assert [(q, k, i) for q, k, i, _ in got] == [(0, 1, 1), (0, 2, 2), (0, 3, 8)]
     assert neighbours.search(vectors(spark, []), vectors(spark, []), 10).count() == 0
 
 
+@pytest.mark.parametrize("block_rows", [8192, 7])
+def test_neighbours_ties(spark, block_rows):
+    """Of more than k equal distances the smaller ids answer; repeated rows and ids answer once."""
+    rows = [(i, [1.0, 2.0, 2.0]) for i in range(0, 60)] * 2 + [(5, [9.0, 9.0, 9.0])] * 15
+    v = vectors(spark, rows)
+    got = defaultdict(list)
+    for r in neighbours.search(v, v.where("vec_id = 0"), 10, block_rows).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert dict(got) == {0: [(i, 0.0) for i in range(1, 11)]}
+
+
 @pytest.mark.parametrize("form", ["narrow", "moved", "wide", "shuffled"])
 def test_lm_brute_force(spark, monkeypatch, form):
     if form == "moved":  # so few bits that words meet, and nearly all are moved
