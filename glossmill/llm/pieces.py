@@ -6,13 +6,15 @@ draw from the law in which a path's weight is the product of its pieces' weights
 No piece of the vocabulary holds a space (U+2581 in the file) after another sign, so the lattice of a text
 falls into independent lattices of words and each distinct word's forward pass is done once a task.
 Backward steps of all words of a batch are drawn together in numpy. Random numbers are hashes of the row's
-key, the word's place and the step, so a row's segmentation never depends on its partition or batch.
+key, the word's place and the step, and shares are whole numbers computed from the word alone, so a row's segmentation
+never depends on its partition or batch.
 
 The public model has merge ranks for scores; piece weights follow Zipf's law over those ranks. Characters
 without a piece, such as U+2581 itself, are written as byte pieces, so decode(encode(text)) == text for any text.
 
 Defined cases: a null text gives null ids and decodes to null; an empty text gives no ids; null keys count as
-one key; repeated rows get equal segmentations; a word of any length is one lattice of linear size.
+one key; repeated rows get equal segmentations; a word of any length is one lattice of linear size; extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -66,14 +68,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 BASE = np.uint64(0x5851F42D4C957F2D)
+ONE = 1 << 53
 SHORT = 30  # characters of a word that is added together with others
 
 
 class Lattices:
     """Forward passes of distinct words, as edges sorted by their end node.
 
-    An edge's key is its end node plus the cumulated share of the forward sum; its start is negative
-    where the lattice begins. Short words are added together in numpy: substrings are looked up by rolling
+    An edge's key is the cumulated share of its end node's forward sum, as a whole number of 2^-53; it is computed from
+    the word alone, to the bit. The edge's start is negative where the lattice begins. Short words are added together in numpy: substrings are looked up by rolling
     hashes in tables of piece prefixes, length by length, and sums advance over all words at once. Longer
     words are added one by one with rescaled sums.
     """
@@ -98,7 +101,7 @@ class Lattices:
 
     def clear(self):
         self.last, self.nodes = {}, 0
-        self.keys, self.ids, self.starts, self.first = np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.ids, self.starts, self.first = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _keep(self, words, sizes, keys, ids, starts, ends):
         """Appends words whose nodes follow the known ones; edges are sorted by end node."""
@@ -147,12 +150,12 @@ class Lattices:
                 np.add.at(alpha, local(end[e]), flow[e])
         order = end.argsort(kind="stable")
         end, start, piece = end[order], start[order], piece[order]
-        run = np.cumsum(flow[order] / alpha[local(end)])
+        # Whole numbers add up without rounding, and differences survive an overflow, so no word sees its neighbours.
+        run = np.cumsum((flow[order] / alpha[local(end)] * ONE).astype(np.int64))
         fresh = np.flatnonzero(np.append(True, end[1:] != end[:-1]))
         groups = np.diff(np.append(fresh, len(end)))
-        before = np.repeat(np.append(0.0, run[fresh[1:] - 1]), groups)
-        keys = end + np.minimum(run - before, 1.0)
-        keys[fresh + groups - 1] = end[fresh] + 1.0
+        keys = run - np.repeat(np.append(0, run[fresh[1:] - 1]), groups)
+        keys[fresh + groups - 1] = ONE
         starts = np.where(offset[at[order]] == 0, -1, start)
         self._keep(words, sizes, keys, piece, starts, end)
 
@@ -175,13 +178,13 @@ class Lattices:
                 shares.append(total)
                 ids.append(LONE + ord(word[end - 1]))
                 starts.append(base + end - 1 if end > 1 else -1)
-            keys += [base + end + x / total for x in shares]
-            keys[-1] = base + end + 1.0
+            keys += [int(x / total * ONE) for x in shares]
+            keys[-1] = ONE
             ends += [base + end] * len(shares)
             alpha.append(total)
             if total < 1e-200:  # only the last sums are looked at again
                 alpha[-longest:] = [x / total for x in alpha[-longest:]]
-        self._keep([word], np.array([len(word)]), np.array(keys), np.array(ids, np.int32), np.array(starts, np.int64), np.array(ends, np.int64))
+        self._keep([word], np.array([len(word)]), np.array(keys, np.int64), np.array(ids, np.int32), np.array(starts, np.int64), np.array(ends, np.int64))
 
     def of(self, words: list[str]) -> np.ndarray:
         """The last node of each word's lattice."""
@@ -210,7 +213,7 @@ def sample(texts: list, keys: np.ndarray, lattices: Lattices, seed: int) -> tupl
     state = mix(mix(keys.view(np.uint64) ^ np.uint64(seed))[owners] + place.astype(np.uint64))
     live, steps, length = np.arange(len(words)), [], np.zeros(len(words), np.int64)
     while len(live):
-        target = node + (mix(state + np.uint64(len(steps))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+        target = (mix(state + np.uint64(len(steps))) >> np.uint64(11)).astype(np.int64)
         at = lattices.first[node]
         more = np.flatnonzero(lattices.keys[at] <= target)
         while len(more):
