@@ -51,8 +51,10 @@ def test_line_dedup_edges(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
-def test_line_dedup_hot_key(spark, monkeypatch):
-    rows = [(i, f"one line that all documents share\nown line number {i % 700} of many") for i in range(2000)]
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_line_dedup_hot_key(spark, monkeypatch, most):
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", most)
+    rows = [(i, f"one line that all documents share\nown line number {i % 700} of many" + "\n short" * (i % 3)) for i in range(2000)]
     got = line_dedup.dedup_lines(frame(spark, rows)).select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256))
     assert sorted((tuple(r) for r in got.collect()), key=str) == line_rule(rows)
 
@@ -477,5 +479,25 @@ def test_short_and_long_words_have_one_law():
     for w in words:
         b.add_long(w)
     assert a.last == b.last and a.nodes == b.nodes
-    edges = lambda x: sorted(zip(np.floor(x.keys - 1e-12).tolist(), x.starts.tolist(), x.ids.tolist()))
-    assert edges(a) == edges(b)
+
+    def edges(x):
+        return sorted(zip((np.searchsorted(x.first, np.arange(len(x.ids)), "right") - 1).tolist(), x.starts.tolist(), x.ids.tolist(), np.diff(x.keys, prepend=0).tolist()))
+
+    assert [e[:3] for e in edges(a)] == [e[:3] for e in edges(b)]
+    assert all(abs(e[3] - f[3]) < 1 << 20 for e, f in zip(edges(a), edges(b)) if e[3] > 0 and f[3] > 0)
+
+
+def test_a_words_shares_know_no_neighbours():
+    """To the bit: alone, among others and after many others a word has the same edges."""
+    vocab = pieces.load()
+    rng = random.Random(9)
+    noise = ["".join(rng.choice("abcdefghij é漢") for _ in range(rng.randint(1, 20))) for _ in range(4000)]
+    for word in (" hello", "naïveté", "unbelievably", "x" * 40, " " * 35):
+        found = []
+        for before, among in (([], []), (noise, []), (noise[:50], noise[50:90]), ([], noise[90:])):
+            x = pieces.Lattices(vocab, 0.37)
+            x.of(before) if before else None
+            last = x.of([*among[:20], word, *among[20:]])[min(20, len(among[:20]))]
+            low, high = x.first[last - len(word) + 1], x.first[last + 1] if last + 1 < len(x.first) else len(x.keys)
+            found.append((x.keys[low:high].tolist(), x.ids[low:high].tolist()))
+        assert all(f == found[0] for f in found) and found[0][0]
