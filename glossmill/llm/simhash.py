@@ -1,26 +1,30 @@
 """SimHash near-duplicates: exact single-linkage groups of 64-bit fingerprints.
 
 Fingerprints come from XXH64 hashes of word shingles (JVM) whose bit counts are summed in numpy lanes.
-Equal fingerprints collapse first, so copies cost one row. Distinct fingerprints meet in buckets: two that
-differ in at most 3 bits agree in at least 2 of 5 blocks, so 10 bucket keys lose no pair. Inside a bucket
-the pivot table decides: distances of each member to reference fingerprints are precomputed, a pair whose
-largest coordinate difference exceeds the radius is discarded unseen (triangle inequality), survivors are
+Equal fingerprints collapse first, so copies cost one row. The pivot table, written once, holds for every
+distinct fingerprint its Hamming distances to PIVOTS reference fingerprints. Two fingerprints that differ in at
+most 3 bits agree in at least 2 of 5 blocks, so 10 bucket keys bring all of them together and lose no pair;
+coordinates of random bits lie too close together to do that alone (two unrelated fingerprints are within 3 at a
+pivot nearly half the time). Inside a bucket the table decides: rows are sorted by their first coordinate, a pair
+whose largest coordinate difference exceeds the radius is discarded unseen (triangle inequality), survivors are
 verified by their own distance, and only the links that join two local groups leave the task.
 
-A bucket of more than BUCKET members does not go to one task. There each member x instead stands for the
-points within 1 and within 2 bits of it on the free bits; two members within 3 bits share a point that is
-within 2 of one and within 1 of the other, and all members within 2 of a point that has a member within 1
-are linked through it. That form has a fixed number of rows for each member, whatever the group's size.
+A bucket of more than BUCKET members does not go to one task; an exact way of linear size takes its place. There
+each member x stands for the points within 1 and within 2 bits of it on the free bits; two members within 3 bits
+share a point that is within 2 of one and within 1 of the other, and all members within 2 of a point that has a
+member within 1 are linked through it: a fixed number of rows for each member, whatever the group's size.
 
 Groups over the links come from alternating large-star and small-star joins, with a checkpoint each round.
 
 Defined cases: null, empty and blank texts have fingerprint zero and link like any other; texts with
 fewer words than a shingle are one shingle; rows with a null doc_id get a fingerprint but take no part in
-groups (component_id null); repeated rows return as often as they come; ties keep a bit at 0.
+groups (component_id null); repeated rows return as often as they come; ties keep a bit at 0; extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -109,12 +113,24 @@ def _pivots() -> np.ndarray:
     return np.random.default_rng(8).integers(0, 1 << 63, PIVOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def local_links(fps: np.ndarray, radius: int, pivots: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that join the members of one bucket into their groups: a spanning forest of pairs within radius."""
-    fps = np.unique(fps.view(np.uint64))
-    pivots = _pivots() if pivots is None else pivots
-    # Distances to all pivots, sorted by the first: only a band of the table can hold partners of a row.
-    dist = np.bitwise_count(fps[:, None] ^ pivots[None, :]).astype(np.int8)
+COORDINATES = [f"c{i}" for i in range(PIVOTS // 8)]
+
+
+def pivot_table(fps: DataFrame) -> DataFrame:
+    """fp and its distances to all pivots, a byte each, eight in a bigint."""
+    pivots = _pivots().view(np.int64).tolist()
+    distance = lambda k: F.bit_count(F.col("fp").bitwiseXOR(F.lit(pivots[k]))).cast("long")
+    eight = lambda i: reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(distance(8 * i + j), 8 * j) for j in range(8)])
+    return fps.select("fp", *(eight(i).alias(c) for i, c in enumerate(COORDINATES)))
+
+
+def local_links(fps: np.ndarray, dist: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Links that join the members of one bucket into their groups: a spanning forest of pairs within radius.
+
+    dist: a row of coordinates for each of the distinct fingerprints.
+    """
+    # Sorted by the first coordinate: only a band of the table can hold partners of a row.
+    fps, dist = fps.view(np.uint64), dist.astype(np.int8)
     order = np.argsort(dist[:, 0], kind="stable")
     fps, dist = fps[order], dist[order]
     parent = list(range(len(fps)))
@@ -143,7 +159,8 @@ def local_links(fps: np.ndarray, radius: int, pivots: np.ndarray | None = None)
 
 def _linker(radius: int):
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(local_links(np.array(pdf["fp"].to_numpy()), radius), columns=["a", "b"], dtype="int64")
+        dist = np.ascontiguousarray(pdf[COORDINATES].to_numpy(np.int64)).view(np.uint8)
+        return pd.DataFrame(local_links(np.array(pdf["fp"].to_numpy()), dist, radius), columns=["a", "b"], dtype="int64")
 
     return link
 
@@ -152,7 +169,8 @@ def links(fps: DataFrame, radius: int = 3, bucket: int = BUCKET) -> DataFrame:
     """a, b: links between distinct fingerprints whose groups are those of all pairs within radius (3 at most)."""
     if radius > 3:
         raise ValueError("two of five blocks agree only up to 3 differing bits")
-    keyed = fps.select("fp", F.explode(block_keys(F.col("fp"))).alias("k")).select("fp", "k.t", "k.key")
+    coordinates = stored(pivot_table(fps.select("fp").distinct()), "pivot-table")
+    keyed = coordinates.select("fp", *COORDINATES, F.explode(block_keys(F.col("fp"))).alias("k")).select("fp", *COORDINATES, "k.t", "k.key")
     sizes = keyed.groupBy("t", "key").count()
     # A bucket over the bound holds at least that many of the 10 n rows, so big keys are at most 10 n / bucket.
     big = stored(sizes.where(F.col("count") > bucket).select("t", "key"), "big-buckets")
