@@ -66,9 +66,11 @@ def estimate_tokens(text: Column) -> Column:
 def tokens(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """English tokens with code-point offsets: key, ix, surface, norm, start, end, boundary, clause_break.
 
-    Only the gap lengths and gap flags go through the explode, never the text. boundary and clause_break
+    Only the gap lengths and gap flags go through the explode, never the text. Texts are exchanged by key before it,
+    so the offsets, and windows by key that follow, need no exchange of token rows. boundary and clause_break
     tell whether the gap before a token holds a terminator (ASCII ones, or with full-width ones).
     """
+    docs = docs.select(key, "text").repartition(key)
     text = F.coalesce("text", F.lit(""))
     found, gaps = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.split(text, TOKEN, -1)
     spots = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda t, g: F.struct(t.alias("surface"), F.char_length(g).alias("gap"), g.rlike("[.!?]").alias("boundary"), g.rlike("[.!?。！？]").alias("clause_break")))
@@ -80,10 +82,25 @@ def tokens(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return placed.select(key, "ix", "surface", normalize_english(F.col("surface")).alias("norm"), "start", "end", (later & F.col("boundary")).alias("boundary"), (later & F.col("clause_break")).alias("clause_break"))
 
 
-def han_spots(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, start, ch of every Han code point."""
-    chars = F.split(F.coalesce("text", F.lit("")), "")
-    return docs.where(F.col("text").rlike(HAN)).select(key, F.posexplode(chars).alias("start", "ch")).where(F.col("ch").rlike(HAN))
+def types(docs: DataFrame) -> DataFrame:
+    """norm, n: how often each English token occurs; nothing but counts is exchanged."""
+    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TOKEN), F.lit(0))
+    return docs.select(F.explode(found).alias("surface")).groupBy(normalize_english(F.col("surface")).alias("norm")).agg(F.count("*").alias("n"))
+
+
+def append(state: Column, item: Column, block: int = 64) -> tuple[Column, Column]:
+    """The fields last and full of a fold's state with one item more.
+
+    A fold that appends to one array copies it at each step; blocks are copied only while they are short.
+    """
+    whole = F.size(state["last"]) >= block
+    last = F.when(whole, F.array(item)).otherwise(F.concat(state["last"], F.array(item)))
+    return last, F.when(whole, F.concat(state["full"], F.array(state["last"]))).otherwise(state["full"])
+
+
+def appended(state: Column) -> Column:
+    """All items of a fold's state, in order."""
+    return F.concat(F.flatten(state["full"]), state["last"])
 
 
 def rule_pos(norm: Column, listed_pos: Column, listed_confidence: Column) -> tuple[Column, Column]:
@@ -170,7 +187,8 @@ def sentences(docs: DataFrame, key: str = "doc_id", protected: str | None = None
     """
     text = F.coalesce("text", F.lit(""))
     cut = mask_protected(text, F.col(protected)) if protected else text
-    rows = docs.select(key, F.regexp_extract_all(cut, F.lit(SENTENCE), F.lit(0)).alias("found"), F.split(cut, SENTENCE, -1).alias("gaps"))
+    # As with tokens, texts are exchanged before the explode.
+    rows = docs.repartition(key).select(key, F.regexp_extract_all(cut, F.lit(SENTENCE), F.lit(0)).alias("found"), F.split(cut, SENTENCE, -1).alias("gaps"))
     sizes = F.zip_with("found", F.slice("gaps", F.lit(1), F.size("found")), lambda s, g: F.struct(F.char_length(g).alias("gap"), F.char_length(s).alias("size"), F.char_length(F.regexp_extract(s, r"^(?U)\s*", 0)).alias("lead"), F.regexp_replace(s, r"^(?U)\s+|(?U)\s+$", "").alias("text")))
     spots = rows.select(key, F.posexplode(sizes).alias("i", "s")).select(key, "i", "s.*")
     order = Window.partitionBy(key).orderBy("i")

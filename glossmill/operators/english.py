@@ -46,6 +46,7 @@ def analyses(types: DataFrame, lexicon: DataFrame, exceptions: DataFrame) -> Dat
 def contextual_score(option: Column, prior: Column, seen: Column, next_noun: Column) -> Column:
     """How well an analysis fits after the chosen one before it; prior is a part of speech or null."""
     pos, form = option["pos"], option["morph"]["form"]
+    # The weights of each piece of context.
     on = lambda test, value: F.when(test, value).otherwise(0)
     prior = F.coalesce(prior, F.lit(""))
     score = option["confidence"] * 10 + on(option["closed"], 100)
@@ -72,14 +73,15 @@ def choose(tokens: DataFrame, options: DataFrame, key: str = "doc_id") -> DataFr
     groups = ready.groupBy(key, "sentence").agg(F.sort_array(F.collect_list(step)).alias("steps"))
 
     option = "struct<pos:string,confidence:double,lemma:string,source:string,ref:string,morph:" + NO_FEATURES + ">"
-    state = F.struct(F.lit(None).cast("string").alias("prior"), F.lit(False).alias("seen"), F.array().cast(f"array<{option}>").alias("out"))
+    state = F.struct(F.lit(None).cast("string").alias("prior"), F.lit(False).alias("seen"), F.array().cast(f"array<{option}>").alias("last"), F.array().cast(f"array<array<{option}>>").alias("full"))
 
     def fold(s, t):
         scored = F.transform(t["options"], lambda o: F.struct((-contextual_score(o, s["prior"], s["seen"], t["next_noun"])).alias("cost"), o["neg_confidence"].alias("n"), o["rank"].alias("r"), o["ref"].alias("f"), F.struct(o["pos"], o["confidence"], o["lemma"], o["source"], o["ref"], o["morph"]).cast(option).alias("o")))
         best = F.array_min(scored)["o"]
-        return F.struct(best["pos"].alias("prior"), (s["seen"] | F.coalesce(best["pos"] == "v", F.lit(False))).alias("seen"), F.concat(s["out"], F.array(best)).alias("out"))
+        last, full = X.append(s, best)
+        return F.struct(best["pos"].alias("prior"), (s["seen"] | F.coalesce(best["pos"] == "v", F.lit(False))).alias("seen"), last.alias("last"), full.alias("full"))
 
-    chosen = groups.select(key, "sentence", "steps", F.aggregate("steps", state, fold, lambda s: s["out"]).alias("out"))
+    chosen = groups.select(key, "sentence", "steps", F.aggregate("steps", state, fold, X.appended).alias("out"))
     rows = chosen.select(key, "sentence", F.explode(F.arrays_zip("steps", "out")).alias("z"))
     known = F.col("z.out").isNotNull()
     return rows.select(

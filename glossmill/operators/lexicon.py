@@ -44,9 +44,9 @@ def seed_morphology(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(*r, "seed", f"exc:{r[0]}") for r in IRREGULAR], "inflected string, lemma string, pos string, dataset_id string, record_ref string")
 
 
-def corpus_lexicon(tokens: DataFrame, least: int = 5) -> DataFrame:
-    """Rows for types that occur at least so often; their part of speech follows from length, some have two."""
-    types = tokens.groupBy("norm").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+def corpus_lexicon(types: DataFrame, least: int = 5) -> DataFrame:
+    """Rows for types(norm, n) that occur at least so often; their part of speech follows from length, some have two."""
+    types = types.where(F.col("n") >= least)
     size = F.char_length("norm")
     first = F.element_at(F.lit(["n", "v", "adj", "n"]), F.pmod(size, F.lit(4)) + 1)
     second = F.when(F.pmod(size, F.lit(3)) == 0, F.when(first == "n", F.lit("v")).otherwise("n"))

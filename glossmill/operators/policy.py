@@ -57,8 +57,10 @@ def clean_host(host: Column) -> Column:
 
 
 def normalize_denylist(entries: DataFrame) -> DataFrame:
-    """Distinct valid hosts of entries(host), sorted; at most MOST_DENIED count."""
-    return entries.select(clean_host(F.col("host")).alias("host")).where("host is not null").distinct().orderBy("host").limit(MOST_DENIED)
+    """Distinct valid hosts of entries(host), sorted; more than MOST_DENIED entries are an error, never cut."""
+    if entries.limit(MOST_DENIED + 1).count() > MOST_DENIED:
+        raise ValueError(f"a denylist holds {MOST_DENIED} entries at most")
+    return entries.select(clean_host(F.col("host")).alias("host")).where("host is not null").distinct().orderBy("host")
 
 
 def decompose(urls: DataFrame) -> DataFrame:

@@ -44,8 +44,8 @@ def documents(spark, sf_dir: str) -> DataFrame:
 
 def corpus(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Tokens of documents and the lexicon derived from them."""
-    tokens = X.tokens(documents(spark, sf_dir).where("doc_id is not null"))
-    return tokens, lexicon.corpus_lexicon(tokens)
+    docs = documents(spark, sf_dir)
+    return X.tokens(docs), lexicon.corpus_lexicon(X.types(docs))
 
 
 # Parts that many of the SQL twins share.
@@ -69,6 +69,9 @@ be AS (SELECT norm, pos, confidence FROM lx QUALIFY row_number() OVER (PARTITION
 bt AS (SELECT tk.*, coalesce(be.pos, 'x') AS pos, coalesce(be.confidence, 0.15)::DOUBLE AS confidence FROM tk LEFT JOIN be USING (norm))"""
 FNV_SQL = "list_reduce(list_transform(string_split({0}, ''), lambda c: unicode(c)::BIGINT), lambda h, c: (xor(h, c) * 16777619) & 4294967295, 2166136261::BIGINT)"
 
+#: What a token's place in the order of marks is hashed from.
+MARK_SQL = """('en|' || surface || '|' || start || '|' || "end")"""
+
 
 def best_tokens(spark, sf_dir: str) -> DataFrame:
     tokens, lex = corpus(spark, sf_dir)
@@ -76,12 +79,12 @@ def best_tokens(spark, sf_dir: str) -> DataFrame:
 
 
 @register("flagship_marked_tokens", f"""WITH {TOKENS_SQL}, {LEXICON_SQL}, {BEST_SQL},
-m0 AS (SELECT doc_id, lang, pos, ix, start, norm, pos <> 'x' AS ok, {PRIORITY_SQL} AS priority FROM bt),
-m1 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, ok ORDER BY priority DESC, {FNV_SQL.format("norm || '|' || start")}, start) AS r, count(*) OVER (PARTITION BY doc_id, ok) AS n FROM m0)
+m0 AS (SELECT doc_id, lang, pos, ix, surface, start, "end", pos <> 'x' AS ok, {PRIORITY_SQL} AS priority FROM bt),
+m1 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, ok ORDER BY priority DESC, {FNV_SQL.format(MARK_SQL)}, start) AS r, count(*) OVER (PARTITION BY doc_id, ok) AS n FROM m0)
 SELECT lang, pos, count(*) AS n_tokens, CAST(sum(CASE WHEN ok AND r <= ceil(n * 0.5::DOUBLE) THEN 1 ELSE 0 END) AS BIGINT) AS n_marked FROM m1 GROUP BY lang, pos""")
 def flagship(spark, sf_dir):
     """Tokens, best lexicon sense, half of each document's known tokens marked; counts by language and part of speech."""
-    best = best_tokens(spark, sf_dir).withColumn("priority", X.priority(F.col("pos")))
+    best = best_tokens(spark, sf_dir).withColumns({"priority": X.priority(F.col("pos")), "language": F.lit("en")})
     marked = projection.mark(best, ["doc_id"], F.lit(0.5), F.col("pos") != "x")
     langs = documents(spark, sf_dir).select("doc_id", "lang")
     by_doc = marked.groupBy("doc_id", "pos").agg(F.count("*").alias("n_tokens"), F.sum(F.col("marked").cast("long")).alias("n_marked"))
@@ -294,8 +297,8 @@ def english_analysis(spark, sf_dir):
 
 
 @register("marks", f"""WITH {TOKENS_SQL}, {LEXICON_SQL}, {BEST_SQL}, pr AS (SELECT * FROM (VALUES ('dense', 0.65::DOUBLE, 0.0::DOUBLE), ('sure', 0.35::DOUBLE, 0.7::DOUBLE)) v(profile_id, density, min_confidence)),
-m0 AS (SELECT profile_id, density, doc_id, ix, start, norm, pos <> 'x' AND confidence >= min_confidence AS ok, {PRIORITY_SQL} AS priority FROM bt CROSS JOIN pr),
-m1 AS (SELECT *, row_number() OVER (PARTITION BY profile_id, doc_id, ok ORDER BY priority DESC, {FNV_SQL.format("norm || '|' || start")}, start) AS r, count(*) OVER (PARTITION BY profile_id, doc_id, ok) AS n FROM m0)
+m0 AS (SELECT profile_id, density, doc_id, ix, surface, start, "end", pos <> 'x' AND confidence >= min_confidence AS ok, {PRIORITY_SQL} AS priority FROM bt CROSS JOIN pr),
+m1 AS (SELECT *, row_number() OVER (PARTITION BY profile_id, doc_id, ok ORDER BY priority DESC, {FNV_SQL.format(MARK_SQL)}, start) AS r, count(*) OVER (PARTITION BY profile_id, doc_id, ok) AS n FROM m0)
 SELECT profile_id, doc_id, count(*) AS n_marked, CAST(sum(ix) AS BIGINT) AS ix_sum FROM m1 WHERE ok AND r <= ceil(n * density) GROUP BY ALL""")
 def marks(spark, sf_dir):
     """Marks for two profiles of density and least confidence, summed by document."""

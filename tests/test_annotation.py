@@ -97,12 +97,40 @@ def test_fragments(spark):
 
 
 def test_density_marks_two_of_four(spark):
-    rows = [(1, "a", 0, 0.65), (1, "b", 2, 0.85), (1, "c", 4, 0.85), (1, "d", 6, 0.85), (1, "e", 8, 0.2)]
-    t = spark.createDataFrame(rows, "doc_id long, norm string, start int, priority double")
+    rows = [(1, "en", "a", 0, 1, 0.65), (1, "en", "b", 2, 3, 0.85), (1, "en", "c", 4, 5, 0.85), (1, "en", "d", 6, 7, 0.85), (1, "en", "e", 8, 9, 0.2)]
+    t = spark.createDataFrame(rows, "doc_id long, language string, surface string, start int, end int, priority double")
     marked = projection.mark(t, ["doc_id"], F.lit(0.5), F.col("priority") > 0.5).where("marked").collect()
     assert len(marked) == 2 and all(r.priority == 0.85 for r in marked)
 
 
+def test_marks_follow_priority_then_hash_of_the_token(spark):
+    """The order among equal priorities is that of FNV-1a over language, surface, start and end, in UTF-16 units."""
+    def fnv(text):
+        h = 2166136261
+        for unit in text:
+            h = (h ^ ord(unit)) * 16777619 % 2**32
+        return h
+
+    words = ["The", "quick", "the", "fox’s", "quick", "語言", "The"]
+    rows = [(1, "zh-Hant" if w == "語言" else "en", w, 10 * i, 10 * i + len(w), 0.85) for i, w in enumerate(words)]
+    t = spark.createDataFrame(rows, "doc_id long, language string, surface string, start int, end int, priority double")
+    order = sorted(rows, key=lambda r: fnv(f"{r[1]}|{r[2]}|{r[3]}|{r[4]}"))
+    for n in range(1, 8):
+        marked = projection.mark(t, ["doc_id"], F.lit(n / 7 - 0.01)).where("marked").collect()
+        assert {r.start for r in marked} == {r[3] for r in order[:n]}
+
+
+def test_long_texts_without_terminators(spark):
+    """Folds and walks stay linear: 80,000 Han characters and 20,000 words in one run."""
+    lex = spark.createDataFrame([("學習", "zh-Hant"), ("習語言", "zh-Hant"), ("語言", "zh-Hant")], "norm string, locale string")
+    text = "學習語言x𠀀" * 16_000
+    got = chinese.segment(docs(spark, text), lex)
+    assert [tuple(r) for r in got.groupBy("surface", "known").count().orderBy("surface").collect()] == [("學習", True, 16_000), ("語言", True, 16_000), ("𠀀", False, 16_000)]
+    assert [(r.start, r.end) for r in got.orderBy("start").limit(4).collect()] == [(0, 2), (2, 4), (5, 6), (6, 8)]
+    many = spark.createDataFrame([(0, i, 1, 1000, 1) for i in range(20_000)], "doc_id long, sent_ix int, n_nodes long, n_chars long, n_tokens long")
+    assert [r.chunk for r in projection.pack_chunks(many, "doc_id").orderBy("sent_ix").collect()] == [i // 4 for i in range(20_000)]
+
+
 def test_segments_restore_text(spark):
     d = docs(spark, "one two three", "", None)
     spans = spark.createDataFrame([(0, 4, 7), (0, 5, 9)], "doc_id long, start int, end int")

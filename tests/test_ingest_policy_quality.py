@@ -115,6 +115,10 @@ def test_url_matrix(spark):
 def test_denylist(spark):
     rows = policy.normalize_denylist(spark.createDataFrame([("B.test.",), ("b.test",), ("bad_host",), ("a.test",)], "host string"))
     assert [r.host for r in rows.collect()] == ["a.test", "b.test"]
+    full = spark.createDataFrame([(f"h{i}.test",) for i in range(129)], "host string")
+    assert policy.normalize_denylist(full.limit(128)).count() == 128
+    with pytest.raises(ValueError):
+        policy.normalize_denylist(full)
 
 
 def test_topmost(spark):
