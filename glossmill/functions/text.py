@@ -17,6 +17,27 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once for the several uses that follow: in the shared checkpoint folder, or where none is set cached."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df.persist()
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
+def by_key(df: DataFrame, key: str) -> DataFrame:
+    """df exchanged by key into as many partitions as the session shuffles to; few bytes of text make many rows, so they aren't coalesced."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
+def small(table: DataFrame, rows: int = 100_000) -> DataFrame:
+    """table, marked for broadcast if it has so many rows at most; for settled tables, which are counted at no cost."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
+
 def _fnv(data: Column, width: int) -> Column:
     """32-bit FNV-1a over units of so many bytes; substring of a binary takes constant time, of a string it doesn't."""
     step = lambda h, b: (h.bitwiseXOR(b) * F.lit(16777619).cast("long")).bitwiseAND(F.lit(4294967295).cast("long"))
@@ -70,7 +91,7 @@ def tokens(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     so the offsets, and windows by key that follow, need no exchange of token rows. boundary and clause_break
     tell whether the gap before a token holds a terminator (ASCII ones, or with full-width ones).
     """
-    docs = docs.select(key, "text").repartition(key)
+    docs = by_key(docs.select(key, "text"), key)
     text = F.coalesce("text", F.lit(""))
     found, gaps = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.split(text, TOKEN, -1)
     spots = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda t, g: F.struct(t.alias("surface"), F.char_length(g).alias("gap"), g.rlike("[.!?]").alias("boundary"), g.rlike("[.!?。！？]").alias("clause_break")))
@@ -188,7 +209,7 @@ def sentences(docs: DataFrame, key: str = "doc_id", protected: str | None = None
     text = F.coalesce("text", F.lit(""))
     cut = mask_protected(text, F.col(protected)) if protected else text
     # As with tokens, texts are exchanged before the explode.
-    rows = docs.repartition(key).select(key, F.regexp_extract_all(cut, F.lit(SENTENCE), F.lit(0)).alias("found"), F.split(cut, SENTENCE, -1).alias("gaps"))
+    rows = by_key(docs, key).select(key, F.regexp_extract_all(cut, F.lit(SENTENCE), F.lit(0)).alias("found"), F.split(cut, SENTENCE, -1).alias("gaps"))
     sizes = F.zip_with("found", F.slice("gaps", F.lit(1), F.size("found")), lambda s, g: F.struct(F.char_length(g).alias("gap"), F.char_length(s).alias("size"), F.char_length(F.regexp_extract(s, r"^(?U)\s*", 0)).alias("lead"), F.regexp_replace(s, r"^(?U)\s+|(?U)\s+$", "").alias("text")))
     spots = rows.select(key, F.posexplode(sizes).alias("i", "s")).select(key, "i", "s.*")
     order = Window.partitionBy(key).orderBy("i")

@@ -63,9 +63,10 @@ def choose(tokens: DataFrame, options: DataFrame, key: str = "doc_id") -> DataFr
     """Every token with its chosen analysis, folded left to right inside each sentence.
 
     The look-ahead for a noun crosses sentences, so it is taken over the document first; the fold's state (the
-    part of speech before, whether a predicate was seen) ends with a sentence, so sentences are independent.
+    part of speech before, whether a predicate was seen) ends with a sentence, so sentences are independent. Options of
+    few types are broadcast, so tokens stay partitioned by document; many are joined by shuffle.
     """
-    met = tokens.join(options, "norm", "left")
+    met = tokens.join(X.small(X.settled(options)), "norm", "left")
     order = Window.partitionBy(key).orderBy("ix")
     noun = F.exists(F.coalesce("options", F.array()), lambda o: o["pos"] == "n")
     ready = met.withColumn("sentence", F.sum(F.col("boundary").cast("int")).over(order)).withColumn("next_noun", F.coalesce(F.lead(noun).over(order), F.lit(False)))
@@ -92,11 +93,13 @@ def choose(tokens: DataFrame, options: DataFrame, key: str = "doc_id") -> DataFr
 
 
 def best_direct(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Tokens with the best of their own lexicon rows, by confidence, part-of-speech order and reference."""
-    rows = direct(tokens.select("norm").distinct(), lexicon)
+    """Tokens with the best of their own lexicon rows, by confidence, part-of-speech order and reference.
+
+    The best row of each form is found in the lexicon first, so no pass over the tokens is needed for their types.
+    """
     order = F.struct((-F.col("confidence")).alias("a"), X.pos_rank(F.col("pos")).alias("b"), F.coalesce("lexical_ref", F.lit("")).alias("c"))
-    best = rows.groupBy("norm").agg(F.min(F.struct(order.alias("o"), "pos", "confidence", "lemma", "lexical_ref")).alias("best"))
-    out = tokens.join(best, "norm", "left")
+    best = lexicon.where("locale = 'en'").groupBy("norm").agg(F.min(F.struct(order.alias("o"), "pos", "confidence", "lemma", "lexical_ref")).alias("best"))
+    out = tokens.join(X.small(best, 1_000_000), "norm", "left")
     return out.select(*tokens.columns, F.coalesce("best.pos", F.lit("x")).alias("pos"), F.coalesce("best.confidence", F.lit(0.15)).alias("confidence"), F.col("best.lemma").alias("lemma"), F.col("best.lexical_ref").alias("lexical_ref"))
 
 

@@ -11,6 +11,7 @@ from ..functions import words as W
 from ..operators import chinese, english, grammar, lexicon, policy, projection, quality
 from ..sources import pages as P
 from ..streaming import revisions
+from .annotate import annotate
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -45,7 +46,7 @@ def documents(spark, sf_dir: str) -> DataFrame:
 def corpus(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Tokens of documents and the lexicon derived from them."""
     docs = documents(spark, sf_dir)
-    return X.tokens(docs), lexicon.corpus_lexicon(X.types(docs))
+    return X.tokens(docs), X.settled(lexicon.corpus_lexicon(X.types(docs)))
 
 
 # Parts that many of the SQL twins share.
@@ -264,10 +265,13 @@ _T, _C = ".!?。！？", "\"''’”)\\]}〉》」』】〕〗〙〛"
 SENTENCE_SQL = f"[^\r\n{_T}]*[{_T}]+[{_C}]*|[^\r\n{_T}]+"
 
 
-@register("sentences", f"""WITH s0 AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{SENTENCE_SQL}') AS f, regexp_split_to_array(coalesce(text, ''), '{SENTENCE_SQL}') AS g FROM documents),
+SENTENCES_SQL = f"""s0 AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{SENTENCE_SQL}') AS f, regexp_split_to_array(coalesce(text, ''), '{SENTENCE_SQL}') AS g FROM documents),
 s1 AS (SELECT doc_id, unnest(range(len(f))) AS i, unnest(f) AS s, unnest(g[1:len(f)]) AS gap FROM s0),
 s2 AS (SELECT doc_id, i, s, trim(s) AS t, sum(length(gap) + length(s)) OVER (PARTITION BY doc_id ORDER BY i) - length(s) + length(s) - length(ltrim(s)) AS start FROM s1),
-s3 AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS sent_ix, t AS text, start::INT AS start, (start + length(t))::INT AS "end" FROM s2 WHERE t <> '')
+s3 AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS sent_ix, t AS text, start::INT AS start, (start + length(t))::INT AS "end" FROM s2 WHERE t <> '')"""
+
+
+@register("sentences", f"""WITH {SENTENCES_SQL}
 SELECT *, CASE WHEN regexp_matches(text, '[A-Za-z]') THEN CASE WHEN regexp_matches(text, '\\p{{Han}}') THEN 'both' ELSE 'en' END WHEN regexp_matches(text, '\\p{{Han}}') THEN 'zh-Hant' ELSE 'unknown' END AS language FROM s3""")
 def sentences(spark, sf_dir):
     return X.sentences(documents(spark, sf_dir))
@@ -337,7 +341,12 @@ def fragments(spark, sf_dir):
     return projection.fragments(runs, spans).select("page_id", "span_id", "node_id", F.col("node_start").cast("int").alias("node_start"), F.col("node_end").cast("int").alias("node_end"))
 
 
-@register("chunk_packing")
+@register("chunk_packing", f"""WITH RECURSIVE {SENTENCES_SQL},
+x AS (SELECT doc_id, sent_ix, length(text) AS c, len(regexp_extract_all(text, '\\p{{Han}}')) + len(regexp_extract_all(text, '[A-Za-z]+(?:[''’-][A-Za-z]+)*')) AS t FROM s3),
+r AS (SELECT doc_id, sent_ix, 0 AS chunk, 1::BIGINT AS n_nodes, c::BIGINT AS n_chars, 1::BIGINT AS n, t::BIGINT AS n_tokens FROM x WHERE sent_ix = 0
+  UNION ALL SELECT doc_id, sent_ix, chunk + f::INT, CASE WHEN f THEN 1 ELSE n_nodes + 1 END, CASE WHEN f THEN c ELSE n_chars + c END, CASE WHEN f THEN 1 ELSE n + 1 END, CASE WHEN f THEN t ELSE n_tokens + t END
+    FROM (SELECT r.* EXCLUDE (sent_ix), x.sent_ix, x.c, x.t, r.n_nodes + 1 > 64 OR r.n_chars + x.c > 4000 OR r.n + 1 > 16 OR r.n_tokens + x.t > 600 AS f FROM r JOIN x ON x.doc_id = r.doc_id AND x.sent_ix = r.sent_ix + 1))
+SELECT doc_id, chunk, count(*) AS n_sentences, min(sent_ix) AS first_sentence FROM r GROUP BY doc_id, chunk""")
 def chunk_packing(spark, sf_dir):
     """Sentences of each document packed under the four budgets."""
     rows = X.sentences(documents(spark, sf_dir)).select("doc_id", "sent_ix", F.lit(1).cast("long").alias("n_nodes"), F.char_length("text").cast("long").alias("n_chars"), X.estimate_tokens(F.col("text")).cast("long").alias("n_tokens"))
@@ -359,47 +368,88 @@ def han_documents(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", F.translate("text", HAN_FROM, HAN_TO).alias("text"))
     runs = docs.select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[\p{IsHan}]+"), F.lit(0))).alias("run"))
     def of_length(n):
-        cuts = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("run") - n + 1, F.lit(1))), lambda i: F.substring(F.col("run"), i, F.lit(n)))
-        return F.when(F.char_length("run") >= n, cuts).otherwise(F.array().cast("array<string>"))
+        cuts = F.transform(F.sequence(F.lit(1), F.greatest(F.size("run") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("run", i, n), ""))
+        return F.when(F.size("run") >= n, cuts).otherwise(F.array().cast("array<string>"))
 
-    grams = runs.where(F.char_length("run") > 1).select(F.explode(F.concat(of_length(2), of_length(3))).alias("norm"))
+    runs = runs.select(F.regexp_extract_all("run", F.lit("(?s)."), F.lit(0)).alias("run"))
+    grams = runs.where(F.size("run") > 1).select(F.explode(F.concat(of_length(2), of_length(3))).alias("norm"))
     words = grams.groupBy("norm").agg(F.count("*").alias("n")).where("n >= 200")
     lex = words.select("norm", F.lit("zh-Hant").alias("locale"), F.col("norm").alias("lemma"), F.when(F.char_length("norm") == 2, "n").otherwise("v").alias("pos"), F.lit(0.8).alias("confidence"), F.lit(None).cast("string").alias("gloss"), F.concat(F.lit("han:"), "norm").alias("lexical_ref"), F.lit("verified").alias("tier"))
-    return docs, lex
+    return docs, X.settled(lex)
 
 
-@register("longest_matches", f"""WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{HAN_FROM}', '{HAN_TO}') AS t FROM documents),
+MATCHES_SQL = f"""d AS (SELECT doc_id, translate(coalesce(text, ''), '{HAN_FROM}', '{HAN_TO}') AS t FROM documents),
 r AS (SELECT unnest(regexp_extract_all(t, '[\\p{{Han}}]+')) AS run FROM d),
 g AS (SELECT substr(run, i, 2) AS norm FROM (SELECT run, unnest(range(1, length(run))) AS i FROM r) UNION ALL SELECT substr(run, i, 3) FROM (SELECT run, unnest(range(1, length(run) - 1)) AS i FROM r)),
 w AS (SELECT norm FROM g GROUP BY norm HAVING count(*) >= 200),
-p AS (SELECT doc_id, unnest(range(length(t)))::INT AS start, t FROM d),
-s AS (SELECT doc_id, start, substr(t, start + 1, 2) AS a, substr(t, start + 1, 3) AS b, length(t) AS n FROM p WHERE regexp_matches(substr(t, start + 1, 1), '\\p{{Han}}'))
-SELECT doc_id, len, count(*) AS n, sum(start)::BIGINT AS start_sum FROM (
-  SELECT doc_id, start, CASE WHEN start + 3 <= n AND b IN (SELECT norm FROM w) THEN 3 WHEN start + 2 <= n AND a IN (SELECT norm FROM w) THEN 2 END AS len FROM s) GROUP BY doc_id, len""")
+p AS (SELECT doc_id, (generate_subscripts(l, 1) - 1)::INT AS start, unnest(l) AS ch FROM (SELECT doc_id, string_split(t, '') AS l FROM d WHERE t <> '')),
+s AS (SELECT doc_id, start, ch, ch || lead(ch) OVER o AS a, ch || lead(ch) OVER o || lead(ch, 2) OVER o AS b FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY start)),
+lm AS (SELECT doc_id, start, CASE WHEN w3.norm IS NOT NULL THEN 3 WHEN w2.norm IS NOT NULL THEN 2 END AS len FROM s LEFT JOIN w w3 ON w3.norm = b LEFT JOIN w w2 ON w2.norm = a WHERE regexp_matches(ch, '\\p{{Han}}'))"""
+
+
+@register("longest_matches", f"WITH {MATCHES_SQL} SELECT doc_id, len, count(*) AS n, sum(start)::BIGINT AS start_sum FROM lm GROUP BY doc_id, len")
 def longest_matches(spark, sf_dir):
     docs, lex = han_documents(spark, sf_dir)
     return chinese.longest_matches(docs, lex).groupBy("doc_id", "len").agg(F.count("*").alias("n"), F.sum(F.col("start").cast("long")).alias("start_sum"))
 
 
-@register("chinese_tokens")
+@register("annotated")
+def annotated(spark, sf_dir):
+    """The whole annotation in mode both, on documents of which a third is mixed with Han text: counts by language and part of speech."""
+    docs, han = han_documents(spark, sf_dir)
+    plain = documents(spark, sf_dir).select("doc_id", "text")
+    mixed = F.when(plain.doc_id % 3 == 0, F.concat_ws(" ", plain.text, F.lit("\n"), docs.text)).otherwise(plain.text)
+    mixed = plain.join(docs, "doc_id").select("doc_id", mixed.alias("text"))
+    every = lexicon.provider_chain(corpus(spark, sf_dir)[1], lexicon.seed_lexicon(spark).where("tier = 'fallback'")).unionByName(han, allowMissingColumns=True)
+    found = annotate(mixed, every, lexicon.seed_morphology(spark), "both")
+    return found.groupBy("doc_id", "language", "pos").agg(F.count("*").alias("n"), F.count("grammar_role").alias("n_roles"), F.count("tense_aspect").alias("n_tenses"), F.count("lemma").alias("n_lemmas"))
+
+
+@register("chinese_tokens", f"""WITH {MATCHES_SQL},
+k0 AS (SELECT doc_id, list({{'c': start, 'two': coalesce(len, 0), 'three': 0, 'one': 0}} ORDER BY start) AS l FROM lm GROUP BY doc_id),
+k1 AS (SELECT doc_id, list_reduce(l, lambda t, m: CASE WHEN m.c < t.c THEN t ELSE {{'c': m.c + greatest(m.two, 1), 'two': t.two + (m.two = 2)::INT, 'three': t.three + (m.two = 3)::INT, 'one': t.one + (m.two = 0)::INT}} END, {{'c': 0, 'two': 0, 'three': 0, 'one': 0}}) AS t FROM k0)
+SELECT * FROM (SELECT doc_id, 'n' AS pos, t.two::BIGINT AS n, 2 * t.two::BIGINT AS n_chars FROM k1 UNION ALL SELECT doc_id, 'v', t.three, 3 * t.three FROM k1 UNION ALL SELECT doc_id, 'x', t.one, t.one FROM k1) WHERE n > 0""")
 def chinese_tokens(spark, sf_dir):
     """Greedy longest-match tokens of the Han documents, counted by document and part of speech."""
     docs, lex = han_documents(spark, sf_dir)
     return chinese.tokens(docs, lex).groupBy("doc_id", "pos").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("n_chars"))
 
 
-_HOSTED = "CASE page_id % 7 WHEN 0 THEN 'https://www.chase.com/' WHEN 1 THEN 'https://mail.example.org/a' WHEN 2 THEN 'https://x.test/login?next=1' WHEN 3 THEN 'ftp://files.test/a' WHEN 4 THEN 'https://chase.com.attacker.test/' ELSE url END"
-
-
-@register("url_policy", f"""SELECT page_id, allow, category, reason_code FROM (SELECT page_id, url, page_id % 7 AS k,
-  regexp_matches(lower(url), '[/?#&=_.]login([^a-z0-9-]|$)') AS x FROM pages),
-  LATERAL (SELECT CASE k WHEN 0 THEN false WHEN 1 THEN false WHEN 2 THEN false WHEN 3 THEN false WHEN 4 THEN true ELSE NOT regexp_matches(url, 'example\\.net') END AS allow,
-  CASE k WHEN 0 THEN 'banking' WHEN 1 THEN 'webmail' WHEN 2 THEN 'authentication' WHEN 3 THEN 'unsupported' WHEN 4 THEN 'public' ELSE CASE WHEN regexp_matches(url, 'example\\.net') THEN 'user-denylist' ELSE 'public' END END AS category,
-  CASE k WHEN 0 THEN 'SENSITIVE_URL_CATEGORY' WHEN 1 THEN 'SENSITIVE_URL_CATEGORY' WHEN 2 THEN 'SENSITIVE_URL_CATEGORY' WHEN 3 THEN 'UNSUPPORTED_PROTOCOL' WHEN 4 THEN 'ALLOW' ELSE CASE WHEN regexp_matches(url, 'example\\.net') THEN 'USER_DENYLIST' ELSE 'ALLOW' END END AS reason_code)""")
+#: Hosts of the addresses that the policy query makes, beside those that its own rule tables name.
+_HOSTS = sorted({h for _, exact, suffix, _ in policy.SERVICE_RULES for h in (exact + " " + suffix).split()} | {f"{label}.example.org" for _, hosts, *_ in policy.CATEGORY_RULES for label in hosts.split()} | {"example.net", "shop.example.net", "city.gov", "www.example.com", "notexample.net", "mailbox.example.com"})
+#: Routes, the labels that a reader finds in them, and whether they are ambiguous.
+_ROUTES = [
+    ("", "", 0), ("news/today", "news today", 0), ("login", "login", 0), ("Sign-In?next=1", "sign-in next 1", 0), ("catalogin", "catalogin", 0), ("log%69n", "login", 0), ("log%2569n", "", 1), ("a%2Flogin", "", 1),
+    ("x?go=checkout", "x go checkout", 0), ("x#secrets", "x secrets", 0), ("channels/7", "channels 7", 0), ("member", "member", 0), ("account/tax", "account tax", 0), ("secretsmanager", "secretsmanager", 0), ("keyvault?api-keys=1", "keyvault api-keys 1", 0), ("myaccount", "myaccount", 0),
+]
+_FORMS = ["{}", "www.{}", "{}.attacker.test", "{}.", "{}.city.gov", "user@{}", "a.b.{}"]
+_rows = lambda rows: ", ".join("(" + ", ".join(str(v) if isinstance(v, int) else "'" + v + "'" for v in r) + ")" for r in rows)
+_list = lambda column: f"string_split({column}, ' ')"
+
+
+@register("url_policy", f"""WITH hosts AS (SELECT * FROM (VALUES {_rows(enumerate(_HOSTS))}) v(hi, host)), routes AS (SELECT * FROM (VALUES {_rows([(i, *r) for i, r in enumerate(_ROUTES)])}) v(ri, raw, words, bad)), forms AS (SELECT * FROM (VALUES {_rows(enumerate(_FORMS))}) v(fi, form)),
+service AS (SELECT * FROM (VALUES {_rows([(i, *r) for i, r in enumerate(policy.SERVICE_RULES)])}) v(i, name, exact, suffix, needed)),
+rule AS (SELECT * FROM (VALUES {_rows([(i, *r[:4], int(r[4])) for i, r in enumerate(policy.CATEGORY_RULES)])}) v(i, name, hosts, paths, how, tld)),
+known AS (SELECT unnest({_list("exact || ' ' || suffix")}) AS k FROM service),
+p0 AS (SELECT page_id, words, fi = 5 OR bad = 1 AS ambiguous, page_id // 5 % 4 = 3 AS other, rtrim(replace(replace(form, 'user@', ''), '{{}}', host), '.') AS host, contains(raw, '%2F') AS slash, fi = 5 AS userinfo
+  FROM pages JOIN hosts ON hi = page_id % {len(_HOSTS)} JOIN routes ON ri = page_id // 3 % {len(_ROUTES)} JOIN forms ON fi = page_id // 7 % {len(_FORMS)}),
+p1 AS (SELECT p0.*, (SELECT max(k) FROM known WHERE k <> '' AND contains('.' || host || '.', '.' || k || '.') AND NOT ends_with('.' || host, '.' || k)) AS forged FROM p0),
+p AS (SELECT *, {_list("words")} AS r, string_split(host, '.') AS l, string_split(trim(replace('.' || host || '.', coalesce('.' || forged || '.', '?'), '.'), '.'), '.') AS clear FROM p1),
+hit AS (SELECT page_id, 0 AS step, i, name, CASE WHEN needed = '' THEN 'HOST_LABEL' ELSE 'HOST_AND_PATH_LABEL' END AS evidence FROM p JOIN service ON (list_contains({_list("exact")}, host) OR len(list_filter({_list("suffix")}, lambda x: x <> '' AND (host = x OR ends_with(host, '.' || x)))) > 0) AND (needed = '' OR list_has_any({_list("needed")}, r))
+  UNION ALL SELECT page_id, 1, 0, 'government-personal-data', 'HOST_LABEL' FROM p WHERE forged IS NOT NULL AND l[-1] = 'gov'
+  UNION ALL SELECT page_id, 2, i, name, CASE WHEN h AND q THEN 'HOST_AND_PATH_LABEL' WHEN h THEN 'HOST_LABEL' ELSE 'PATH_LABEL' END FROM (SELECT page_id, i, name, how, list_has_any(list_filter({_list("hosts")}, lambda x: x <> ''), clear) OR (tld = 1 AND l[-1] = 'gov') AS h, list_has_any(list_filter({_list("paths")}, lambda x: x <> ''), r) AS q FROM p CROSS JOIN rule) WHERE CASE WHEN how = 'both' THEN h AND q ELSE h OR q END),
+first AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY step, i) = 1)
+SELECT page_id, CASE WHEN d = 'ALLOW' THEN true ELSE false END AS allow, CASE d WHEN 'AMBIGUOUS_URL' THEN 'policy-error' WHEN 'UNSUPPORTED_PROTOCOL' THEN 'unsupported' WHEN 'USER_DENYLIST' THEN 'user-denylist' WHEN 'ALLOW' THEN 'public' ELSE name END AS category, d AS reason_code,
+  CASE d WHEN 'AMBIGUOUS_URL' THEN 'POLICY_ERROR' WHEN 'UNSUPPORTED_PROTOCOL' THEN 'URL_PROTOCOL' WHEN 'USER_DENYLIST' THEN 'HOST_LABEL' WHEN 'ALLOW' THEN 'NONE' ELSE evidence END AS evidence_kind
+FROM (SELECT p.page_id, name, evidence, CASE WHEN slash OR (NOT other AND ambiguous) OR (other AND userinfo) THEN 'AMBIGUOUS_URL' WHEN other THEN 'UNSUPPORTED_PROTOCOL' WHEN host = 'example.net' OR ends_with(host, '.example.net') THEN 'USER_DENYLIST' WHEN name IS NOT NULL THEN 'SENSITIVE_URL_CATEGORY' ELSE 'ALLOW' END AS d FROM p LEFT JOIN first USING (page_id))""")
 def url_policy(spark, sf_dir):
-    """Policy decisions on page addresses, of which five in seven are turned into ones that rules fit; example.net is denied."""
-    urls = table(spark, sf_dir, "pages").select("page_id", F.expr(_HOSTED).alias("url"))
-    return policy.classify(urls, ["example.net"]).select("page_id", "allow", "category", "reason_code")
+    """Policy decisions on addresses that pages' ids spell from hosts, forms, routes and schemes; example.net is denied."""
+    at = F.col("page_id")
+    spread = lambda values, by: F.get(F.lit(values), (F.floor(at / by) % len(values)).cast("int"))
+    host = F.replace(spread(_FORMS, 7), F.lit("{}"), spread(_HOSTS, 1))
+    url = F.concat(spread(["https", "https", "http", "ftp"], 5), F.lit("://"), host, F.lit("/"), spread([r[0] for r in _ROUTES], 3))
+    urls = table(spark, sf_dir, "pages").select("page_id", url.alias("url"))
+    return policy.classify(urls, ["example.net"]).select("page_id", "allow", "category", "reason_code", "evidence_kind")
 
 
 @register("topmost_paths", """WITH p AS (SELECT DISTINCT page_id % 10 AS batch, CASE WHEN page_id % 3 = 0 THEN '/' || split_part(split_part(url, '://', 2), '/', 2) ELSE '/' || array_to_string(string_split(split_part(url, '://', 2), '/')[2:], '/') END AS path FROM pages)

@@ -120,6 +120,15 @@ def test_marks_follow_priority_then_hash_of_the_token(spark):
         assert {r.start for r in marked} == {r[3] for r in order[:n]}
 
 
+def test_large_lexicons_match_alike(spark, monkeypatch):
+    lex = spark.createDataFrame([("學習", "zh-Hant"), ("習語言", "zh-Hant"), ("語言", "zh-Hant"), ("習", "zh-Hant"), ("word", "en")], "norm string, locale string")
+    d = docs(spark, "學習語言x學 習語言習", None, "", "none")
+    small = sorted(map(tuple, chinese.longest_matches(d, lex).collect()))
+    monkeypatch.setattr(chinese, "BROADCAST_ROWS", 0)
+    assert small == sorted(map(tuple, chinese.longest_matches(d, lex).collect())) and small[0] == (0, 0, 2, "學習") and len(small) == 9
+    assert chinese.longest_matches(d, lex.limit(0)).where("len is not null").count() == 0
+
+
 def test_long_texts_without_terminators(spark):
     """Folds and walks stay linear: 80,000 Han characters and 20,000 words in one run."""
     lex = spark.createDataFrame([("學習", "zh-Hant"), ("習語言", "zh-Hant"), ("語言", "zh-Hant")], "norm string, locale string")
