@@ -10,8 +10,9 @@ Exploded windows carry hashes and positions only. The benchmark's windows are br
 their rows, else both sides are shuffled by hash; texts move only where verified documents are too many
 to broadcast.
 
-Items with fewer words than SPAN but LEAST_WORDS or more must occur word for word. Still shorter items, which common
-phrases are full of, must be the whole of one of the document's lines.
+Items with fewer words than SPAN but LEAST_WORDS or more have masks of their own and must agree in short_match of
+their words: all by default, MATCH (one word may differ) in the query and in the pipeline. Still shorter items, which
+common phrases are full of, must be the whole of one of the document's lines.
 
 Defined cases: null and short texts have no windows; items without a word, and rows with a null doc_id or item_id
 take no part; repeated documents and items report once; extra columns are ignored.
@@ -27,6 +28,8 @@ from .common import let, stored, text_key
 #: With any MATCH of STRETCH places agreeing, or of an item of SPAN or more, one of these lies on agreeing places only
 #: (a test enumerates all patterns).
 MASKS = ("11111", "111011", "11010011")
+#: The same for items of LEAST_WORDS to SPAN - 1 words of which one differs.
+SHORT_MASKS = ("1111", "11011", "10111", "11101")
 SPAN = 10
 LEAST_WORDS = 5
 STRETCH = 20
@@ -45,26 +48,25 @@ def windows(tokens: Column, mask: str, number: int) -> Column:
     return F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda i: F.xxhash64(F.lit(number), *(F.get(tokens, i + k) for k in marks)))).otherwise(F.array().cast("array<bigint>"))
 
 
-def seeds(rows: DataFrame, keys: list[str], masks: list[str]) -> DataFrame:
-    """keys, at, seed of every window of rows(keys, tokens) under every mask."""
-    spots = F.concat(*(F.transform(windows(F.col("tokens"), m, n), lambda h, i: F.struct(i.alias("at"), h.alias("seed"))) for n, m in enumerate(masks)))
+def seeds(rows: DataFrame, keys: list[str], masks: tuple[str, ...]) -> DataFrame:
+    """keys, at, seed of every window of rows(keys, tokens) under every mask; a mask has the same number in every call."""
+    number = {m: n for n, m in enumerate(MASKS + SHORT_MASKS)}
+    spots = F.concat(*(F.transform(windows(F.col("tokens"), m, number[m]), lambda h, i: F.struct(i.alias("at"), h.alias("seed"))) for m in masks))
     return rows.select(*keys, F.explode(spots).alias("s")).select(*keys, "s.at", "s.seed")
 
 
 def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, text_key, item_id, words, shift: each diagonal that holds a seed hit.
 
-    docs(doc_id, text_key, tokens), items(item_id, words, tokens).
+    docs(doc_id, text_key, tokens), items(item_id, words, tokens). Documents take the masks of short items only where there are any.
     """
-    short = sorted(r["words"] for r in items.where(F.col("words").between(LEAST_WORDS, SPAN - 1)).select("words").distinct().collect())  # five values at most
-    full = [*MASKS, *("1" * n for n in short)]
-    of_items = seeds(items.where(F.col("words") >= SPAN), ["item_id", "words"], list(MASKS))
-    for n in short:
-        whole = F.get(windows(F.col("tokens"), "1" * n, full.index("1" * n)), F.lit(0))
-        of_items = of_items.unionByName(items.where(F.col("words") == n).select("item_id", "words", F.lit(0).alias("at"), whole.alias("seed")))
+    short = items.where(F.col("words") < SPAN)
+    masks, of_items = MASKS, seeds(items.where(F.col("words") >= SPAN), ["item_id", "words"], MASKS)
+    if short.take(1):
+        masks, of_items = MASKS + SHORT_MASKS, of_items.unionByName(seeds(short, ["item_id", "words"], SHORT_MASKS))
     of_items = stored(of_items.withColumnRenamed("at", "item_at"), "benchmark-seeds")
     small = of_items.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    met = seeds(docs, ["doc_id", "text_key"], full).join(F.broadcast(of_items) if small else of_items, "seed")
+    met = seeds(docs, ["doc_id", "text_key"], masks).join(F.broadcast(of_items) if small else of_items, "seed")
     return met.select("doc_id", "text_key", "item_id", "words", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
 
 
@@ -74,8 +76,13 @@ def best_stretch(aligned: Column, item: Column, width: Column) -> Column:
     return let(same, lambda s: F.array_max(F.transform(F.sequence(F.lit(1), F.size(s) - width + 1), lambda i: F.aggregate(F.slice(s, i, width), F.lit(0), lambda n, x: n + x))))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, matched, stretch: verified overlaps, the best for each pair."""
+def overlaps(docs: DataFrame, benchmark: DataFrame, short_match: float = 1.0) -> DataFrame:
+    """doc_id, item_id, matched, stretch: verified overlaps, the best for each pair.
+
+    short_match: the share of words in which items of fewer than SPAN words must agree, MATCH or more.
+    """
+    if not MATCH <= short_match <= 1:
+        raise ValueError(f"short_match must lie between {MATCH} and 1")
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), token_hashes(F.col("text")).alias("tokens")).distinct()
     items = stored(items.withColumn("words", F.size("tokens")), "benchmark-items")
     few_words = items.where(F.col("words").between(1, LEAST_WORDS - 1))
@@ -92,8 +99,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     width = F.least(F.col("words"), F.lit(STRETCH))
     same_length = F.size("aligned") == F.col("words")
     scored = near.join(items, "item_id").where(same_length).select("doc_id", "item_id", best_stretch(F.col("aligned"), F.col("tokens"), width).alias("matched"), width.alias("stretch"), "words")
-    need = F.when(F.col("words") < SPAN, F.col("stretch").cast("double")).otherwise(F.lit(MATCH) * F.col("stretch"))
-    out = scored.where(F.col("matched") >= need).groupBy("doc_id", "item_id").agg(F.max("matched").cast("long").alias("matched"), F.max("stretch").cast("long").alias("stretch"))
+    need = F.when(F.col("words") < SPAN, F.lit(float(short_match))).otherwise(F.lit(MATCH)) * F.col("stretch")
+    out = scored.where(F.col("matched") >= need - 1e-9).groupBy("doc_id", "item_id").agg(F.max("matched").cast("long").alias("matched"), F.max("stretch").cast("long").alias("stretch"))
     return out.unionByName(whole_lines(own, few_words)) if few_words.take(1) else out
 
 
@@ -106,13 +113,13 @@ def whole_lines(docs: DataFrame, items: DataFrame) -> DataFrame:
     return lines.join(F.broadcast(items) if small else items, "tokens").select("doc_id", "item_id", words.alias("matched"), words.alias("stretch")).distinct()
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, short_match: float = 1.0) -> DataFrame:
     """The rows of docs whose doc_id has no verified overlap; rows with a null doc_id stay."""
-    bad = overlaps(docs, benchmark).select(F.col("doc_id").alias("leaked_doc")).distinct()
+    bad = overlaps(docs, benchmark, short_match).select(F.col("doc_id").alias("leaked_doc")).distinct()
     return docs.join(bad, docs["doc_id"] == bad["leaked_doc"], "left_anti")
 
 
 def query(spark, sf_dir):
     from .common import table
 
-    return overlaps(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return overlaps(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"), short_match=MATCH)
