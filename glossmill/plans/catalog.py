@@ -314,6 +314,25 @@ def marks(spark, sf_dir):
     return marked.groupBy("profile_id", "doc_id").agg(F.count("*").alias("n_marked"), F.sum(F.col("ix").cast("long")).alias("ix_sum"))
 
 
+@register("gloss_marks", f"""WITH {TOKENS_SQL}, {LEXICON_SQL}, {BEST_SQL}, pr AS (SELECT * FROM (VALUES ('gloss', 0.5::DOUBLE, false), ('both', 0.3::DOUBLE, true)) v(profile_id, least, labels)),
+e AS (SELECT profile_id, least, doc_id, CASE WHEN pos <> 'x' THEN CASE WHEN length(norm) % 2 = 0 THEN 0.9 ELSE 0.4 END END::DOUBLE AS g,
+  CASE WHEN labels AND pos <> 'x' THEN CASE WHEN length(norm) % 5 = 0 THEN -1 ELSE confidence END END::DOUBLE AS p FROM bt CROSS JOIN pr),
+s AS (SELECT profile_id, doc_id, CASE WHEN g >= least THEN g END AS g, CASE WHEN p >= least THEN p END AS p FROM e)
+SELECT profile_id, doc_id, count(g) AS n_glosses, count(p) AS n_labels, count(coalesce(g, p)) AS n_eligible, min(least(g, p)) AS least_confidence FROM s GROUP BY ALL""")
+def gloss_marks(spark, sf_dir):
+    """What two profiles show where glosses have confidences of their own and some annotations gainsay the part of speech."""
+    raw = spark.createDataFrame([("gloss", 0.5, False), ("both", 0.3, True)], "profile_id string, min_confidence double, posLabel boolean")
+    none, off = F.lit(None).cast("string"), F.lit(False)
+    raw = raw.withColumns({"language_mode": F.lit("auto"), "density": F.lit(1.0), "label_position": F.lit("top"), "posColor": off, "glossHint": F.lit(True)} | {c: off for c in projection.CHANNELS if c not in ("posLabel", "posColor", "glossHint")})
+    size = F.char_length("norm")
+    note = lambda kind, value, sure: F.struct(F.lit(kind).alias("type"), value.alias("value"), sure.cast("double").alias("confidence"))
+    gloss = F.when(F.col("pos") != "x", note("gloss", F.concat(F.lit("a form of "), F.col("norm")), F.when(size % 2 == 0, 0.9).otherwise(0.4)))
+    other = F.when(size % 5 == 0, note("simplified-pos", F.lit("none"), F.lit(1.0)))
+    rows = best_tokens(spark, sf_dir).withColumns({"language": F.lit("en"), "grammar_role": none, "tense_aspect": none, "chunk_type": none, "morphology": F.lit(None).cast(english.NO_FEATURES), "annotations": F.filter(F.array(gloss, other), lambda a: a.isNotNull())})
+    shown = projection.decorations(rows, projection.normalize_profiles(raw))
+    return shown.groupBy("profile_id", "doc_id").agg(F.count("shown_gloss").alias("n_glosses"), F.count("label").alias("n_labels"), F.count_if("eligible").alias("n_eligible"), F.min(F.when(F.col("eligible"), F.col("row_confidence"))).alias("least_confidence"))
+
+
 @register("segments", f"""WITH {TOKENS_SQL}, n AS (SELECT doc_id, count(*) FILTER (norm IN ('the', 'of', 'and', 'de')) AS n_marked_runs FROM tk GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_marked_runs, 0)::BIGINT AS n_marked_runs, sha256(coalesce(text, '')) AS text_sha256 FROM documents d LEFT JOIN n USING (doc_id)""")
 def segments(spark, sf_dir):

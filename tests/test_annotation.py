@@ -103,6 +103,19 @@ def test_density_marks_two_of_four(spark):
     assert len(marked) == 2 and all(r.priority == 0.85 for r in marked)
 
 
+def test_channels_ask_for_their_own_evidence(spark):
+    note = "array<struct<type:string,value:string,confidence:double>>"
+    rows = [
+        (1, "n", 0.8, [("gloss", "a book", 0.9)], 2), (2, "n", 0.8, [("gloss", "a book", 0.3), ("simplified-pos", "n", 0.6)], 2), (3, "n", 0.8, [("simplified-pos", "v", 1.0)], 2),
+        (4, "n", 0.8, None, 1), (5, "n", None, [], 2), (6, "x", 0.9, [("gloss", "", 0.9)], 2), (7, "v", 7.0, [("gloss", "to run", float("nan"))], None),
+    ]
+    t = spark.createDataFrame(rows, f"ix long, pos string, confidence double, annotations {note}, schema_version int").selectExpr("*", "'en' as language", "cast(null as string) as lemma", "named_struct('form', cast(null as string)) as morphology", "cast(null as string) as grammar_role", "cast(null as string) as tense_aspect", "cast(null as string) as chunk_type")
+    raw = spark.createDataFrame([("p", "auto", 1.0, 0.5, "top")], "profile_id string, language_mode string, density double, min_confidence double, label_position string").withColumns({c: F.lit(c in ("posLabel", "glossHint")) for c in projection.CHANNELS})
+    out = projection.decorations(t, projection.normalize_profiles(raw)).orderBy("ix").collect()
+    got = [(r.label, r.shown_gloss, r.eligible, r.row_confidence) for r in out]
+    assert got == [("n", "a book", True, 0.8), ("n", None, True, 0.6), (None, None, False, 0.0), (None, None, False, 0.0), (None, None, False, 0.0), (None, None, False, 0.0), ("v", None, True, 1.0)]
+
+
 def test_marks_follow_priority_then_hash_of_the_token(spark):
     """The order among equal priorities is that of FNV-1a over language, surface, start and end, in UTF-16 units."""
     def fnv(text):
