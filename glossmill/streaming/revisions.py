@@ -3,17 +3,20 @@
 requests: seq, request_id, page_epoch, root_id, root_revision, phase (bootstrap | lexical), text, language_mode,
 semantic_version, grammar_version, profile_revision, lexical_version, analysis_key. Outcomes are ok, stale,
 duplicate, invalid and cancelled. gate() answers a batch with windows; stream_gate() keeps the same state per
-root in Structured Streaming.
+root in Structured Streaming, where a row of phase cancel is a control row: it names a request of its root and epoch.
 """
 
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import policy
+
 KEY_PARTS = ["text", "language_mode", "semantic_version", "grammar_version", "profile_revision", "lexical_version"]
 MOST_TEXT = 12_000
 
@@ -49,7 +52,7 @@ def gate(requests: DataFrame, cancelled: DataFrame | None = None, valid: Column
     return rows.select(*requests.columns, status.alias("status"))
 
 
-STATE = "epoch int, revision int, lexical boolean, seen array<string>"
+STATE = "epoch int, revision int, lexical boolean, seen array<string>, gone array<string>"
 
 
 def decide(state: tuple, row) -> tuple[str, tuple]:
@@ -70,28 +73,49 @@ def decide(state: tuple, row) -> tuple[str, tuple]:
     return ("stale" if late else "ok"), (epoch, revision, lexical or row.phase == "lexical", (*seen, key))
 
 
-def stream_gate(requests: DataFrame, valid: Column | None = None) -> DataFrame:
-    """A streaming table seq, root_id, status; state per root holds the keys of the newest revision only.
+def cancellations(gone: list[str], rows: pd.DataFrame, epoch: int) -> list[str]:
+    """The requests cancelled so far and by the control rows, without those of epochs that are over."""
+    rows = rows[(rows["phase"] == "cancel") & rows["request_id"].notna() & rows["page_epoch"].notna()]
+    new = [f"{int(e)}|{r}" for e, r in zip(rows["page_epoch"], rows["request_id"])]
+    return sorted(c for c in {*gone, *new} if int(c.split("|", 1)[0]) >= epoch)
+
+
+def stream_gate(requests: DataFrame, valid: Column | None = None, keep_ms: int | None = None) -> DataFrame:
+    """A streaming table seq, root_id, status; control rows get no answer.
 
-    A micro-batch's rows of a root are taken in order of seq; across batches arrival decides.
+    A micro-batch's rows of a root are taken in order of seq; across batches arrival decides. A control row reaches
+    the requests of its own micro-batch, which are pending, and later ones of its epoch; one without request_id or
+    epoch does nothing. State per root holds the keys of the newest revision and the cancelled requests of the newest
+    epoch. With keep_ms it goes when the root has been silent for so long: a request that comes after that is taken as a
+    root's first. Spark then makes batches without data to look for silent roots, so a query that shall end with its
+    input (availableNow) needs spark.sql.streaming.noDataMicroBatches.enabled set to false.
     """
     rows = requests.withColumn("_valid", is_valid() if valid is None else valid)
 
     def advance(key, batches, state: GroupState):
-        now = tuple(state.get) if state.exists else (-1, -1, False, [])
-        now = (now[0], now[1], now[2], tuple(now[3]))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        epoch, revision, lexical, seen, gone = tuple(state.get) if state.exists else (-1, -1, False, [], [])
+        now = (epoch, revision, lexical, tuple(seen))
         pdf = pd.concat(list(batches)).sort_values("seq")
+        gone = set(cancellations(gone, pdf, epoch))
         out = []
-        for row in pdf.itertuples():
+        for row in pdf[pdf["phase"] != "cancel"].itertuples():
             status = "invalid"
             if row.is_valid:
-                status, now = decide(now, row)
+                status = "cancelled"
+                if f"{int(row.page_epoch)}|{row.request_id}" not in gone:
+                    status, now = decide(now, row)
             out.append((row.seq, key[0], status))
-        state.update((now[0], now[1], now[2], list(now[3])))
+        kept = cancellations(sorted(gone), pdf.iloc[:0], now[0])
+        state.update((now[0], now[1], now[2], list(now[3]), kept))
+        if keep_ms is not None:
+            state.setTimeoutDuration(keep_ms)
         yield pd.DataFrame(out, columns=["seq", "root_id", "status"])
 
-    own = rows.where("root_id is not null").select("seq", F.col("root_id").cast("string").alias("root_id"), "page_epoch", "root_revision", "phase", "analysis_key", F.col("_valid").alias("is_valid"))
-    return own.groupBy("root_id").applyInPandasWithState(advance, "seq long, root_id string, status string", STATE, "append", GroupStateTimeout.NoTimeout)
+    own = rows.where("root_id is not null").select("seq", "request_id", F.col("root_id").cast("string").alias("root_id"), "page_epoch", "root_revision", "phase", "analysis_key", F.col("_valid").alias("is_valid"))
+    return own.groupBy("root_id").applyInPandasWithState(advance, "seq long, root_id string, status string", STATE, "append", GroupStateTimeout.NoTimeout if keep_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def admit(items: DataFrame, most_items: int = 24, most_chars: int = 12_000, most_tokens: int = 600, most_buckets: int = 24) -> DataFrame:
@@ -109,18 +133,36 @@ def new_work(requests: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def annotate_batches(gated: DataFrame, annotate, out_path: str, checkpoint: str):
-    """A query that annotates each micro-batch's new keys once and appends the rows under out_path."""
+    """A query that annotates each micro-batch's new keys once, under out_path by batch.
 
-    def each(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(out_path)
-        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-        done = spark.read.parquet(out_path) if there else spark.createDataFrame([], "analysis_key string")
-        annotate(new_work(batch, done)).write.mode("append").parquet(out_path)
+    A batch that is run again after a failure replaces its own rows; of the other batches' rows only the keys are read.
+    """
+
+    def each(batch: DataFrame, n: int) -> None:
+        try:
+            done = batch.sparkSession.read.parquet(out_path).where(F.col("batch") != n).select("analysis_key")
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            done = batch.select("analysis_key").limit(0)
+        annotate(new_work(batch, done)).write.mode("overwrite").parquet(f"{out_path}/batch={n}")
 
     return gated.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
+def coalesce_batches(changes: DataFrame, out_path: str, checkpoint: str):
+    """A query that keeps of each micro-batch's changes(kind, path) the topmost paths of a kind, under out_path by batch.
+
+    Paths name nodes from the root down, /body/div/p; rows without kind or path name none and go.
+    """
+
+    def each(batch: DataFrame, n: int) -> None:
+        named = batch.where("kind is not null and path is not null")
+        policy.topmost(named, "kind").write.mode("overwrite").parquet(f"{out_path}/batch={n}")
+
+    return changes.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
 def lexicon_for(verified: DataFrame, fallback: DataFrame, violations: DataFrame) -> tuple[DataFrame, str]:
     """The verified lexicon and 'ready', or the fallback and 'degraded' where integrity checks found anything."""
     return (fallback, "degraded") if violations.limit(1).count() else (verified, "ready")

@@ -41,6 +41,63 @@ def test_stream_equals_batch(spark, tmp_path):
     assert [r.status for r in spark.read.parquet(out).orderBy("seq").collect()] == STATUSES
 
 
+def run(query):
+    assert query.awaitTermination(60)
+    assert query.exception() is None
+
+
+def test_stream_cancels(spark, tmp_path):
+    """A control row reaches its own micro-batch and later ones, of its root and epoch alone; it gets no answer."""
+    first = requests(spark, [(0, "a", 1, "bootstrap", "x"), (0, "a", 1, "lexical", "x"), (0, "b", 1, "lexical", "x")])
+    first = first.withColumn("request_id", F.lit("gone")).withColumn("phase", F.when(F.col("seq") == 1, "cancel").otherwise(F.col("phase")))
+    later = requests(spark, [(0, "a", 1, "lexical", "y"), (1, "a", 1, "lexical", "y"), (0, "a", 1, "lexical", "y"), (0, "a", 1, "cancel", "z"), (0, "b", 1, "lexical", "y")])
+    later = later.withColumn("request_id", F.when(F.col("seq") < 2, "gone")).withColumn("seq", F.col("seq") + 10)
+    out, ck, source = str(tmp_path / "out"), str(tmp_path / "ck"), str(tmp_path / "in")
+    for rows in (first, later):
+        rows.coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(rows.schema).parquet(source)
+        run(R.stream_gate(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start())
+    got = {r.seq: r.status for r in spark.read.parquet(out).collect()}
+    assert got == {0: "cancelled", 2: "ok", 10: "cancelled", 11: "ok", 12: "stale", 14: "ok"}
+
+
+def test_silent_roots_are_forgotten(spark, tmp_path):
+    empty = "spark.sql.streaming.noDataMicroBatches.enabled"
+    spark.conf.set(empty, "false")
+    try:
+        forgets(spark, tmp_path)
+    finally:
+        spark.conf.unset(empty)
+
+
+def forgets(spark, tmp_path):
+    rows = requests(spark, [(0, "a", 5, "lexical", "x")])
+    out, ck, source = str(tmp_path / "out"), str(tmp_path / "ck"), str(tmp_path / "in")
+    for batch in (rows, requests(spark, [(0, "b", 1, "lexical", "x")]), rows.withColumn("seq", F.lit(2).cast("long"))):
+        batch.coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(batch.schema).parquet(source)
+        run(R.stream_gate(stream, keep_ms=1).writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start())
+    assert [r.status for r in spark.read.parquet(out).where("root_id = 'a'").collect()] == ["ok", "ok"]
+
+
+def test_changes_coalesce_in_each_batch(spark, tmp_path):
+    source, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
+    batches = [[("root", "/a/b"), ("root", "/a"), ("root", "/ab"), ("removed", "/a/b"), ("root", "/a"), (None, "/z"), ("root", None)], [("root", "/a/b")]]
+    for rows in batches:
+        df = spark.createDataFrame(rows, "kind string, path string")
+        df.coalesce(1).write.mode("append").parquet(source)
+        run(R.coalesce_batches(spark.readStream.schema(df.schema).parquet(source), out, ck).start())
+    got = sorted((r.batch, r.kind, r.path) for r in spark.read.parquet(out).collect())
+    assert got == [(0, "removed", "/a/b"), (0, "root", "/a"), (0, "root", "/ab"), (1, "root", "/a/b")]
+
+
+def test_degraded_lexicon(spark):
+    good, bad = spark.createDataFrame([(1,)], "n int"), spark.createDataFrame([(2,)], "n int")
+    found = spark.createDataFrame([("HASH",)], "code string")
+    assert R.lexicon_for(good, bad, found) == (bad, "degraded")
+    assert R.lexicon_for(good, bad, found.limit(0)) == (good, "ready")
+
+
 def test_new_work(spark):
     gated = R.gate(requests(spark, ROWS))
     done = gated.where("seq = 0").select("analysis_key")
