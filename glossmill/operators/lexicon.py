@@ -125,10 +125,29 @@ def row_hash(columns: list[str]) -> Column:
 
 def manifest(lexicon: DataFrame, buckets: int = 64) -> DataFrame:
     """locale, bucket, n_rows and an order-independent content hash of each bucket."""
-    own = bucketed(lexicon, buckets).withColumn("h", row_hash(["norm", "lemma", "pos", "confidence", "lexical_ref"]))
+    return content(bucketed(lexicon, buckets))
+
+
+def content(rows: DataFrame) -> DataFrame:
+    """locale, bucket, n_rows, content_hash of rows that have their bucket."""
+    own = rows.withColumn("h", row_hash(["norm", "lemma", "pos", "confidence", "lexical_ref"]))
     return own.groupBy("locale", "bucket").agg(F.count("*").alias("n_rows"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("content_hash"))
 
 
+def bucket_violations(stored: DataFrame, declared: DataFrame, buckets: int = 64) -> DataFrame:
+    """locale, bucket, code where a stored table with its bucket column departs from its declared manifest.
+
+    BUCKET_ID: rows that belong elsewhere; COUNT, HASH: rows other than declared; MISSING, UNDECLARED: on one side only.
+    """
+    routed = stored.withColumn("_own", bucket_of(F.col("locale"), F.col("norm"), buckets))
+    wrong = routed.where(~F.col("_own").eqNullSafe(F.col("bucket"))).select("locale", "bucket", F.lit("BUCKET_ID").alias("code")).distinct()
+    found = content(stored)
+    names = lambda df, by: df.select("locale", "bucket", F.col("n_rows").alias(f"{by}_n"), F.col("content_hash").alias(f"{by}_h"))
+    both = names(found, "f").join(names(declared, "d"), ["locale", "bucket"], "full_outer")
+    code = F.when(F.col("f_n").isNull(), F.array(F.lit("MISSING"))).when(F.col("d_n").isNull(), F.array(F.lit("UNDECLARED"))).otherwise(F.array_compact(F.array(F.when(F.col("f_n") != F.col("d_n"), F.lit("COUNT")), F.when(~F.col("f_h").eqNullSafe(F.col("d_h")), F.lit("HASH")))))
+    return both.select("locale", "bucket", F.explode(code).alias("code")).unionByName(wrong)
+
+
 def root_hash(buckets: DataFrame) -> DataFrame:
     """One hash over all buckets' hashes; as many rows as there are buckets go into it, 8192 at most."""
     line = F.concat_ws(":", "locale", F.col("bucket").cast("string"), "content_hash")

@@ -109,12 +109,22 @@ def token_violations(tokens: DataFrame, docs: DataFrame, key: str = "doc_id") ->
     return rows.select(F.explode(codes).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
 
 
-def diagnostics(docs: DataFrame, tokens: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, text_length, n_tokens, n_unknown, fallback_used for every document."""
-    own = tokens.groupBy(key).agg(F.count("*").alias("n_tokens"), F.sum((F.col("pos") == "x").cast("long")).alias("n_unknown"), F.bool_or(F.col("source") == "bootstrap-lexicon").alias("fallback_used"))
+# Capabilities that lexical providers lack, and those of them that the grammar of English tokens brings.
+LEXICAL_LACKS = ["chunk", "grammar-role", "learning-state", "tense-aspect"]
+ENGLISH_CAPABILITIES = ["chunk", "grammar-role", "tense-aspect"]
+
+
+def diagnostics(docs: DataFrame, tokens: DataFrame, key: str = "doc_id", unavailable: list[str] = LEXICAL_LACKS) -> DataFrame:
+    """key, text_length, n_tokens, n_unknown, fallback_used, unavailable for every document.
+
+    unavailable lists in order what the providers lack; English tokens take their own capabilities off the list.
+    """
+    own = tokens.groupBy(key).agg(F.count("*").alias("n_tokens"), F.sum((F.col("pos") == "x").cast("long")).alias("n_unknown"), F.bool_or(F.col("source") == "bootstrap-lexicon").alias("fallback_used"), F.bool_or(F.col("language") == "en").alias("english"))
     base = docs.select(key, F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("text_length"))
-    zero = F.lit(0).cast("long")
-    return base.join(own, key, "left").select(key, "text_length", F.coalesce("n_tokens", zero).alias("n_tokens"), F.coalesce("n_unknown", zero).alias("n_unknown"), F.coalesce("fallback_used", F.lit(False)).alias("fallback_used"))
+    zero, every = F.lit(0).cast("long"), sorted(set(unavailable))
+    names = lambda found: F.lit(found) if found else F.array().cast("array<string>")
+    lacks = F.when(F.col("english"), names([c for c in every if c not in ENGLISH_CAPABILITIES])).otherwise(names(every))
+    return base.join(own, key, "left").select(key, "text_length", F.coalesce("n_tokens", zero).alias("n_tokens"), F.coalesce("n_unknown", zero).alias("n_unknown"), F.coalesce("fallback_used", F.lit(False)).alias("fallback_used"), lacks.alias("unavailable"))
 
 
 def source_gate(sources: DataFrame) -> DataFrame:

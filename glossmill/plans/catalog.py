@@ -8,7 +8,7 @@ from pyspark.sql import Window
 
 from ..functions import text as X
 from ..functions import words as W
-from ..operators import chinese, english, grammar, lexicon, policy, projection, quality
+from ..operators import chinese, english, grammar, lexicon, policy, projection, quality, seed_tokens
 from ..sources import pages as P
 from ..streaming import revisions
 from .annotate import annotate
@@ -166,6 +166,21 @@ def lexicon_manifest(spark, sf_dir):
     return lexicon.manifest(corpus(spark, sf_dir)[1], 64)
 
 
+@register("bucket_integrity", f"""WITH {TOKENS_SQL}, {LEXICON_SQL}, d AS (SELECT *, ({_BUCKET_SQL})::INT AS bucket FROM lx),
+f AS (SELECT CASE WHEN bucket % 8 = 3 AND length(norm) % 2 = 0 THEN (bucket + 1) % 64 ELSE bucket END AS bucket, bucket AS own, norm, pos, CASE WHEN bucket % 8 = 2 THEN 0.5 ELSE confidence END AS confidence FROM d WHERE NOT (bucket % 8 = 1 AND length(norm) % 2 = 0)),
+a AS (SELECT bucket, count(*) AS n, string_agg(norm || pos || confidence, ' ' ORDER BY norm, pos) AS rows FROM d GROUP BY bucket), b AS (SELECT bucket, count(*) AS n, string_agg(norm || pos || confidence, ' ' ORDER BY norm, pos) AS rows FROM f GROUP BY bucket),
+c AS (SELECT bucket, a.n AS a, b.n AS b, a.rows AS x, b.rows AS y FROM a FULL JOIN b USING (bucket))
+SELECT 'en' AS locale, bucket, code FROM (SELECT bucket, 'MISSING' AS code FROM c WHERE b IS NULL UNION ALL SELECT bucket, 'UNDECLARED' FROM c WHERE a IS NULL UNION ALL SELECT bucket, 'COUNT' FROM c WHERE a <> b UNION ALL SELECT bucket, 'HASH' FROM c WHERE x <> y
+  UNION ALL SELECT DISTINCT bucket, 'BUCKET_ID' FROM f WHERE own <> bucket)""")
+def bucket_integrity(spark, sf_dir):
+    """What the check of buckets finds in a table of which some buckets lost, changed or misplaced rows by rule."""
+    lex = corpus(spark, sf_dir)[1]
+    own, even = F.col("bucket"), F.char_length("norm") % 2 == 0
+    rows = lexicon.bucketed(lex, 64).where(~((own % 8 == 1) & even)).withColumn("confidence", F.when(own % 8 == 2, 0.5).otherwise(F.col("confidence")))
+    moved = F.when((own % 8 == 3) & even, (own + 1) % 64).otherwise(own).cast("int")
+    return lexicon.bucket_violations(rows.withColumn("bucket", moved), lexicon.manifest(lex, 64), 64)
+
+
 @register("gloss_dictionary", f"""WITH {TOKENS_SQL}, {LEXICON_SQL}, g AS (SELECT DISTINCT 'a form of ' || norm AS gloss FROM lx),
 b AS (SELECT gloss, {FNV_SQL.format("gloss")} % 16 AS bucket FROM g) SELECT gloss, bucket, (row_number() OVER (PARTITION BY bucket ORDER BY gloss) - 1)::INT AS gloss_ix FROM b""")
 def gloss_dictionary(spark, sf_dir):
@@ -434,6 +449,26 @@ def chinese_tokens(spark, sf_dir):
     return chinese.tokens(docs, lex).groupBy("doc_id", "pos").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("n_chars"))
 
 
+_SEED_HAN = sorted((t for t, *_ in lexicon.SEED_ZH), key=lambda t: (-len(t), t))
+_SEED_PATTERN = "|".join(_SEED_HAN) + "|\\p{Han}"
+
+
+@register("seed_tokens", f"""WITH m AS (SELECT doc_id, lang, CASE doc_id % 3 WHEN 0 THEN translate(text, 'abcdefgh', '學習語言中文我在') WHEN 1 THEN translate(lower(text), '{HAN_FROM}', '{HAN_TO}') ELSE text END AS text FROM documents),
+{TOKENS_SQL.replace("FROM documents", "FROM m")}, wl AS (SELECT * FROM (VALUES {_values(W.rule_words())}) v(norm, p, c)), zl AS (SELECT * FROM (VALUES {_values((t, p) for t, _, p, _ in lexicon.SEED_ZH)}) v(surface, p)),
+e AS (SELECT doc_id, 'en' AS language, start, CASE WHEN p IS NOT NULL THEN p {_SUFFIX_SQL(0)} ELSE 'x' END AS pos FROM tk LEFT JOIN wl USING (norm)),
+z0 AS (SELECT doc_id, regexp_extract_all(text, '{_SEED_PATTERN}') AS f, regexp_split_to_array(text, '{_SEED_PATTERN}') AS g FROM m WHERE text IS NOT NULL),
+z1 AS (SELECT doc_id, unnest(range(len(f))) AS ix, unnest(f) AS surface, unnest(g[1:len(f)]) AS gap FROM z0),
+z2 AS (SELECT doc_id, surface, sum(length(gap) + length(surface)) OVER (PARTITION BY doc_id ORDER BY ix) - length(surface) AS start FROM z1),
+z AS (SELECT doc_id, 'zh' AS language, start, coalesce(p, 'x') AS pos FROM z2 LEFT JOIN zl USING (surface))
+SELECT doc_id, language, pos, CAST(CASE WHEN pos IN ('n', 'v', 'adj', 'adv') THEN 0.85 WHEN pos <> 'x' THEN 0.65 ELSE 0.2 END AS DOUBLE) AS priority, count(*) AS n, sum(start)::BIGINT AS start_sum FROM (SELECT * FROM e UNION ALL SELECT * FROM z) GROUP BY ALL""")
+def seed_token_counts(spark, sf_dir):
+    """Seed-lexicon tokens of documents that are English, Han or mixed by their id, counted by language and part of speech."""
+    kind, text = F.col("doc_id") % 3, F.col("text")
+    mixed = F.when(kind == 0, F.translate(text, "abcdefgh", "學習語言中文我在")).when(kind == 1, F.translate(F.lower(text), HAN_FROM, HAN_TO)).otherwise(text)
+    found = seed_tokens.tokenize(documents(spark, sf_dir).select("doc_id", mixed.alias("text")))
+    return found.groupBy("doc_id", "language", "pos", "priority").agg(F.count("*").alias("n"), F.sum(F.col("start").cast("long")).alias("start_sum"))
+
+
 #: Hosts of the addresses that the policy query makes, beside those that its own rule tables name.
 _HOSTS = sorted({h for _, exact, suffix, _ in policy.SERVICE_RULES for h in (exact + " " + suffix).split()} | {f"{label}.example.org" for _, hosts, *_ in policy.CATEGORY_RULES for label in hosts.split()} | {"example.net", "shop.example.net", "city.gov", "www.example.com", "notexample.net", "mailbox.example.com"})
 #: Routes, the labels that a reader finds in them, and whether they are ambiguous.
@@ -488,11 +523,11 @@ def page_runs(spark, sf_dir):
 
 @register("page_sentences")
 def page_sentences(spark, sf_dir):
-    """Sentences of page texts and the parts of text runs they cover."""
+    """Sentence records of page texts, whose revisions follow from the ids, with the number of text runs they cover."""
     runs = P.text_runs(table(spark, sf_dir, "pages"))
-    found = X.sentences(P.page_texts(runs), "page_id").withColumn("span_id", F.col("sent_ix").cast("long"))
-    parts = projection.fragments(runs, found).groupBy("page_id", "span_id").agg(F.count("*").alias("n_fragments"))
-    return found.join(parts, ["page_id", "span_id"]).select("page_id", "sent_ix", "start", "end", "language", "n_fragments")
+    texts = P.page_texts(runs).withColumn("root_revision", (F.col("page_id") % 3).cast("int"))
+    records = projection.sentence_records(texts, runs)
+    return records.select("page_id", "record_id", "sent_ix", "start", "end", "language", F.size("fragments").alias("n_fragments"))
 
 
 @register("page_signals")
@@ -549,11 +584,19 @@ def budget_gate(spark, sf_dir):
     return quality.budget_gate(summary, budgets).select("metric", "statistic", "measured", "budget", "passed")
 
 
-@register("diagnostics", f"""WITH {TOKENS_SQL}, {LEXICON_SQL}, {BEST_SQL}, n AS (SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (pos = 'x') AS n_unknown FROM bt GROUP BY doc_id)
-SELECT d.doc_id, length(coalesce(text, ''))::BIGINT AS text_length, coalesce(n_tokens, 0) AS n_tokens, coalesce(n_unknown, 0) AS n_unknown, false AS fallback_used FROM documents d LEFT JOIN n USING (doc_id)""")
+@register("diagnostics", f"""WITH {TOKENS_SQL}, {LEXICON_SQL}, {BEST_SQL}, wl AS (SELECT * FROM (VALUES {_values(W.rule_words())}) v(norm, p, c)),
+s AS (SELECT doc_id, length(norm) % 4 = 3 AS held_back, p, pos FROM bt LEFT JOIN wl USING (norm)),
+n AS (SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (CASE WHEN held_back THEN p IS NULL ELSE pos = 'x' END) AS n_unknown, bool_or(held_back AND p IS NOT NULL) AS fallback_used FROM s GROUP BY doc_id)
+SELECT d.doc_id, length(coalesce(text, ''))::BIGINT AS text_length, coalesce(n_tokens, 0) AS n_tokens, coalesce(n_unknown, 0) AS n_unknown, coalesce(fallback_used, false) AS fallback_used,
+  CASE WHEN n_tokens > 0 THEN 'learning-state' ELSE 'chunk,grammar-role,learning-state,tense-aspect' END AS unavailable FROM documents d LEFT JOIN n USING (doc_id)""")
 def diagnostics(spark, sf_dir):
-    best = best_tokens(spark, sf_dir).withColumn("source", F.lit("verified-lexical-index"))
-    return quality.diagnostics(documents(spark, sf_dir), best)
+    """Diagnostics of a chain whose verified lexicon lacks words of some lengths, so that listed words stand in for them."""
+    listed = spark.createDataFrame(W.rule_words(), "norm string, p string, c double")
+    met = best_tokens(spark, sf_dir).join(F.broadcast(listed), "norm", "left")
+    lost = F.char_length("norm") % 4 == 3
+    source = F.when(lost & F.col("p").isNotNull(), "bootstrap-lexicon").otherwise("verified-lexical-index")
+    chain = met.withColumns({"pos": F.when(lost, F.coalesce("p", F.lit("x"))).otherwise(F.col("pos")), "source": source, "language": F.lit("en")})
+    return quality.diagnostics(documents(spark, sf_dir), chain).withColumn("unavailable", F.array_join("unavailable", ","))
 
 
 @register("contract_violations", f"""WITH {TOKENS_SQL} SELECT code, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN ix % 100 = 7 THEN 'LENGTH' END, CASE WHEN length(norm) = 3 THEN 'POS' END, CASE WHEN ix % 50 = 3 THEN 'CONFIDENCE' END], lambda x: x IS NOT NULL)) AS code FROM tk) GROUP BY code""")

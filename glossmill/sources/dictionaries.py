@@ -110,11 +110,24 @@ def dataset_hash(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("dataset_id").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(d))), 256).alias("dataset_hash"))
 
 
-def build_receipt(entries: DataFrame, rejected: DataFrame) -> DataFrame:
-    """dataset_id, n_entries, n_rejected, output_hash; entries and rejected carry dataset_id."""
-    e = entries.groupBy("dataset_id").agg(F.count("*").alias("n_entries"), F.bit_xor(F.xxhash64("norm", "lemma", "pos", "gloss")).alias("output_hash"))
+def build_receipt(entries: DataFrame, rejected: DataFrame, files: DataFrame) -> DataFrame:
+    """dataset_id, receipt_id, n_entries, n_rejected, input_hash, output_hash.
+
+    entries, rejected and files(path, bytes, sha256) carry dataset_id. The input hash is that of the files, the output
+    hash sums 64-bit hashes of the entries, so that repeated rows count; without entries it is zero.
+    """
+    row = F.xxhash64("norm", "lemma", "pos", "gloss").cast("decimal(38,0)")
+    e = entries.groupBy("dataset_id").agg(F.count("*").alias("n_entries"), F.sum(row).alias("output_hash"))
     r = rejected.groupBy("dataset_id").agg(F.count("*").alias("n_rejected"))
-    return e.join(r, "dataset_id", "full_outer").na.fill(0, ["n_entries", "n_rejected"])
+    both = e.join(r, "dataset_id", "full_outer").join(dataset_hash(files), "dataset_id", "full_outer")
+    zero = F.lit(0).cast("long")
+    name = F.concat_ws(":", "dataset_id", F.substring("dataset_hash", 1, 16))
+    return both.select("dataset_id", name.alias("receipt_id"), F.coalesce("n_entries", zero).alias("n_entries"), F.coalesce("n_rejected", zero).alias("n_rejected"), F.col("dataset_hash").alias("input_hash"), F.coalesce(F.col("output_hash"), F.lit(0)).cast("string").alias("output_hash"))
+
+
+def write_receipt(receipt: DataFrame, path: str) -> None:
+    """One JSON line for each dataset, a row of the receipt each."""
+    receipt.coalesce(1).sortWithinPartitions("dataset_id").write.mode("overwrite").json(path)
 
 
 def gold_tokens(cases: DataFrame) -> DataFrame:
