@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, licenses, line_dedup, lm, neighbours, pieces, sharding, simhash, toxicity
+from . import alignment, decontamination, language_id, licenses, line_dedup, lm, neighbours, packing, pieces, prefix_trie, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_sentencepiece": pieces.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_simhash": simhash.query,
     "op9_sharding": sharding.query,
     "op10_language_id": language_id.query,
+    "op11_alignment": alignment.query,
+    "op12_packing": packing.query,
+    "op13_prefix_trie": prefix_trie.query,
 }
 
 ORACLE_SQL = {
