@@ -168,13 +168,16 @@ def test_hypergeometric_matrix():
     for seed in range(50):
         m = sharding.communication_matrix(counts, sizes, seed)
         assert [sum(r) for r in m] == counts and [sum(c) for c in zip(*m)] == sizes and min(map(min, m)) >= 0
-    rng, n = random.Random(2), 20_000
+    rng, n = np.random.default_rng(2), 20_000
     seen = Counter(sharding.hypergeometric(rng, 10, 15, 8) for _ in range(n))
     for k in range(9):
         p = math.comb(10, k) * math.comb(15, 8 - k) / math.comb(25, 8)
         assert abs(seen[k] / n - p) < 5 * math.sqrt(p * (1 - p) / n) + 1e-3
-    big = sharding.hypergeometric(random.Random(1), 10**10, 39 * 10**10, 10**9)
-    assert abs(big - 2.5e7) < 50_000
+    big = [sharding.hypergeometric(np.random.default_rng(k), 10**10, 39 * 10**10, 10**9) for k in range(300)]
+    mean, sd = 2.5e7, math.sqrt(1e9 / 40 * 39 / 40 * (399 / 400))
+    assert abs(sum(big) / 300 - mean) < 5 * sd / math.sqrt(300) and 0.8 < math.sqrt(sum((b - mean) ** 2 for b in big) / 300) / sd < 1.2
+    huge = sharding.communication_matrix([6 * 10**8, 10**9, 5 * 10**8], [21 * 10**7] * 10, 4)  # more than numpy draws from
+    assert [sum(r) for r in huge] == [6 * 10**8, 10**9, 5 * 10**8] and {sum(c) for c in zip(*huge)} == {21 * 10**7}
 
 
 def test_sharding_edges(spark):
@@ -190,6 +193,24 @@ def test_sharding_edges(spark):
     assert sharding.shuffle_into_shards(sharding.digest(frame(spark, [])), 40, 9).count() == 0
 
 
+@pytest.mark.parametrize("split", ["2k", "512m"])
+def test_sharding_when_stored_files_are_split_anew(spark, split):
+    """Between the draw and the run the stored files may be read in other partitions; rows and shards stay exact."""
+    keys = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
+    for k in keys:
+        spark.conf.set(k, "64k" if split == "512m" else "512m")
+    try:
+        out = sharding.shuffle_into_shards(spark.range(20_000, numPartitions=5), 40, 3)
+        for k in keys:
+            spark.conf.set(k, split)
+        rows = out.select("*").collect()
+    finally:
+        for k in keys:
+            spark.conf.unset(k)
+    assert sorted(r.id for r in rows) == list(range(20_000)) and Counter(r.shard for r in rows) == {s: 500 for s in range(40)}
+    assert len({(r.shard, r.slot) for r in rows}) == 20_000 and max(r.slot for r in rows) == 499
+
+
 def test_sharding_is_repeatable(spark):
     d = sharding.digest(documents(spark)).repartition(5, "doc_id")
     a, b = (sorted(map(tuple, sharding.shuffle_into_shards(d, 7, 1).collect())) for _ in range(2))
