@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .vocab import FOLDER, spread, text_slices, tokenizer
+from .vocab import FOLDER, Numbers, spread, text_slices, tokenizer
 
 BYTES, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 BROADCAST_PAIRS = 4_000_000  # 17 bytes each
@@ -71,7 +71,7 @@ class Stretches:
         self.clear()
 
     def clear(self) -> None:
-        self.index, self.labels, self.signs = {}, [], 0
+        self.index, self.labels, self.signs = Numbers(), [], 0
         self.pairs, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.first, self.size, self.kind = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int8)
         self.sums = np.zeros((4, 0), np.int64)  # tokens of A and of B, groups, links
@@ -83,8 +83,12 @@ class Stretches:
         b = self.b.encode([s[1:] if s[0] == " " else s if s[0] == "\n" else "\n" + s for s in stretches], num_threads=1)
         return a, [ids if s[0] == " " else ids[1:] if s[0] == "\n" else ids[2:] for s, ids in zip(stretches, b)]
 
-    def add(self, keys: list[str]) -> None:
-        stretches = [k if k[0] in " \n" + STOPS else " " + k for k in keys]
+    def learn(self) -> None:
+        """Spells and coalesces the stretches that were numbered since the last time. An empty one is not sound."""
+        keys, self.index.new = self.index.new, []
+        if not keys:
+            return
+        stretches = [k if k[:1] in (" ", "\n", *STOPS) else " " + k for k in keys]
         a, b = self.spell(stretches)
         whole = [b"".join([side[i] for i in ids]) == s.encode() for side, both in ((self.a_bytes, a), (self.b_bytes, b)) for ids, s in zip(both, stretches)]
         n = len(keys)
@@ -93,7 +97,6 @@ class Stretches:
         group, ids, side, owner = coalesce(a, b, self.a_size, self.b_size)
         pairs, times, links, groups = expand(group, ids, side, owner, n, len(self.b_bytes))
         sizes = np.bincount(pairs[0], minlength=n)
-        self.index.update(zip(keys, range(len(self.index), len(self.index) + n)))
         self.first = np.concatenate([self.first, len(self.pairs) + np.cumsum(sizes) - sizes])
         self.size = np.concatenate([self.size, sizes])
         self.pairs, self.times = np.concatenate([self.pairs, pairs[1]]), np.concatenate([self.times, times])
@@ -104,6 +107,8 @@ class Stretches:
         self.signs += sum(map(len, keys))
 
     def _kind(self, key: str, sound: bool) -> int:
+        if not key:
+            return 16
         starts = 1 if key[0] == "\n" else 2 if key[0] in STOPS else 0
         bad = key[0] == "\n" and (len(key) < 2 or key[1].isspace()) or key[0] != "\n" and key[0].isspace()
         last = key[-1]
@@ -127,18 +132,13 @@ class Stretches:
         """For each text its stretches; none for the empty."""
         if self.signs > MOST_SIGNS:
             self.clear()
-        cuts, out = [self.keys(t) if t else [] for t in texts], []
-        new = {k for keys in cuts if all(keys) for k in keys} - self.index.keys()
-        if new:
-            self.add(sorted(new))
-        for i, keys in enumerate(cuts):
-            at = np.array([self.index[k] for k in keys], np.int64) if all(keys) else None
-            out.append(at if at is not None and (not len(at) or self.regular(at)) else i)
-        odd = {i: [s[1:] if s[0] == " " and s[1] not in " \n" + STOPS else s for s in PLACES.split(" " + texts[i])] for i in out if isinstance(i, int)}
-        new = {k for keys in odd.values() for k in keys} - self.index.keys()
-        if new:
-            self.add(sorted(new))
-        return [np.array([self.index[k] for k in odd[x]], np.int64) if isinstance(x, int) else x for x in out]
+        out = [self.index.of(self.keys(t)) if t else np.zeros(0, np.int64) for t in texts]
+        self.learn()
+        odd = [i for i, at in enumerate(out) if len(at) and not self.regular(at)]
+        for i in odd:
+            out[i] = self.index.of([s[1:] if s[0] == " " and s[1] not in " \n" + STOPS else s for s in PLACES.split(" " + texts[i])])
+        self.learn()
+        return out
 
 
 def coalesce(a: list, b: list, a_size: np.ndarray, b_size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

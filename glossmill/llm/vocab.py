@@ -34,6 +34,23 @@ def text_slices(texts: list, rows: int = 512, chars: int = 1_000_000):
         yield start, len(texts)
 
 
+class Numbers(dict):
+    """Numbers of keys from 0 on, in the order in which they were first asked for; new holds those since it was emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.given, self.new = 0, []
+
+    def __missing__(self, key: str) -> int:
+        number = self[key] = self.given
+        self.given += 1
+        self.new.append(key)
+        return number
+
+    def of(self, keys: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
+
+
 def spread(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """first[0], first[0]+1, ... for sizes[0] numbers, then from first[1] and so on."""
     ends = np.cumsum(sizes)
