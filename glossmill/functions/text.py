@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -17,15 +20,37 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or in local mode, where unset, a new one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """df computed once for the several uses that follow: in the shared checkpoint folder, or where none is set cached."""
+    """df computed once for the several uses that follow: written to the shared folder and read back."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.persist()
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def ranked(df: DataFrame, by: list[str], name: str) -> DataFrame:
+    """df with its place (from 0) in the order of by, without a window over the whole table.
+
+    Rows are dealt by ranges and sorted in each partition, then written with the partition's number and their place in
+    it; the partitions' counts, a row for each, are summed up and broadcast. Rows equal in by are in no order.
+    """
+    dealt = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = settled(dealt.withColumns({"_block": F.spark_partition_id(), "_place": place}))
+    sizes = rows.groupBy("_block").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(F.broadcast(sizes.select("_block", before.alias("_before"))), "_block").select(*df.columns, (F.col("_before") + F.col("_place")).alias(name))
 
 
 def by_key(df: DataFrame, key: str) -> DataFrame:

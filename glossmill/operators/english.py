@@ -8,38 +8,50 @@ from pyspark.sql import Window
 
 from ..functions import text as X
 from ..functions import words as W
+from .lexicon import complete
 
 NO_FEATURES = "struct<form:string,number:string,person:int,tense:string,degree:string>"
 
 
+#: What an analysis takes over from its lexicon row.
+ENTRY = ["lemma", "pos", "confidence", "lexical_ref", "tier", "gloss_ref", "gloss_ix", "dataset_id"]
+
+
+def _rows(lexicon: DataFrame, name: str = "norm") -> DataFrame:
+    return complete(lexicon).where("locale = 'en'").select(F.col("norm").alias(name), *ENTRY)
+
+
 def direct(types: DataFrame, lexicon: DataFrame) -> DataFrame:
     """norm with each of its own lexicon rows."""
-    own = lexicon.where("locale = 'en'").select("norm", "lemma", "pos", "confidence", "lexical_ref", "tier")
     source = F.when(F.col("tier") == "fallback", "bootstrap-lexicon").otherwise("verified-lexical-index")
-    return types.select("norm").join(own, "norm").select("*", source.alias("source"), F.lit(None).cast(NO_FEATURES).alias("morph"))
+    none = F.lit(None)
+    return types.select("norm").join(_rows(lexicon), "norm").select("*", source.alias("source"), none.cast(NO_FEATURES).alias("morph"), none.cast("string").alias("morph_dataset"))
 
 
 def irregular(types: DataFrame, lexicon: DataFrame, exceptions: DataFrame) -> DataFrame:
     """norm with rows of its exception lemmas whose part of speech agrees."""
-    hop = types.select("norm").join(exceptions.select(F.col("inflected").alias("norm"), F.col("lemma").alias("base"), F.col("pos").alias("base_pos")).distinct(), "norm")
-    rows = lexicon.where("locale = 'en'").select(F.col("norm").alias("base"), "lemma", "pos", "confidence", "lexical_ref", "tier")
-    both = hop.join(rows, "base").where("pos = base_pos")
+    dataset = F.col("dataset_id") if "dataset_id" in exceptions.columns else F.lit(None).cast("string")
+    forms = exceptions.groupBy(F.col("inflected").alias("norm"), F.col("lemma").alias("base"), F.col("pos").alias("base_pos")).agg(F.min(dataset).alias("morph_dataset"))
+    both = types.select("norm").join(forms, "norm").join(_rows(lexicon, "base"), "base").where("pos = base_pos")
     morph = F.struct(F.lit("irregular").alias("form"), F.when(F.col("pos") == "n", "plural").alias("number"), F.lit(None).cast("int").alias("person"), F.lit(None).cast("string").alias("tense"), F.lit(None).cast("string").alias("degree"))
-    return both.select("norm", "lemma", "pos", F.least("confidence", F.lit(0.96)).alias("confidence"), "lexical_ref", "tier", F.lit("exception-morphology").alias("source"), morph.cast(NO_FEATURES).alias("morph"))
+    return both.withColumn("confidence", F.least("confidence", F.lit(0.96))).select("norm", *ENTRY, F.lit("exception-morphology").alias("source"), morph.cast(NO_FEATURES).alias("morph"), "morph_dataset")
 
 
 def regular(types: DataFrame, lexicon: DataFrame) -> DataFrame:
     """norm with rows of the lemmas that a regular inflection may come from."""
     spread = types.select("norm", F.explode(X.inflection_candidates(F.col("norm"))).alias("c")).select("norm", F.col("c.lemma").alias("base"), "c.kind")
-    rows = lexicon.where("locale = 'en'").select(F.col("norm").alias("base"), "lemma", "pos", "confidence", "lexical_ref", "tier")
-    both = spread.join(rows, "base").withColumn("morph", X.morphology(F.col("kind"), F.col("pos")).cast(NO_FEATURES)).where("morph is not null")
-    return both.select("norm", "lemma", "pos", F.least("confidence", F.lit(0.9)).alias("confidence"), "lexical_ref", "tier", F.lit("verified-regular-morphology").alias("source"), "morph")
+    both = spread.join(_rows(lexicon, "base"), "base").withColumn("morph", X.morphology(F.col("kind"), F.col("pos")).cast(NO_FEATURES)).where("morph is not null")
+    return both.withColumn("confidence", F.least("confidence", F.lit(0.9))).select("norm", *ENTRY, F.lit("verified-regular-morphology").alias("source"), "morph", F.col("dataset_id").alias("morph_dataset"))
 
 
 def analyses(types: DataFrame, lexicon: DataFrame, exceptions: DataFrame) -> DataFrame:
-    """norm, options: all analyses of each distinct type, so that hot words cost one row of the lookups."""
+    """norm, options: all analyses of each distinct type, best first where context says nothing; hot words cost one row.
+
+    An option holds its evidence: references to its lexicon row, its gloss and the data sets behind them.
+    """
     every = direct(types, lexicon).unionByName(irregular(types, lexicon, exceptions)).unionByName(regular(types, lexicon))
-    option = F.struct((-F.col("confidence")).alias("neg_confidence"), X.pos_rank(F.col("pos")).alias("rank"), F.coalesce("lexical_ref", F.lit("")).alias("ref"), "pos", "confidence", "lemma", "source", "morph", ((F.col("tier") == "fallback") & F.col("pos").isin(W.CLOSED_CLASS)).alias("closed"))
+    closed = (F.col("tier") == "fallback") & F.col("pos").isin(W.CLOSED_CLASS)
+    option = F.struct((-F.col("confidence")).alias("neg_confidence"), X.pos_rank(F.col("pos")).alias("rank"), F.coalesce("lexical_ref", F.lit("")).alias("ref"), "pos", "confidence", "lemma", "source", "morph", closed.alias("closed"), "gloss_ref", "gloss_ix", "dataset_id", "morph_dataset")
     return every.groupBy("norm").agg(F.array_sort(F.collect_set(option)).alias("options"))
 
 
@@ -63,32 +75,41 @@ def choose(tokens: DataFrame, options: DataFrame, key: str = "doc_id") -> DataFr
     """Every token with its chosen analysis, folded left to right inside each sentence.
 
     The look-ahead for a noun crosses sentences, so it is taken over the document first; the fold's state (the
-    part of speech before, whether a predicate was seen) ends with a sentence, so sentences are independent. Options of
-    few types are broadcast, so tokens stay partitioned by document; many are joined by shuffle.
+    part of speech before, whether a predicate was seen) ends with a sentence, so sentences are independent. The fold
+    sees of each option only what its score needs and gives the option's number; the option itself, with its evidence,
+    is looked up once more at the end. Options of few types are broadcast, so tokens stay partitioned by document;
+    many are joined by shuffle.
     """
-    met = tokens.join(X.small(X.settled(options)), "norm", "left")
+    options = X.settled(options)
+    brief = F.transform("options", lambda o: F.struct(o["pos"].alias("pos"), o["confidence"].alias("confidence"), F.struct(o["morph"]["form"].alias("form")).alias("morph"), o["closed"].alias("closed")))
+    met = tokens.join(X.small(options.select("norm", brief.alias("brief"))), "norm", "left")
     order = Window.partitionBy(key).orderBy("ix")
-    noun = F.exists(F.coalesce("options", F.array()), lambda o: o["pos"] == "n")
+    noun = F.exists(F.coalesce("brief", F.array()), lambda o: o["pos"] == "n")
     ready = met.withColumn("sentence", F.sum(F.col("boundary").cast("int")).over(order)).withColumn("next_noun", F.coalesce(F.lead(noun).over(order), F.lit(False)))
-    step = F.struct("ix", "surface", "norm", "start", "end", "clause_break", "options", "next_noun")
+    step = F.struct("ix", "surface", "norm", "start", "end", "clause_break", "brief", "next_noun")
     groups = ready.groupBy(key, "sentence").agg(F.sort_array(F.collect_list(step)).alias("steps"))
 
-    option = "struct<pos:string,confidence:double,lemma:string,source:string,ref:string,morph:" + NO_FEATURES + ">"
-    state = F.struct(F.lit(None).cast("string").alias("prior"), F.lit(False).alias("seen"), F.array().cast(f"array<{option}>").alias("last"), F.array().cast(f"array<array<{option}>>").alias("full"))
+    state = F.struct(F.lit(None).cast("string").alias("prior"), F.lit(False).alias("seen"), F.array().cast("array<int>").alias("last"), F.array().cast("array<array<int>>").alias("full"))
 
     def fold(s, t):
-        scored = F.transform(t["options"], lambda o: F.struct((-contextual_score(o, s["prior"], s["seen"], t["next_noun"])).alias("cost"), o["neg_confidence"].alias("n"), o["rank"].alias("r"), o["ref"].alias("f"), F.struct(o["pos"], o["confidence"], o["lemma"], o["source"], o["ref"], o["morph"]).cast(option).alias("o")))
-        best = F.array_min(scored)["o"]
+        # Options are in the order that breaks ties, so of equal scores the smallest number wins.
+        scored = F.transform(t["brief"], lambda o, i: F.struct((-contextual_score(o, s["prior"], s["seen"], t["next_noun"])).alias("cost"), i.alias("i")))
+        best = F.array_min(scored)["i"]
+        pos = F.get(t["brief"], best)["pos"]
         last, full = X.append(s, best)
-        return F.struct(best["pos"].alias("prior"), (s["seen"] | F.coalesce(best["pos"] == "v", F.lit(False))).alias("seen"), last.alias("last"), full.alias("full"))
+        return F.struct(pos.alias("prior"), (s["seen"] | F.coalesce(pos == "v", F.lit(False))).alias("seen"), last.alias("last"), full.alias("full"))
 
     chosen = groups.select(key, "sentence", "steps", F.aggregate("steps", state, fold, X.appended).alias("out"))
     rows = chosen.select(key, "sentence", F.explode(F.arrays_zip("steps", "out")).alias("z"))
-    known = F.col("z.out").isNotNull()
-    return rows.select(
-        key, "z.steps.ix", "z.steps.surface", "z.steps.norm", "z.steps.start", "z.steps.end", "z.steps.clause_break", "sentence",
-        F.lit("en").alias("language"), F.when(known, F.col("z.out.pos")).otherwise("x").alias("pos"), F.when(known, F.col("z.out.confidence")).otherwise(0.15).alias("confidence"),
-        F.col("z.out.lemma").alias("lemma"), F.coalesce("z.out.source", F.lit("unknown-handler")).alias("source"), F.col("z.out.ref").alias("lexical_ref"), F.col("z.out.morph").alias("morphology"),
+    rows = rows.select(key, "sentence", *(f"z.steps.{c}" for c in ("ix", "surface", "norm", "start", "end", "clause_break")), F.col("z.out").alias("pick"))
+    # Tokens without an analysis have none in the table either.
+    one = rows.join(X.small(options), "norm", "left").withColumn("z", F.get("options", F.col("pick")))
+    known = F.col("pick").isNotNull()
+    return one.select(
+        key, "ix", "surface", "norm", "start", "end", "clause_break", "sentence",
+        F.lit("en").alias("language"), F.when(known, F.col("z.pos")).otherwise("x").alias("pos"), F.when(known, F.col("z.confidence")).otherwise(0.15).alias("confidence"),
+        "z.lemma", F.coalesce("z.source", F.lit("unknown-handler")).alias("source"), F.col("z.ref").alias("lexical_ref"), F.col("z.morph").alias("morphology"),
+        "z.gloss_ref", "z.gloss_ix", "z.dataset_id", "z.morph_dataset",
     ).withColumn("priority", X.priority(F.col("pos")))
 
 
@@ -103,12 +124,32 @@ def best_direct(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     return out.select(*tokens.columns, F.coalesce("best.pos", F.lit("x")).alias("pos"), F.coalesce("best.confidence", F.lit(0.15)).alias("confidence"), F.col("best.lemma").alias("lemma"), F.col("best.lexical_ref").alias("lexical_ref"))
 
 
-def annotations(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Long rows (type, value, confidence) of each token's evidence."""
-    one = lambda kind, value: F.when(value.isNotNull(), F.struct(F.lit(kind).alias("type"), value.alias("value"), F.col("confidence").alias("confidence")))
-    known = F.col("source") != "unknown-handler"
-    rows = F.array(
+#: A piece of evidence for what a token shows.
+ANNOTATION = "struct<annotation_id:string,type:string,value:string,confidence:double,source:string,dataset_id:string>"
+
+
+def note(kind: str, value: Column, confidence: Column, source: Column, dataset: Column) -> Column:
+    """A piece of evidence without its id; null where there is no value."""
+    return F.when(value.isNotNull(), F.struct(F.lit(kind).alias("type"), value.cast("string").alias("value"), confidence.cast("double").alias("confidence"), source.alias("source"), dataset.alias("dataset_id")))
+
+
+def numbered(notes: Column, head: str, tail: str = "") -> Column:
+    """notes in order, with ids of head, place, type and number."""
+    whole = F.array_compact(notes)
+    return F.transform(whole, lambda a, i: F.struct(F.concat_ws(":", F.lit(head), "start", "end", a["type"], F.concat(F.lit(tail), i.cast("string"))).alias("annotation_id"), *(a[c].alias(c) for c in ("type", "value", "confidence", "source", "dataset_id")))).cast(f"array<{ANNOTATION}>")
+
+
+def evidence() -> Column:
+    """What speaks for each thing that a chosen token with its gloss shows."""
+    known, dataset = F.col("source") != "unknown-handler", F.col("dataset_id")
+    one = lambda kind, value, of=dataset: note(kind, value, F.col("confidence"), F.col("source"), of)
+    notes = F.array(
         one("lemma", F.when(known, F.col("lemma"))), one("simplified-pos", F.col("pos")), one("lexical-reference", F.when(known & (F.col("lexical_ref") != ""), F.col("lexical_ref"))),
-        one("morphology", F.to_json("morphology")), one("unknown", F.when(~known, F.lit("true"))),
+        one("gloss-reference", F.when(known, F.col("gloss_ref"))), one("gloss", F.when(known & (F.col("gloss") != ""), F.col("gloss"))), one("morphology", F.to_json("morphology"), F.col("morph_dataset")), one("unknown", F.when(~known, F.lit("true"))),
     )
-    return tokens.select(key, "start", "end", F.explode(F.filter(rows, lambda a: a.isNotNull())).alias("a")).select(key, "start", "end", "a.*")
+    return numbered(notes, "ann:en")
+
+
+def annotations(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
+    """A row for each piece of evidence of tokens with annotations."""
+    return tokens.select(key, "start", "end", "language", F.explode("annotations").alias("a")).select(key, "start", "end", "language", "a.*")

@@ -101,6 +101,24 @@ def gloss_dictionary(lexicon: DataFrame, buckets: int = 16) -> DataFrame:
     return distinct.withColumn("gloss_ix", F.row_number().over(Window.partitionBy("bucket").orderBy("gloss")) - 1)
 
 
+def gloss_index(lexicon: DataFrame) -> DataFrame:
+    """Distinct glosses with one dense index in byte order over the whole table."""
+    return X.ranked(lexicon.where("gloss is not null").select("gloss").distinct(), ["gloss"], "gloss_ix")
+
+
+def with_gloss_index(lexicon: DataFrame, glosses: DataFrame) -> DataFrame:
+    """lexicon with gloss_ix, a reference into the gloss index, in place of the glosses themselves."""
+    return lexicon.join(X.small(glosses), "gloss", "left").drop("gloss")
+
+
+OPTIONAL = {"gloss": "string", "gloss_ref": "string", "gloss_ix": "bigint", "lexical_ref": "string", "dataset_id": "string", "simplified": "string", "pinyin": "string"}
+
+
+def complete(lexicon: DataFrame) -> DataFrame:
+    """lexicon with nulls for the optional columns that it lacks."""
+    return lexicon.withColumns({c: F.lit(None).cast(kind) for c, kind in OPTIONAL.items() if c not in lexicon.columns})
+
+
 def bucket_of(locale: Column, norm: Column, buckets: int) -> Column:
     """English routes on the surface, Chinese on its first code point."""
     key = F.when(locale == "zh-Hant", F.substring(norm, 1, 1)).otherwise(norm)

@@ -666,3 +666,6 @@ def first_candidate(spark, sf_dir):
     g = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("candidate")).agg(F.count("*").alias("n"), F.max("value").alias("m"))
     gates = g.select("candidate", ((F.col("n") % 2 == 0) | (F.col("m") > 0)).alias("passed"))
     return quality.first_passing(g.select("candidate", (F.char_length("candidate") * 100 + F.col("n")).alias("priority")), gates)
+
+
+from . import enriched as _enriched  # noqa: E402, F401  registers its queries

@@ -13,12 +13,14 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import policy
 
 KEY_PARTS = ["text", "language_mode", "semantic_version", "grammar_version", "profile_revision", "lexical_version"]
 MOST_TEXT = 12_000
+MOST_CODES = 1000  # distinct codes of integrity checks; they are a fixed list
 
 
 def analysis_key() -> Column:
@@ -32,13 +34,17 @@ def is_valid() -> Column:
 
 
 def gate(requests: DataFrame, cancelled: DataFrame | None = None, valid: Column | None = None) -> DataFrame:
-    """requests with status, decided in order of seq inside each root."""
+    """requests with status, decided in order of seq inside each root.
+
+    cancelled names requests by request_id, and by root_id and page_epoch where it has them, as the stream's control rows do.
+    """
     rows = requests.withColumn("_valid", is_valid() if valid is None else valid)
     if cancelled is None:
         rows = rows.withColumn("_cancelled", F.lit(False))
     else:
-        gone = cancelled.select("request_id").distinct().withColumn("_gone", F.lit(True))
-        rows = rows.join(gone, "request_id", "left").withColumn("_cancelled", F.coalesce("_gone", F.lit(False))).drop("_gone")
+        by = [c for c in ("request_id", "root_id", "page_epoch") if c in cancelled.columns]
+        gone = cancelled.select(*by).distinct().withColumn("_gone", F.lit(True))
+        rows = rows.join(gone, by, "left").withColumn("_cancelled", F.coalesce("_gone", F.lit(False))).drop("_gone")
     live = F.col("_valid") & ~F.col("_cancelled")
     past = lambda *by: Window.partitionBy("root_id", "_live", *by).orderBy("seq")
     rows = rows.withColumn("_live", live)
@@ -118,6 +124,94 @@ def stream_gate(requests: DataFrame, valid: Column | None = None, keep_ms: int |
     return own.groupBy("root_id").applyInPandasWithState(advance, "seq long, root_id string, status string", STATE, "append", GroupStateTimeout.NoTimeout if keep_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
+#: Keyed state of a root: the newest epoch and revision; what was done in that revision; requests cancelled in that epoch.
+NEWEST = "page_epoch int, root_revision int, lexical boolean"
+SEEN_KEY, SEEN = "phase string, analysis_key string", "seq long"
+GONE_KEY, GONE = "page_epoch int, request_id string", "seq long"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class RootGate(StatefulProcessor):
+    """The gate of one root, over keyed state of which a request touches its own entries only.
+
+    keep_ms: how long a silent root is remembered (a timer clears it); gone_ms: how long a cancellation waits for its
+    request (time to live of its entry). None: until the root's newer epochs or revisions replace them.
+    """
+
+    def __init__(self, keep_ms: int | None = None, gone_ms: int | None = None):
+        self.keep_ms, self.gone_ms = keep_ms, gone_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.newest = handle.getValueState("newest", NEWEST)
+        self.seen = handle.getMapState("seen", SEEN_KEY, SEEN)
+        self.gone = handle.getMapState("gone", GONE_KEY, GONE, self.gone_ms)
+
+    def _advance(self, epoch: int, revision: int, now: tuple) -> tuple:
+        """The root's next (epoch, revision, lexical); what an older epoch or revision left goes."""
+        if epoch > now[0]:
+            for key in [k for k, _ in self.gone.iterator() if k[0] < epoch]:
+                self.gone.removeKey(key)
+        if (epoch, revision) > now[:2]:
+            self.seen.clear()
+            return epoch, revision, False
+        return now
+
+    def _status(self, row, now: tuple) -> tuple[str, tuple]:
+        epoch, revision = int(row.page_epoch), int(row.root_revision)
+        if self.gone.containsKey((epoch, row.request_id)):
+            return "cancelled", now
+        if (epoch, revision) < now[:2]:
+            return "stale", now
+        now, key = self._advance(epoch, revision, now), (row.phase, row.analysis_key)
+        if self.seen.containsKey(key):
+            return "duplicate", now
+        self.seen.updateValue(key, (int(row.seq),))
+        late = row.phase == "bootstrap" and now[2]
+        return ("stale" if late else "ok"), (*now[:2], now[2] or row.phase == "lexical")
+
+    def handleInputRows(self, key, rows, timerValues):
+        pdf = pd.concat(list(rows)).sort_values("seq")
+        now = before = tuple(self.newest.get()) if self.newest.exists() else (-1, -1, False)
+        for row in pdf[(pdf["phase"] == "cancel") & pdf["request_id"].notna() & pdf["page_epoch"].notna()].itertuples():
+            if row.page_epoch >= now[0]:
+                self.gone.updateValue((int(row.page_epoch), row.request_id), (int(row.seq),))
+        out = []
+        for row in pdf[pdf["phase"] != "cancel"].itertuples():
+            status = "invalid"
+            if row.is_valid:
+                status, now = self._status(row, now)
+            out.append((row.seq, key[0], status))
+        if now != before:
+            self.newest.update(now)
+        if self.keep_ms is not None:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.keep_ms)
+        yield pd.DataFrame(out, columns=["seq", "root_id", "status"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        for state in (self.newest, self.seen, self.gone):
+            state.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def keyed_gate(requests: DataFrame, valid: Column | None = None, keep_ms: int | None = None, gone_ms: int | None = None) -> DataFrame:
+    """A streaming table seq, root_id, status, as stream_gate(), over value and map state.
+
+    A root's entries are read and written one by one, so a root with many requests or cancellations doesn't rewrite them all
+    in each micro-batch. The session needs the RocksDB state store (ROCKS). A root's rows of one micro-batch are sorted in
+    memory; maxFilesPerTrigger or maxOffsetsPerTrigger bound them.
+    """
+    rows = requests.withColumn("is_valid", is_valid() if valid is None else valid)
+    own = rows.where("root_id is not null").select("seq", "request_id", F.col("root_id").cast("string").alias("root_id"), "page_epoch", "root_revision", "phase", "analysis_key", "is_valid")
+    timed = keep_ms is not None or gone_ms is not None
+    return own.groupBy("root_id").transformWithStateInPandas(RootGate(keep_ms, gone_ms), "seq long, root_id string, status string", "append", "ProcessingTime" if timed else "None")
+
+
 def admit(items: DataFrame, most_items: int = 24, most_chars: int = 12_000, most_tokens: int = 600, most_buckets: int = 24) -> DataFrame:
     """request_id, admitted and sums of items(request_id, n_chars, n_tokens, buckets array)."""
     sums = items.groupBy("request_id").agg(F.count("*").alias("n_items"), F.sum("n_chars").alias("n_chars"), F.sum("n_tokens").alias("n_tokens"))
@@ -166,3 +260,9 @@ def coalesce_batches(changes: DataFrame, out_path: str, checkpoint: str):
 def lexicon_for(verified: DataFrame, fallback: DataFrame, violations: DataFrame) -> tuple[DataFrame, str]:
     """The verified lexicon and 'ready', or the fallback and 'degraded' where integrity checks found anything."""
     return (fallback, "degraded") if violations.limit(1).count() else (verified, "ready")
+
+
+def provider_status(violations: DataFrame) -> dict:
+    """mode ('ready', or 'degraded' where integrity checks found anything) and failures, the distinct codes in order."""
+    codes = sorted(r["code"] for r in violations.select("code").where("code is not null").distinct().limit(MOST_CODES).collect())
+    return {"mode": "degraded" if codes else "ready", "failures": codes}
