@@ -27,12 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .vocab import FOLDER, spread, text_slices, tokenizer
+from .vocab import FOLDER, Numbers, spread, text_slices, tokenizer
 
 TOKENIZER, END, WINDOW = "word_bpe_49k.json", 2, 4096
 BIN_PIECES = 4096
 MOST_WORDS, LONG_WORD = 500_000, 64  # distinct words that a worker remembers, and their longest
 STOPS = ",."
+LINE = 200  # words of letters that are encoded together
 
 #: Workers are used again by later tasks: words that one has met stay known.
 _known: dict = {}
@@ -43,53 +44,80 @@ class Words:
 
     def __init__(self, name: str, folder: str):
         self.encoder = tokenizer(name, folder)
+        vocabulary = self.encoder.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = 1
         self.clear()
 
     def clear(self) -> None:
-        self.index, self.flat, self.first, self.size, self.joins = {}, np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int8)
+        self.index, self.flat, self.first, self.size, self.joins = Numbers(), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int8)
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def add(self, words: list[str]) -> None:
-        ids = self.whole(words)
+    def each(self, words: list[str]) -> list[list[int]]:
+        """The ids of each word. Words of letters are read in lines, where each of them has one id that ends a word."""
+        plain = [i for i, w in enumerate(words) if w.isalpha()]
+        rest, out = [i for i, w in enumerate(words) if not w.isalpha()], [None] * len(words)
+        lines = [plain[i : i + LINE] for i in range(0, len(plain), LINE)]
+        for line, ids in zip(lines, self.whole([" ".join([words[i] for i in line]) for line in lines])):
+            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(stops) != len(line):
+                rest += line
+                continue
+            for i, a, b in zip(line, [0, *stops], stops):
+                out[i] = ids[a:b]
+        for i, ids in zip(rest, self.whole([words[i] for i in rest])):
+            out[i] = ids
+        return out
+
+    def learn(self) -> None:
+        """Encodes the words that were numbered since the last time."""
+        words = self.index.new
+        if not words:
+            return
+        ids = self.each(words)
         sizes = np.array([len(x) for x in ids], np.int64)
-        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
         self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(sizes) - sizes])
         self.flat = np.concatenate([self.flat, np.array([i for x in ids for i in x], np.uint32)])
         self.size = np.concatenate([self.size, sizes])
         # 1: may follow a letter or digit only; 2: ends with one.
         self.joins = np.concatenate([self.joins, np.array([(w[:1] in STOPS and w != "") + 2 * w[-1:].isalnum() for w in words], np.int8)])
+        for w in words:
+            if len(w) > LONG_WORD:
+                del self.index[w]  # not kept
+        self.index.new = []
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as the tokenizer gives them for the whole of it."""
-        if len(self.index) > MOST_WORDS:
+        if self.index.given > MOST_WORDS or len(self.flat) > 8 * MOST_WORDS:
             self.clear()
-        cut, whole = [], []
-        for i, text in enumerate(texts):
-            text = text.replace("\n", " ")
+        numbers, whole, out = [], [], []
+        for text in texts:
+            cut = lowered(text).replace("\n", " ")
             for stop in STOPS:
-                text = text.replace(stop, " " + stop)
-            cut.append(text.split(" "))
-            if max(map(len, cut[-1])) > LONG_WORD:
-                cut[-1] = None
-        new = {w for words in cut if words for w in words} - self.index.keys()
-        if new:
-            self.add(sorted(new))
-        out: list = [None] * len(texts)
-        for i, words in enumerate(cut):
-            if words is not None:
-                at = np.array([self.index[w] for w in words], np.int64)
-                joins = self.joins[at]
-                if not ((joins[1:] & 1) > (joins[:-1] >> 1)).any() and not joins[0] & 1:
-                    out[i] = self.flat[spread(self.first[at], self.size[at])]
-                    continue
-            whole.append(i)
+                cut = cut.replace(stop, " " + stop)
+            numbers.append(self.index.of(cut.split(" ")))
+        self.learn()
+        for i, at in enumerate(numbers):
+            joins = self.joins[at]
+            if joins[0] & 1 or ((joins[1:] & 1) > (joins[:-1] >> 1)).any():
+                whole.append(i)
+            out.append(None if i in whole[-1:] else self.flat[spread(self.first[at], self.size[at])])
         for i, ids in zip(whole, self.whole([texts[i] for i in whole])):
             out[i] = np.array(ids, np.uint32)
         return out
 
 
+def lowered(text: str) -> str:
+    """text in lower case where that is done sign by sign; the tokenizer does it for all others, and again for these."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 def encoded_words(name: str, folder: str) -> Words:
     key = (name, folder)
     if key not in _known:
