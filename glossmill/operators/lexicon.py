@@ -6,6 +6,7 @@ lexical_ref, dataset_id, tier; tier is verified or fallback.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -137,19 +138,86 @@ def write_buckets(lexicon: DataFrame, path: str, buckets: int = 64) -> None:
     dealt.write.mode("overwrite").partitionBy("locale", "bucket").parquet(path)
 
 
+def needed_norms(types: DataFrame, exceptions: DataFrame) -> DataFrame:
+    """norm of every English row that analyses of types(norm) may look up: their own, their exceptions' and their regular lemmas'."""
+    own = types.select("norm")
+    regular = own.select(F.explode(X.inflection_candidates(F.col("norm"))).alias("c")).select(F.col("c.lemma").alias("norm"))
+    irregular = own.join(exceptions.select(F.col("inflected").alias("norm"), "lemma"), "norm").select(F.col("lemma").alias("norm"))
+    return own.unionByName(regular).unionByName(irregular).distinct()
+
+
+def stored_rows(spark: SparkSession, path: str, norms: DataFrame, buckets: int = 64, locale: str = "en", schema=None) -> DataFrame:
+    """Rows of a stored lexicon (write_buckets) in the buckets that norms(norm) fall into, and in no others.
+
+    The set of buckets, 4096 at most, is told to the reader as a list, so that partitions of other buckets aren't listed or
+    read. schema, if given, is that of the stored rows; else a file is opened to ask for it.
+    """
+    if not 1 <= buckets <= 4096:
+        raise ValueError("buckets: 1 to 4096")
+    asked = norms.select(bucket_of(F.lit(locale), F.col("norm"), buckets).alias("bucket")).distinct().collect()
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    rows = reader.parquet(path).where(F.col("locale") == locale)
+    return rows.where(F.col("bucket").isin(sorted(r["bucket"] for r in asked))) if asked else rows.limit(0)
+
+
+HASHED = ["norm", "lemma", "pos", "confidence", "lexical_ref"]
+PARTS = 4  # 60-bit parts of a row's hash that are summed
+
+
 def row_hash(columns: list[str]) -> Column:
     return F.sha2(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns)), 256)
 
 
+def hash_sums(columns: list[str]) -> list[Column]:
+    """Sums of a row's hash in four parts, h0 to h3: partial sums combine, and inserts and deletes add and subtract."""
+    whole = row_hash(columns)
+    part = lambda i: F.conv(F.substring(whole, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")
+    return [F.sum(part(i)).cast("decimal(38,0)").alias(f"h{i}") for i in range(PARTS)]
+
+
+def content_hash() -> Column:
+    """One hash of n_rows and the sums."""
+    return F.sha2(F.concat_ws(":", F.col("n_rows").cast("string"), *(F.col(f"h{i}").cast("string") for i in range(PARTS))), 256)
+
+
 def manifest(lexicon: DataFrame, buckets: int = 64) -> DataFrame:
     """locale, bucket, n_rows and an order-independent content hash of each bucket."""
     return content(bucketed(lexicon, buckets))
 
 
+def content_sums(rows: DataFrame) -> DataFrame:
+    """locale, bucket, n_rows and the sums h0 to h3 of rows that have their bucket."""
+    return rows.groupBy("locale", "bucket").agg(F.count("*").alias("n_rows"), *hash_sums(HASHED))
+
+
 def content(rows: DataFrame) -> DataFrame:
     """locale, bucket, n_rows, content_hash of rows that have their bucket."""
-    own = rows.withColumn("h", row_hash(["norm", "lemma", "pos", "confidence", "lexical_ref"]))
-    return own.groupBy("locale", "bucket").agg(F.count("*").alias("n_rows"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("content_hash"))
+    return content_sums(rows).select("locale", "bucket", "n_rows", content_hash().alias("content_hash"))
+
+
+def changed_sums(sums: DataFrame, inserted: DataFrame, deleted: DataFrame) -> DataFrame:
+    """The content sums of a table after rows with their buckets were inserted and deleted, without reading the table.
+
+    Buckets that are left without rows go.
+    """
+    names = ["n_rows", *(f"h{i}" for i in range(PARTS))]
+    minus = content_sums(deleted).select("locale", "bucket", *((-F.col(c)).alias(c) for c in names))
+    every = sums.unionByName(content_sums(inserted)).unionByName(minus).groupBy("locale", "bucket")
+    kind = lambda c: "long" if c == "n_rows" else "decimal(38,0)"
+    return every.agg(*(F.sum(c).cast(kind(c)).alias(c) for c in names)).where("n_rows > 0")
+
+
+def index_hash(index: DataFrame) -> str:
+    """One content hash of a whole index."""
+    return index.agg(F.count("*").alias("n_rows"), *hash_sums(HASHED)).select(content_hash().alias("h")).first()["h"]
+
+
+def unlike(indexes: list[DataFrame]) -> list[DataFrame]:
+    """indexes without those whose content an earlier one has."""
+    found: dict[str, DataFrame] = {}
+    for index in indexes:
+        found.setdefault(index_hash(complete(index)), index)
+    return list(found.values())
 
 
 def bucket_violations(stored: DataFrame, declared: DataFrame, buckets: int = 64) -> DataFrame:
@@ -208,6 +276,55 @@ def order_violations(rows: DataFrame, keys: list[str], partition: list[str]) ->
     return rows.withColumn("prior", prior).where(F.col("prior") > here).drop("prior")
 
 
+def _edges(keys: list[str]):
+    """Streams a scan: rows that stand before their predecessor in their file, and the first and last row of each stretch of a file."""
+    def run(batches):
+        path, row, key, out = None, None, None, []
+
+        def close():
+            return [(path, row, key, 2)] if path is not None else []
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in keys]
+            for p, r, *k in zip(batch.column("_path").to_pylist(), batch.column("_row").to_pylist(), *columns):
+                k = [[v is not None, str(v) if v is not None else ""] for v in k]
+                if p != path or r != row + 1:
+                    out += close() + [(p, r, k, 1)]
+                elif key > k:
+                    out.append((p, r, k, 0))
+                path, row, key = p, r, k
+            if out:
+                yield _edge_batch(out)
+                out = []
+        if path is not None:
+            yield _edge_batch(close())
+
+    return run
+
+
+def _edge_batch(rows: list) -> pa.RecordBatch:
+    paths, numbers, keys, kinds = zip(*rows)
+    texts = [[v if there else None for there, v in k] for k in keys]
+    return pa.RecordBatch.from_arrays([pa.array(paths), pa.array(numbers, pa.int64()), pa.array(texts, pa.list_(pa.string())), pa.array(kinds, pa.int32())], names=["path", "row", "key", "kind"])
+
+
+def file_order_violations(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """path, row, key of stored rows that stand before their predecessor: in their file, or in the file before by name.
+
+    Files are scanned where they lie: order inside them follows the reader's own row numbers, and only the first and
+    last row of each stretch of a file that a task has read meet, ordered by file and row, which are a few for each file. Keys are
+    compared as strings of code points, nulls first; null files don't exist.
+    """
+    rows = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_row"), *(F.col(c).cast("string").alias(c) for c in keys))
+    found = X.settled(rows.mapInArrow(_edges(keys), "path string, row long, key array<string>, kind int"))
+    ends = found.where("kind > 0").select("path", "row", "key", "kind")
+    order = Window.orderBy("path", "row", "kind")  # two rows for each stretch of a file
+    marked = lambda k: F.transform(k, lambda v: F.struct(v.isNotNull().alias("there"), F.coalesce(v, F.lit("")).alias("v")))
+    before = F.lag("key").over(order)
+    borders = ends.withColumn("before", before).where((F.col("kind") == 1) & F.col("before").isNotNull() & (marked(F.col("before")) > marked(F.col("key"))))
+    return found.where("kind = 0").unionByName(borders.drop("before")).select("path", "row", "key")
+
+
 def synthetic(spark: SparkSession, n: int = 20_000) -> DataFrame:
     """n made-up rows, nouns and verbs in turn, to size a lexicon's storage."""
     ids = spark.range(n)

@@ -159,9 +159,15 @@ def lexicon_buckets(spark, sf_dir):
     return lexicon.bucketed(corpus(spark, sf_dir)[1], 64).select("norm", "pos", "bucket")
 
 
+#: A row's hash, its sums in four parts with the number of rows, and one hash of those.
+ROW_HASH_SQL = "sha256(norm || chr(31) || norm || chr(31) || pos || chr(31) || confidence || chr(31) || 'corpus:' || norm || ':' || pos)"
+HASH_SUMS_SQL = "count(*) AS n_rows, " + ", ".join(f"sum(('0x' || substr(h, {1 + 15 * i}, 15))::BIGINT) AS h{i}" for i in range(4))
+CONTENT_HASH_SQL = "sha256(concat_ws(':', n_rows, h0, h1, h2, h3))"
+
+
 @register("lexicon_manifest", f"""WITH {TOKENS_SQL}, {LEXICON_SQL},
-h AS (SELECT ({_BUCKET_SQL})::INT AS bucket, sha256(norm || chr(31) || norm || chr(31) || pos || chr(31) || confidence || chr(31) || 'corpus:' || norm || ':' || pos) AS h FROM lx)
-SELECT 'en' AS locale, bucket, count(*) AS n_rows, sha256(string_agg(h, '' ORDER BY h)) AS content_hash FROM h GROUP BY bucket""")
+h AS (SELECT ({_BUCKET_SQL})::INT AS bucket, {ROW_HASH_SQL} AS h FROM lx)
+SELECT 'en' AS locale, bucket, n_rows, {CONTENT_HASH_SQL} AS content_hash FROM (SELECT bucket, {HASH_SUMS_SQL} FROM h GROUP BY bucket)""")
 def lexicon_manifest(spark, sf_dir):
     return lexicon.manifest(corpus(spark, sf_dir)[1], 64)
 
@@ -668,4 +674,5 @@ def first_candidate(spark, sf_dir):
     return quality.first_passing(g.select("candidate", (F.char_length("candidate") * 100 + F.col("n")).alias("priority")), gates)
 
 
+from . import checks as _checks  # noqa: E402, F401  registers its queries
 from . import enriched as _enriched  # noqa: E402, F401  registers its queries

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..functions import words as W
-from ..operators import lexicon, projection
+from ..operators import english, lexicon, projection, quality
+from ..sources import pages as P
 from .annotate import annotate, annotation_sets
-from .catalog import CANDIDATES_SQL, FNV_SQL, HAN_FROM, HAN_TO, LEXICON_SQL, MATCHES_SQL, ORACLE_SQL, RANK_SQL, TOKENS_SQL, _values, corpus, documents, han_documents, register
+from .catalog import CANDIDATES_SQL, FNV_SQL, HAN_FROM, HAN_TO, LEXICON_SQL, MATCHES_SQL, ORACLE_SQL, RANK_SQL, ROW_HASH_SQL, SENTENCES_SQL, HASH_SUMS_SQL, CONTENT_HASH_SQL, _BUCKET_SQL, table, TOKENS_SQL, _values, corpus, documents, han_documents, register
 
 _CLOSED_SQL = ", ".join(f"'{p}'" for p in W.CLOSED_CLASS)
 #: Every lexicon row of the main path: corpus rows, and listed words behind them.
@@ -116,3 +119,90 @@ def sets_of_annotations(spark, sf_dir):
 @register("gloss_index", f"WITH {TOKENS_SQL}, {LEXICON_SQL}, g AS (SELECT DISTINCT 'a form of ' || norm AS gloss FROM lx) SELECT gloss, row_number() OVER (ORDER BY gloss) - 1 AS gloss_ix FROM g")
 def gloss_index(spark, sf_dir):
     return lexicon.gloss_index(corpus(spark, sf_dir)[1])
+
+
+@register("manifest_update", f"""WITH {TOKENS_SQL}, {LEXICON_SQL}, n AS (SELECT norm, pos, confidence FROM lx WHERE length(norm) % 5 <> 0 UNION ALL SELECT norm, pos, 0.25::DOUBLE FROM lx WHERE length(norm) % 7 = 0),
+h AS (SELECT ({_BUCKET_SQL})::INT AS bucket, {ROW_HASH_SQL} AS h FROM n) SELECT 'en' AS locale, bucket, n_rows, {CONTENT_HASH_SQL} AS content_hash FROM (SELECT bucket, {HASH_SUMS_SQL} FROM h GROUP BY bucket)""")
+def manifest_update(spark, sf_dir):
+    """The manifest after rows of some lengths were deleted and others inserted, from the sums alone; the twin hashes the changed table."""
+    rows = lexicon.bucketed(corpus(spark, sf_dir)[1], 64)
+    size = F.char_length("norm")
+    after = lexicon.changed_sums(lexicon.content_sums(rows), rows.where(size % 7 == 0).withColumn("confidence", F.lit(0.25)), rows.where(size % 5 == 0))
+    return after.select("locale", "bucket", "n_rows", lexicon.content_hash().alias("content_hash"))
+
+
+@register("registry_once", f"""WITH {TOKENS_SQL}, {LEXICON_SQL}, u AS (SELECT norm, pos, 0 AS o FROM lx WHERE length(norm) % 2 = 0 UNION ALL SELECT norm, pos, 1 FROM lx WHERE length(norm) % 5 < 3 UNION ALL SELECT norm, 'x', 2 FROM ty)
+SELECT norm, pos, o AS index_order FROM u QUALIFY o = min(o) OVER (PARTITION BY norm)""")
+def registry_once(spark, sf_dir):
+    """Precedence among indexes of which two come twice, the second time in another order: equal content is registered once."""
+    found, lex = corpus(spark, sf_dir)
+    even, low = lex.where(F.char_length("norm") % 2 == 0), lex.where(F.char_length("norm") % 5 < 3)
+    types = found.select("norm").distinct().select("norm", F.lit("en").alias("locale"), F.lit("x").alias("pos"))
+    return lexicon.registry(lexicon.unlike([even, even.orderBy("pos"), low, even, low.orderBy("norm")]), types).select("norm", "pos", "index_order")
+
+
+@register("stored_lookup", f"""WITH {TOKENS_SQL}, {LEXICON_SQL}, b0 AS (SELECT unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+(?:[''’][A-Za-z]+)*')) AS s FROM benchmark), ty_ AS (SELECT DISTINCT lower(s) AS norm FROM b0), {CANDIDATES_SQL.replace("FROM ty ", "FROM ty_ ")}
+SELECT ty_.norm, lx.norm AS lemma, pos, confidence, 'verified-lexical-index' AS source FROM ty_ JOIN lx USING (norm) UNION ALL
+SELECT ca.norm, ca.lemma, pos, least(confidence, 0.9)::DOUBLE, 'verified-regular-morphology' FROM ca JOIN lx ON lx.norm = ca.lemma WHERE kind || pos IN ('sn', 'sv', 'ingv', 'edv', 'eradj', 'estadj')""")
+def stored_lookup(spark, sf_dir):
+    """Analyses of the benchmark's words by a stored lexicon of the corpus, of which only the buckets they need are read."""
+    path = f"{X.shared_dir(spark)}/lexicon-{uuid.uuid4().hex}"
+    lexicon.write_buckets(corpus(spark, sf_dir)[1], path, STORED_BUCKETS)
+    types = X.settled(X.types(table(spark, sf_dir, "benchmark")).select("norm"))
+    exceptions = lexicon.seed_morphology(spark).limit(0)
+    rows = lexicon.stored_rows(spark, path, lexicon.needed_norms(types, exceptions), STORED_BUCKETS)
+    found = english.direct(types, rows).unionByName(english.regular(types, rows))
+    return found.select("norm", "lemma", "pos", "confidence", "source")
+
+
+STORED_BUCKETS = 64
+
+
+@register("exact_ranks", """WITH v AS (SELECT l_returnflag AS metric, l_extendedprice AS value FROM lineitem UNION ALL SELECT 'events', value FROM events)
+SELECT metric, f AS fraction, v[ceil(len(v) * f)::INT] AS value FROM (SELECT metric, list(value ORDER BY value) FILTER (value IS NOT NULL) AS v FROM v GROUP BY metric), (VALUES (0.001::DOUBLE), (0.25), (0.5), (0.95), (1.0)) t(f)""")
+def exact_ranks(spark, sf_dir):
+    """Five exact ranks of prices by return flag and of events' values, selected by counts."""
+    prices = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("metric"), F.col("l_extendedprice").cast("double").alias("value"))
+    values = table(spark, sf_dir, "events").select(F.lit("events").alias("metric"), F.col("value").cast("double").alias("value"))
+    return quality.nearest_ranks(prices.unionByName(values), (0.001, 0.25, 0.5, 0.95, 1.0))
+
+
+#: Visible text runs by regular expressions: markup is cut out, what hides text and what breaks lines are sums over the marks before.
+_HIDES, _BREAKS = "|".join(sorted(P.FILTERED - {"script", "style"})), "|".join(sorted(P.BLOCKS | {"br"}))
+_MARK = "<!--.*?-->|<![^>]*>|<script[^>]*>|<style[^>]*>|</?[A-Za-z][^>]*>"
+RUNS_SQL = f"""pg AS (SELECT page_id, regexp_replace(coalesce(html, ''), '(<(script|style)[^>]*>)[^<]*(<[^/<][^<]*|</[^s<][^<]*)*', '\\1~', 'g') AS html FROM pages),
+p0 AS (SELECT page_id, regexp_extract_all(html, '{_MARK}', 0, 's') AS marks, regexp_split_to_array(html, '{_MARK}', 's') AS texts FROM pg),
+p1 AS (SELECT page_id, unnest(range(len(texts))) AS i, unnest(texts) AS raw, unnest(list_prepend('', marks)) AS mark FROM p0),
+p2 AS (SELECT *, sum(CASE WHEN regexp_matches(mark, '^<({_HIDES}|script|style)[ >]', 'i') THEN 1 WHEN regexp_matches(mark, '^</({_HIDES}|script|style)>', 'i') THEN -1 ELSE 0 END) OVER w AS hidden, sum(regexp_matches(mark, '^</?({_BREAKS})[ />]', 'i')::INT) OVER w AS breaks, sum((raw <> '')::INT) OVER w AS node FROM p1 WINDOW w AS (PARTITION BY page_id ORDER BY i)),
+p3 AS (SELECT page_id, i, node, breaks, replace(replace(replace(replace(raw, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS text FROM p2 WHERE hidden = 0 AND regexp_matches(raw, '[^\\s]')),
+p4 AS (SELECT *, row_number() OVER w - 1 AS run_ix, CASE WHEN breaks > lag(breaks) OVER w THEN chr(10) ELSE '' END AS boundary FROM p3 WINDOW w AS (PARTITION BY page_id ORDER BY i)),
+pr AS (SELECT page_id, run_ix::INT AS run_ix, 'n' || node AS node_id, text, ("end" - length(text))::INT AS start, "end", boundary AS boundary_before FROM (SELECT *, (sum(length(boundary) + length(text)) OVER (PARTITION BY page_id ORDER BY i))::INT AS "end" FROM p4))"""
+
+ORACLE_SQL["page_runs"] = f"WITH {RUNS_SQL} SELECT * FROM pr"
+ORACLE_SQL["page_sentences"] = f"""WITH {RUNS_SQL}, pt AS (SELECT page_id AS doc_id, string_agg(boundary_before || text, '' ORDER BY run_ix) AS text FROM pr GROUP BY page_id), {SENTENCES_SQL.replace("FROM documents", "FROM pt")}
+SELECT doc_id AS page_id, (doc_id % 3) || ':' || s.start || ':' || s."end" AS record_id, sent_ix, s.start, s."end", CASE WHEN regexp_matches(s.text, '[A-Za-z]') THEN CASE WHEN regexp_matches(s.text, '\\p{{Han}}') THEN 'both' ELSE 'en' END WHEN regexp_matches(s.text, '\\p{{Han}}') THEN 'zh-Hant' ELSE 'unknown' END AS language,
+  (SELECT count(*) FROM pr WHERE pr.page_id = s.doc_id AND pr.start < s."end" AND pr."end" > s.start)::INT AS n_fragments FROM s3 s"""
+
+
+#: Markup that the ids of pages add to them, and what an inspection of forms finds in it.
+_PLANTED = [
+    ("<p>no form</p>", "", None), ('<input type="PassWord ">', "PASSWORD_TYPE", None), ('<select autocomplete="shipping cc-number"></select>', "PAYMENT_AUTOCOMPLETE", None), ('<textarea name="API Key"></textarea>', "SENSITIVE_NAME", None),
+    ("<div data-private>x</div>", "PRIVATE_PRESENCE", None), ('<input type="hidden" name="password" autocomplete="one-time-code">', "", None), ("<input>" * 129 + '<input name="cvv">', "SENSITIVE_NAME", "DOM_SCAN_BUDGET_EXCEEDED"),
+    ('<input name="' + "x" * 129 + '" type="password"><form role="form" name="otp" autocomplete="one-time-code">', "ONE_TIME_CODE_AUTOCOMPLETE,SENSITIVE_NAME", "DOM_SCAN_ERROR"),
+    ('<input type="password" autocomplete="new-password" name="pass_word">', "PASSWORD_AUTOCOMPLETE,PASSWORD_TYPE", None), ('<div role="search" data-bwignore></div><input name="passwords">', "PRIVATE_PRESENCE", None), ('<input name="card__number!" autocomplete="cc-csc cc-exp">', "PAYMENT_AUTOCOMPLETE,SENSITIVE_NAME", None),
+]
+
+
+@register("planted_signals", f"WITH f AS (SELECT * FROM (VALUES {', '.join(f'({i}, {chr(39)}{s}{chr(39)}, ' + ('NULL' if x is None else chr(39) + x + chr(39)) + ')' for i, (_, s, x) in enumerate(_PLANTED))}) v(i, signals, scan_failure)) SELECT page_id, signals, scan_failure FROM pages JOIN f ON page_id % {len(_PLANTED)} = i")
+def planted_signals(spark, sf_dir):
+    """Form signals of every page with markup planted by its id: types, autocompletion, names, private marks, budgets and faults."""
+    planted = F.get(F.lit([m for m, *_ in _PLANTED]), (F.col("page_id") % len(_PLANTED)).cast("int"))
+    pages = table(spark, sf_dir, "pages").withColumn("html", F.concat(planted, F.coalesce("html", F.lit(""))))
+    return P.form_signals(pages).select("page_id", F.array_join("signals", ",").alias("signals"), "scan_failure")
+
+
+#: The pages' own addresses through the SQL of url_policy, whose denylist they have none of.
+_POLICY_HEAD, _POLICY_REST = ORACLE_SQL["url_policy"].split("\np0 AS (", 1)
+ORACLE_SQL["page_signals"] = f"""{_POLICY_HEAD}
+p0 AS (SELECT page_id, array_to_string(list_filter(regexp_split_to_array(lower(regexp_extract(url, '^[a-z]+://[^/?#]*(.*)$', 1)), '[^a-z0-9-]+'), lambda w: w <> ''), ' ') AS words, false AS ambiguous, false AS other, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS host, false AS slash, false AS userinfo FROM pages),
+p1 AS {_POLICY_REST.split(chr(10) + "p1 AS ", 1)[1].replace("WHEN host = 'example.net' OR ends_with(host, '.example.net') THEN 'USER_DENYLIST' ", "")}"""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import gloss_cue_pos
+from ..functions.text import append, appended, gloss_cue_pos
 
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -132,12 +132,14 @@ def write_receipt(receipt: DataFrame, path: str) -> None:
 
 def gold_tokens(cases: DataFrame) -> DataFrame:
     """case_id, token_ix, surface, start, end of cases(id, text, surfaces); start is null from the first surface out of order."""
-    zero = F.struct(F.lit(0).alias("cursor"), F.array().cast("array<struct<surface:string,start:int>>").alias("out"))
+    kind = "struct<surface:string,start:int>"
+    zero = F.struct(F.lit(0).alias("cursor"), F.array().cast(f"array<{kind}>").alias("last"), F.array().cast(f"array<array<{kind}>>").alias("full"))
 
     def step(s, w):
         at = F.when(s["cursor"].isNotNull(), F.call_function("locate", w, F.col("text"), s["cursor"] + 1) - 1)
         found = F.when(at >= 0, at)
-        return F.struct((found + F.char_length(w)).alias("cursor"), F.concat(s["out"], F.array(F.struct(w.alias("surface"), found.alias("start")))).alias("out"))
+        last, full = append(s, F.struct(w.alias("surface"), found.alias("start")))
+        return F.struct((found + F.char_length(w)).alias("cursor"), last.alias("last"), full.alias("full"))
 
-    rows = cases.select(F.col("id").alias("case_id"), F.posexplode(F.aggregate("surfaces", zero, step, lambda s: s["out"])).alias("token_ix", "t"))
+    rows = cases.select(F.col("id").alias("case_id"), F.posexplode(F.aggregate("surfaces", zero, step, appended)).alias("token_ix", "t"))
     return rows.select("case_id", "token_ix", "t.surface", "t.start", (F.col("t.start") + F.char_length("t.surface")).alias("end"))

@@ -16,6 +16,7 @@ from pyspark.sql import Window
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions import text as X
 from ..operators import policy
 
 KEY_PARTS = ["text", "language_mode", "semantic_version", "grammar_version", "profile_revision", "lexical_version"]
@@ -226,24 +227,64 @@ def new_work(requests: DataFrame, done: DataFrame) -> DataFrame:
     return fresh.withColumn("_n", F.row_number().over(Window.partitionBy("analysis_key").orderBy("seq"))).where("_n = 1").drop("_n")
 
 
+PREFIX_DIGITS = 2  # hex digits of a key that name its partition of the result store: 256 partitions
+
+
+def key_prefix() -> Column:
+    """The first digits of an analysis key's hash, the partition that its result is stored in."""
+    return F.substring(F.regexp_replace("analysis_key", "^ak1:", ""), 1, PREFIX_DIGITS)
+
+
+def stored_keys(spark, path: str, batch: DataFrame, n: int) -> DataFrame:
+    """analysis_key of the results under path that a batch may meet, written by other batches than n.
+
+    Only partitions of the batch's own prefixes are read, which are told to the reader as a list (at most as many as there
+    are prefixes); of them, files and row groups outside the batch's range of keys are left out by their statistics.
+    """
+    try:
+        # The schema is told: without it a file would be opened to ask for it, and prefixes of digits be taken for numbers.
+        results = spark.read.schema("analysis_key string, batch long, prefix string").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return batch.select("analysis_key").limit(0)
+    own = batch.where("status = 'ok'").select("analysis_key", key_prefix().alias("prefix"))
+    asked = own.agg(F.collect_set("prefix").alias("prefixes"), F.min("analysis_key").alias("low"), F.max("analysis_key").alias("high")).first()
+    if not asked["prefixes"]:
+        return results.select("analysis_key").limit(0)
+    kept = results.where(F.col("prefix").isin(sorted(asked["prefixes"])) & (F.col("batch") != n))
+    return kept.where(F.col("analysis_key").between(asked["low"], asked["high"])).select("analysis_key")
+
+
 def annotate_batches(gated: DataFrame, annotate, out_path: str, checkpoint: str):
-    """A query that annotates each micro-batch's new keys once, under out_path by batch.
+    """A query that annotates each micro-batch's new keys once, under out_path by batch and prefix of the key.
 
-    A batch that is run again after a failure replaces its own rows; of the other batches' rows only the keys are read.
+    annotate keeps analysis_key. A batch that is run again after a failure replaces its own rows; of other batches' results
+    only the keys in the partitions that the batch's own keys fall into are read.
     """
 
     def each(batch: DataFrame, n: int) -> None:
-        try:
-            done = batch.sparkSession.read.parquet(out_path).where(F.col("batch") != n).select("analysis_key")
-        except AnalysisException as e:
-            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
-            done = batch.select("analysis_key").limit(0)
-        annotate(new_work(batch, done)).write.mode("overwrite").parquet(f"{out_path}/batch={n}")
+        fresh = X.settled(new_work(batch, stored_keys(batch.sparkSession, out_path, batch, n)))
+        found = annotate(fresh).withColumn("prefix", key_prefix())
+        found.repartition("prefix").sortWithinPartitions("prefix", "analysis_key").write.mode("overwrite").partitionBy("prefix").parquet(f"{out_path}/batch={n}")
 
     return gated.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
+def compact_results(spark, path: str, to: str, batch: int = -1) -> None:
+    """Copies the results under path to one file for each prefix under to, as one batch that comes before all others.
+
+    Each micro-batch leaves a file for each of its prefixes; a stream that is started anew on the copy reads few. Of keys
+    that two batches hold the later batch's rows stay.
+    """
+    found = spark.read.parquet(path).schema
+    kinds = ", ".join(f"`{f.name}` {'string' if f.name == 'prefix' else f.dataType.simpleString()}" for f in found)
+    results = spark.read.schema(kinds).parquet(path)
+    last = results.groupBy("analysis_key").agg(F.max("batch").alias("batch"))
+    kept = results.join(last, ["analysis_key", "batch"]).drop("batch")
+    kept.repartition("prefix").sortWithinPartitions("prefix", "analysis_key").write.partitionBy("prefix").parquet(f"{to}/batch={batch}")
+
+
 def coalesce_batches(changes: DataFrame, out_path: str, checkpoint: str):
     """A query that keeps of each micro-batch's changes(kind, path) the topmost paths of a kind, under out_path by batch.
 
