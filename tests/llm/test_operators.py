@@ -522,3 +522,12 @@ def test_a_words_shares_know_no_neighbours():
             low, high = x.first[last - len(word) + 1], x.first[last + 1] if last + 1 < len(x.first) else len(x.keys)
             found.append((x.keys[low:high].tolist(), x.ids[low:high].tolist()))
         assert all(f == found[0] for f in found) and found[0][0]
+
+
+def test_labels_apart_draw_the_same_sample(spark):
+    docs = documents(spark)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    joined = sampling.labelled_sample(toxicity.with_labels(docs, labels).where("text is not null"), "toxic", 20)
+    own = docs.where(remainder(F.col("doc_id"), 5) != 0).select(F.col("doc_id").alias("key"), "text", "lang")
+    apart = sampling.labelled_sample(own, "toxic", 20, labels.select(F.col("doc_id").alias("key"), "toxic"))
+    assert [(r.key, r.text, r.toxic) for r in joined] == [(r.key, r.text, r.toxic) for r in apart] and len(joined) > 10
