@@ -123,3 +123,15 @@ def query(spark, sf_dir):
     from .common import table
 
     return overlaps(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"), short_match=MATCH)
+
+
+#: query() for DuckDB, without seeds: equal words of documents and items are joined and counted on every diagonal.
+ORACLE_SQL = r"""WITH d AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+i AS (SELECT *, row_number() OVER () AS k, len(t) AS words, least(len(t), 20) AS stretch FROM (SELECT DISTINCT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS t FROM benchmark WHERE item_id IS NOT NULL)),
+w AS (SELECT doc_id, r, unnest(t) AS word, generate_subscripts(t, 1) AS p FROM (SELECT *, row_number() OVER () AS r FROM (SELECT DISTINCT doc_id, t FROM d))),
+v AS (SELECT item_id, k, stretch, unnest(t) AS word, generate_subscripts(t, 1) AS q FROM i WHERE words >= 5),
+m AS (SELECT doc_id, r, item_id, k, stretch, p - q AS shift, list(q) AS places FROM w JOIN v USING (word) GROUP BY ALL HAVING count(*) >= 0.8 * stretch - 1e-9),
+n AS (SELECT *, count(*) OVER (PARTITION BY r, k, shift ORDER BY q RANGE BETWEEN CURRENT ROW AND 19 FOLLOWING) AS n FROM (SELECT * EXCLUDE (places), unnest(places) AS q FROM m)),
+l AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(line), '[\p{L}\p{N}]+') AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d))
+SELECT doc_id, item_id, max(n)::BIGINT AS matched, max(stretch)::BIGINT AS stretch FROM n WHERE n >= 0.8 * stretch - 1e-9 GROUP BY ALL
+UNION ALL SELECT DISTINCT doc_id, item_id, words::BIGINT, words::BIGINT FROM l JOIN i USING (t) WHERE words BETWEEN 1 AND 4"""

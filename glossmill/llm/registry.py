@@ -23,5 +23,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_line_dedup": line_dedup.ORACLE_SQL,
     "op4_lm_score": lm.ORACLE_SQL,
+    "op5_decontaminate": decontamination.ORACLE_SQL,
     "op7_licenses": licenses.ORACLE_SQL,
 }
