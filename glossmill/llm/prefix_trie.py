@@ -289,3 +289,18 @@ def query(spark, sf_dir):
     from .common import table
 
     return trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+#: query() for DuckDB: names are chained SHA-256, subtree sums run over the ancestors of every node, CRC-32 over its eight steps a byte.
+ORACLE_SQL = r"""WITH o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS r, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda h, b: list_reduce([xor(h, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda z, s: CASE WHEN z & 1 = 1 THEN xor(z >> 1, 3988292384) ELSE z >> 1 END), 4294967295::BIGINT), 4294967295) % 6 AS h FROM (SELECT DISTINCT conv_id FROM o)),
+b AS (SELECT c.conv_id, 0 AS own, o.r, role, text FROM c JOIN o ON o.conv_id = c.base AND o.r <= h UNION ALL SELECT c.conv_id, 1, o.r, role, text FROM c JOIN o ON o.conv_id = c.conv_id AND o.r > h),
+l AS (SELECT conv_id, list({'name': sha256(role || chr(31) || text), 'all': []::VARCHAR[]} ORDER BY own, r) AS l, list(length(text) ORDER BY own, r) AS chars FROM b GROUP BY conv_id),
+k AS (SELECT c.conv_id, list_prepend('', coalesce(list_reduce(l, lambda t, x: {'name': sha256(t.name || x.name), 'all': list_append(t.all, sha256(t.name || x.name))}, {'name': '', 'all': []::VARCHAR[]}).all, [])) AS names, list_prepend(0, coalesce(chars, [])) AS chars FROM c LEFT JOIN l USING (conv_id)),
+p AS (SELECT conv_id, unnest(range(len(names))) AS depth, unnest(names) AS name, unnest(chars) AS chars, len(names) - 1 AS whole FROM k),
+n AS (SELECT depth, name, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(chars) AS saved, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = whole), '')) AS ends_sha256 FROM p GROUP BY ALL),
+u AS (SELECT n.*, up.name AS up FROM n LEFT JOIN p up ON up.conv_id = n.conv_id AND up.depth = n.depth - 1),
+q AS (SELECT up AS name, depth - 1 AS depth, count(*) AS n_children FROM u WHERE up IS NOT NULL GROUP BY ALL),
+s AS (SELECT p.depth, p.name, count(*) FILTER (q.name IS NULL) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM n LEFT JOIN q ON q.depth = n.depth AND q.name = n.name JOIN p ON p.conv_id = n.conv_id AND p.depth <= n.depth GROUP BY ALL)
+SELECT u.conv_id, u.depth, par.conv_id AS parent_conv_id, u.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, u.ends_sha256
+FROM u JOIN s USING (depth, name) LEFT JOIN q USING (depth, name) LEFT JOIN n par ON par.depth = u.depth - 1 AND par.name = u.up"""

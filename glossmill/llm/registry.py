@@ -25,4 +25,5 @@ ORACLE_SQL = {
     "op4_lm_score": lm.ORACLE_SQL,
     "op5_decontaminate": decontamination.ORACLE_SQL,
     "op7_licenses": licenses.ORACLE_SQL,
+    "op13_prefix_trie": prefix_trie.ORACLE_SQL,
 }
