@@ -63,27 +63,36 @@ def small(table: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
 
 
-def _fnv(data: Column, width: int) -> Column:
-    """32-bit FNV-1a over units of so many bytes; substring of a binary takes constant time, of a string it doesn't."""
-    step = lambda h, b: (h.bitwiseXOR(b) * F.lit(16777619).cast("long")).bitwiseAND(F.lit(4294967295).cast("long"))
-    basis = F.lit(2166136261).cast("long")
+_BASIS = 2166136261
 
+
+def _fnv_step(h: Column, unit: Column) -> Column:
+    return (h.bitwiseXOR(unit) * F.lit(16777619).cast("long")).bitwiseAND(F.lit(4294967295).cast("long"))
+
+
+def _fnv(text: Column, charset: str, width: int) -> Column:
+    """32-bit FNV-1a over units of so many bytes of text in a charset.
+
+    ASCII texts, whose units are their signs, are split into them; of others the bytes are cut by place, which takes
+    constant time in a binary.
+    """
     def of(d):
         unit = lambda i: F.conv(F.hex(F.substring(d, width * i + 1, F.lit(width))), 16, 10).cast("long")
         n = (F.octet_length(d) / width).cast("int")
-        return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), basis, lambda h, i: step(h, unit(i)))).otherwise(basis)
+        return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), F.lit(_BASIS).cast("long"), lambda h, i: _fnv_step(h, unit(i)))).otherwise(F.lit(_BASIS).cast("long"))
 
-    return F.when(data.isNotNull(), let(data, of))
+    signs = F.aggregate(F.split(text, ""), F.lit(_BASIS).cast("long"), lambda h, c: _fnv_step(h, F.ascii(c).cast("long")))
+    return F.when(text == "", F.lit(_BASIS).cast("long")).when(F.octet_length(text) == F.char_length(text), signs).when(text.isNotNull(), let(F.encode(text, charset), of))
 
 
 def fnv_bytes(text: Column) -> Column:
     """32-bit FNV-1a over UTF-8 bytes, as a long."""
-    return _fnv(F.encode(text, "UTF-8"), 1)
+    return _fnv(text, "UTF-8", 1)
 
 
 def fnv_units(text: Column) -> Column:
     """32-bit FNV-1a over UTF-16 code units, as a long."""
-    return _fnv(F.encode(text, "UTF-16BE"), 2)
+    return _fnv(text, "UTF-16BE", 2)
 
 
 def utf16_length(text: Column) -> Column:

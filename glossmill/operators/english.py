@@ -120,7 +120,7 @@ def best_direct(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     """
     order = F.struct((-F.col("confidence")).alias("a"), X.pos_rank(F.col("pos")).alias("b"), F.coalesce("lexical_ref", F.lit("")).alias("c"))
     best = lexicon.where("locale = 'en'").groupBy("norm").agg(F.min(F.struct(order.alias("o"), "pos", "confidence", "lemma", "lexical_ref")).alias("best"))
-    out = tokens.join(X.small(best, 1_000_000), "norm", "left")
+    out = tokens.join(X.small(X.settled(best), 1_000_000), "norm", "left")
     return out.select(*tokens.columns, F.coalesce("best.pos", F.lit("x")).alias("pos"), F.coalesce("best.confidence", F.lit(0.15)).alias("confidence"), F.col("best.lemma").alias("lemma"), F.col("best.lexical_ref").alias("lexical_ref"))
 
 

@@ -91,9 +91,9 @@ def max_surface_length(lexicon: DataFrame) -> DataFrame:
     return lexicon.groupBy(F.substring("norm", 1, 1).alias("first_char")).agg(F.max(F.char_length("norm")).alias("max_len"))
 
 
-def statistics(lexicon: DataFrame) -> DataFrame:
-    """Rows, surfaces and sources by locale."""
-    return lexicon.groupBy("locale").agg(F.count("*").alias("n_rows"), F.countDistinct("norm").alias("n_surfaces"), F.array_join(F.array_sort(F.collect_set("dataset_id")), ",").alias("datasets"))
+def statistics(lexicon: DataFrame, by: Column | str = "locale") -> DataFrame:
+    """Rows, surfaces and sources by locale, or by another column."""
+    return lexicon.groupBy(by).agg(F.count("*").alias("n_rows"), F.countDistinct("norm").alias("n_surfaces"), F.array_join(F.array_sort(F.collect_set("dataset_id")), ",").alias("datasets"))
 
 
 def gloss_dictionary(lexicon: DataFrame, buckets: int = 16) -> DataFrame:

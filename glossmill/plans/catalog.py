@@ -150,7 +150,8 @@ _BUCKET_SQL = FNV_SQL.format("norm") + " % 64"
 @register("lexicon_statistics", f"WITH {TOKENS_SQL}, {LEXICON_SQL} SELECT left(norm, 1) AS first_char, max(length(norm))::INT AS max_len, count(*) AS n_rows, count(DISTINCT norm) AS n_surfaces FROM lx GROUP BY 1")
 def lexicon_statistics(spark, sf_dir):
     lex = corpus(spark, sf_dir)[1]
-    return lex.groupBy(F.substring("norm", 1, 1).alias("first_char")).agg(F.max(F.char_length("norm")).alias("max_len"), F.count("*").alias("n_rows"), F.countDistinct("norm").alias("n_surfaces"))
+    counts = lexicon.statistics(lex, F.substring("norm", 1, 1).alias("first_char")).drop("datasets")
+    return lexicon.max_surface_length(lex).join(counts, "first_char")
 
 
 @register("lexicon_buckets", f"WITH {TOKENS_SQL}, {LEXICON_SQL} SELECT norm, pos, ({_BUCKET_SQL})::INT AS bucket FROM lx")
