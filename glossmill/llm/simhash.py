@@ -28,7 +28,6 @@ from functools import reduce
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -158,11 +157,27 @@ def local_links(fps: np.ndarray, dist: np.ndarray, radius: int) -> list[tuple[in
 
 
 def _linker(radius: int):
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        dist = np.ascontiguousarray(pdf[COORDINATES].to_numpy(np.int64)).view(np.uint8)
-        return pd.DataFrame(local_links(np.array(pdf["fp"].to_numpy()), dist, radius), columns=["a", "b"], dtype="int64")
-
-    return link
+    """Streams a partition sorted by table and key: the links inside each bucket, of which one is held at a time."""
+    def close(fps: list, dist: list) -> list:
+        found = local_links(np.concatenate(fps), np.concatenate(dist), radius) if fps else []
+        return [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])] if found else []
+
+    def run(batches):
+        known, fps, dist = None, [], []
+        for batch in batches:
+            bucket = np.stack([batch.column("t").to_numpy().astype(np.int64), batch.column("key").to_numpy()], axis=1)
+            own = batch.column("fp").to_numpy()
+            table = np.stack([batch.column(c).to_numpy() for c in COORDINATES], axis=1).view(np.uint8)
+            starts = [0, *(np.flatnonzero((bucket[1:] != bucket[:-1]).any(axis=1)) + 1).tolist()] if len(own) else []
+            for lo, hi in zip(starts, [*starts[1:], len(own)]):
+                if (at := tuple(bucket[lo])) != known:
+                    yield from close(fps, dist)
+                    known, fps, dist = at, [], []
+                fps.append(own[lo:hi].copy())
+                dist.append(table[lo:hi])
+        yield from close(fps, dist)
+
+    return run
 
 
 def links(fps: DataFrame, radius: int = 3, bucket: int = BUCKET) -> DataFrame:
@@ -175,7 +190,8 @@ def links(fps: DataFrame, radius: int = 3, bucket: int = BUCKET) -> DataFrame:
     # A bucket over the bound holds at least that many of the 10 n rows, so big keys are at most 10 n / bucket.
     big = stored(sizes.where(F.col("count") > bucket).select("t", "key"), "big-buckets")
     some = sizes.where(F.col("count").between(2, bucket)).select("t", "key")
-    small = keyed.join(some, ["t", "key"]).repartition("t", "key").groupBy("t", "key").applyInPandas(_linker(radius), "a long, b long")
+    sorted_ = keyed.join(some, ["t", "key"]).select("t", "key", "fp", *COORDINATES).repartition("t", "key").sortWithinPartitions("t", "key")
+    small = sorted_.mapInArrow(_linker(radius), "a long, b long")
     return small.unionByName(big_links(keyed.join(big, ["t", "key"], "left_semi"), radius)) if big.take(1) else small
 
 
