@@ -35,6 +35,7 @@ LEAST_WORDS = 5
 STRETCH = 20
 MATCH = 0.8
 BROADCAST_ROWS = 1_000_000  # of 24 bytes each
+DIAGONALS = 1000  # of a document in one row
 
 
 def token_hashes(text: Column) -> Column:
@@ -89,7 +90,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, short_match: float = 1.0) ->
     items = items.where(F.col("words") >= LEAST_WORDS)
     own = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")).alias("text_key"))
     found = hits(own.select("doc_id", "text_key", token_hashes(F.col("text")).alias("tokens")), items)
-    found = stored(found.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("item_id", "words", "shift")).alias("diagonals")), "diagonals")
+    # A document's diagonals are gathered in rows of about DIAGONALS, so one with very many is several rows.
+    found, text = stored(found, "diagonals"), ["doc_id", "text_key"]
+    rows = F.ceil(F.col("n") / DIAGONALS)
+    dealt = found.join(found.groupBy(*text).agg(F.count("*").alias("n")), text).withColumn("part", F.pmod(F.xxhash64("item_id", "shift"), rows))
+    found = stored(dealt.groupBy(*text, "part").agg(F.collect_list(F.struct("item_id", "words", "shift")).alias("diagonals")).drop("part"), "diagonal-lists")
     few = found.limit(BROADCAST_ROWS // 10 + 1).count() <= BROADCAST_ROWS // 10
     marked = own.join(F.broadcast(found) if few else found, ["doc_id", "text_key"])
     # A document's tokens are cut to the item's place before items are joined, so texts move no further.

@@ -37,7 +37,9 @@ def best(t, item):
     return found
 
 
-def test_overlaps_against_every_diagonal(spark):
+@pytest.mark.parametrize("diagonals", [1000, 3])
+def test_overlaps_against_every_diagonal(spark, monkeypatch, diagonals):
+    monkeypatch.setattr(decontamination, "DIAGONALS", diagonals)
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
     items = [[word() for _ in range(n)] for n in [*range(10, 22), 40, 100]]
