@@ -531,3 +531,24 @@ def test_labels_apart_draw_the_same_sample(spark):
     own = docs.where(remainder(F.col("doc_id"), 5) != 0).select(F.col("doc_id").alias("key"), "text", "lang")
     apart = sampling.labelled_sample(own, "toxic", 20, labels.select(F.col("doc_id").alias("key"), "toxic"))
     assert [(r.key, r.text, r.toxic) for r in joined] == [(r.key, r.text, r.toxic) for r in apart] and len(joined) > 10
+
+
+def test_neighbours_over_several_full_blocks(spark, tmp_path):
+    """Recall at the shipped block size, with three blocks, on clustered vectors and on ones without any structure."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(31)
+    n, dim = 3 * neighbours.BLOCK_ROWS - 500, 32
+    centres = rng.normal(size=(400, dim))
+    vectors = np.concatenate([centres[rng.integers(0, 400, n // 2)] + 0.3 * rng.normal(size=(n // 2, dim)), rng.normal(size=(n - n // 2, dim))])
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(vectors.ravel()), dim).cast(pa.list_(pa.float64()))}), str(tmp_path / "v.parquet"))
+    rows = spark.read.parquet(str(tmp_path / "v.parquet"))
+    asked = list(range(0, n, 700))
+    got = neighbours.search(rows, rows.where(F.col("vec_id").isin(asked)), 10).collect()
+    hits = 0
+    for q in asked:
+        d = np.sqrt(((vectors - vectors[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        hits += len({r.vec_id for r in got if r.query_id == q} & set(np.argsort(d, kind="stable")[:10].tolist()))
+    assert len(got) == 10 * len(asked) and hits >= 0.9 * len(got)
