@@ -32,7 +32,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 RARE = -20.0  # log weight of a character without a piece
 LONE = 1 << 20  # ids from here on stand for characters that are written as bytes
-MOST_EDGES = 5_000_000  # lattice edges that a task remembers
+MOST_EDGES = 2_000_000  # lattice edges that a task remembers
 
 
 def load(model_file: str = MODEL) -> dict:
@@ -247,7 +247,7 @@ def as_bytes(ids: np.ndarray, who: np.ndarray, byte_ids: np.ndarray, n: int) ->
     return ids, np.bincount(who, minlength=n).astype(np.int64)
 
 
-def _parts_of(texts: list, most: int = 1_000_000):
+def _parts_of(texts: list, most: int = 250_000):
     """Slices of texts of about so many characters, so that a batch of long texts takes no more memory."""
     start, chars = 0, 0
     for i, t in enumerate(texts):
