@@ -32,7 +32,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 RARE = -20.0  # log weight of a character without a piece
 LONE = 1 << 20  # ids from here on stand for characters that are written as bytes
-MOST_EDGES = 2_000_000  # lattice edges that a task remembers
+MOST_EDGES = 700_000  # lattice edges that a task remembers
 
 
 def load(model_file: str = MODEL) -> dict:
