@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import let, lower_words, stored
+from .common import cut_words, let, lower_words, stored
 
 BACKOFF = 0.4
 HOT_BIGRAMS = 2000
@@ -46,9 +46,17 @@ def word_hashes(text: Column) -> Column:
     return F.transform(lower_words(text), lambda w: F.xxhash64(w))
 
 
+def hashed_words(docs: DataFrame, *carry: str) -> DataFrame:
+    """The columns in carry and word, the hash of every word. Rows are filtered and hashed after the explode, as compiled code.
+
+    An outer explode, for a plain one lets the optimizer cut each text a second time, to filter empty arrays.
+    """
+    return docs.select(*carry, F.explode_outer(cut_words(F.col("text"))).alias("word")).where("word <> ''").select(*carry, F.xxhash64("word").alias("word"))
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """word, f of every word."""
-    return docs.select(F.explode(word_hashes(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("f"))
+    return hashed_words(docs).groupBy("word").agg(F.count("*").alias("f"))
 
 
 def moved_words(counts: DataFrame) -> DataFrame | None:
@@ -131,8 +139,7 @@ def scores(docs: DataFrame) -> DataFrame:
     n = counts.agg(F.sum("f")).first()[0] or 0
     small = counts.where("f > 1").limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
-    words = docs.select("doc", F.explode(word_hashes(F.col("text"))).alias("word"))
-    logs = add_logs(words, counts.where("f > 1"), "word", "log", n, small, F.col("doc")).groupBy("doc").agg(F.count("*").alias("n_words"), F.sum("log").alias("logs"))
+    logs = add_logs(hashed_words(docs, "doc"), counts.where("f > 1"), "word", "log", n, small, F.col("doc")).groupBy("doc").agg(F.count("*").alias("n_words"), F.sum("log").alias("logs"))
     texts = docs.groupBy("doc").agg(F.sum(F.when(F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"), 1).otherwise(0)).alias("n_texts"))
     both = texts.join(logs, "doc", "left").join(seen_sums(docs, counts, n, small), "doc", "left").na.fill(0)
     score = F.col("logs") - F.col("n_words") * math.log(max(n, 1)) + (F.col("n_words") - F.col("n_texts")) * math.log(BACKOFF) + F.col("gain")
