@@ -47,11 +47,6 @@ def words(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
-def lower_words(text: Column) -> Column:
-    """Words of a text in ASCII lower case, as words(ascii_lower(text)) but cut at one sign, which is faster."""
-    return F.filter(cut_words(text), lambda w: w != "")
-
-
 def cut_words(text: Column) -> Column:
     """Words of a text in ASCII lower case with empty strings among them, where white space repeats or stands at an end."""
     return F.split(F.translate(F.coalesce(text, F.lit("")), UPPER + SPACE[1:], LOWER + " " * (len(SPACE) - 1)), " ")

@@ -13,9 +13,10 @@ Words are 64-bit hashes. A bigram of two is one bigint: a word's id is the low 3
 smaller hash has the same, bit 31 and the next 31 bits. Moved words are a counted broadcast; where they are more than
 MOVED_ROWS, or two ids still meet, both whole hashes are the key instead. Either way no two words share a count.
 
-Bigrams that very many documents hold are found by approx_top_k, a sketch without a shuffle; they are dealt over
-slices by document and their partial counts, HOT_BIGRAMS * slices rows at most, summed apart. The sketch only steers
-the dealing. Word counts join by broadcast behind a count of their rows, else by shuffle with words of a large share
+Frequent bigrams are found first, by approx_top_k over a sixteenth of the documents. The pass that counts words counts
+them too, exactly and over all documents; their addends are a broadcast of HOT_BIGRAMS rows at most, taken up where the
+words' logarithms are summed. So they are never dealt, and no task gets all rows of one. The sketch only says which
+bigrams go this way. Word counts join by broadcast behind a count of their rows, else by shuffle with words of a large share
 (SHARES at most, by their exact counts) broadcast. Words that occur once need no row: their logarithm is 0.
 
 Defined cases: null, empty and blank texts have no words, score 0 and a null mean; a text of one word has a unigram
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import cut_words, let, lower_words, stored
+from .common import cut_words, stored
 
 BACKOFF = 0.4
 HOT_BIGRAMS = 2000
@@ -42,21 +43,38 @@ LOW = (1 << 31) - 1
 NOBODY = -(1 << 63)  # stands for a null doc_id
 
 
-def word_hashes(text: Column) -> Column:
-    return F.transform(lower_words(text), lambda w: F.xxhash64(w))
+def word_pairs(docs: DataFrame, *carry: str) -> DataFrame:
+    """The columns in carry, and the hashes first of every word and second of the word after it, null at a text's end.
 
+    Texts are cut once and hashed after the explode, as compiled code. An outer explode, for a plain one lets the
+    optimizer cut each text a second time, to filter empty arrays.
+    """
+    cut = docs.select(*carry, F.array_remove(cut_words(F.col("text")), "").alias("words"))
+    rows = cut.select(*carry, "words", F.posexplode_outer("words").alias("place", "word")).where("word IS NOT NULL")
+    after = F.get("words", F.col("place") + 1)
+    return rows.select(*carry, F.xxhash64("word").alias("first"), F.when(after.isNotNull(), F.xxhash64(after)).alias("second"))
 
-def hashed_words(docs: DataFrame, *carry: str) -> DataFrame:
-    """The columns in carry and word, the hash of every word. Rows are filtered and hashed after the explode, as compiled code.
 
-    An outer explode, for a plain one lets the optimizer cut each text a second time, to filter empty arrays.
-    """
-    return docs.select(*carry, F.explode_outer(cut_words(F.col("text"))).alias("word")).where("word <> ''").select(*carry, F.xxhash64("word").alias("word"))
+def pair_hash(first: str = "first") -> Column:
+    """One hash for a bigram, null where there is no second word."""
+    return F.when(F.col("second").isNotNull(), F.xxhash64(first, "second"))
+
+
+def hot_bigrams(docs: DataFrame) -> DataFrame:
+    """hot: hashes of bigrams that are frequent in a sixteenth of the documents, HOT_BIGRAMS at most."""
+    part = word_pairs(docs.where(F.pmod(F.xxhash64("doc", "text"), F.lit(16)) == 0)).where("second IS NOT NULL").select(pair_hash().alias("pair"))
+    top = part.agg(F.count("*").alias("n"), F.expr(f"approx_top_k(pair, {HOT_BIGRAMS}, {HOT_BIGRAMS * 20})").alias("top"))
+    return top.select("n", F.explode("top").alias("t")).where(F.col("t.count") > F.greatest(F.col("n") * 1e-4, F.lit(100))).select(F.col("t.item").alias("hot"))
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word, f of every word."""
-    return hashed_words(docs).groupBy("word").agg(F.count("*").alias("f"))
+def word_counts(docs: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """word, f of every word; with hot bigrams a word's rows before one stand apart, with second (else 0) and the documents low and high."""
+    rows = word_pairs(docs, *([] if hot is None else ["doc"]))
+    if hot is None:
+        return rows.groupBy(F.col("first").alias("word")).agg(F.count("*").alias("f"))
+    met = rows.join(F.broadcast(hot), pair_hash() == F.col("hot"), "left")
+    met = met.select(F.col("first").alias("word"), F.coalesce(F.when(F.col("hot").isNotNull(), F.col("second")), F.lit(0).cast("long")).alias("second"), F.when(F.col("hot").isNotNull(), F.col("doc")).alias("doc"))
+    return met.groupBy("word", "second").agg(F.count("*").alias("f"), F.min("doc").alias("low"), F.max("doc").alias("high"))
 
 
 def moved_words(counts: DataFrame) -> DataFrame | None:
@@ -76,29 +94,28 @@ def with_ids(rows: DataFrame, moved: DataFrame | None, column: str) -> DataFrame
     return rows.join(own, F.col(column) == F.col("_word"), "left").withColumn(column, F.coalesce("_id", F.col(column).bitwiseAND(F.lit(LOW).cast("long")), F.lit(0).cast("long"))).drop("_word", "_id")
 
 
-def bigrams(docs: DataFrame, moved: DataFrame | None) -> DataFrame:
-    """doc and the key of every bigram: gram where ids fit into one bigint, else first and second."""
-    pairs = let(word_hashes(F.col("text")), lambda h: F.arrays_zip(F.slice(h, F.lit(1), F.greatest(F.size(h) - 1, F.lit(0))).alias("first"), F.slice(h, F.lit(2), F.greatest(F.size(h) - 1, F.lit(0))).alias("second")))
-    rows = docs.select("doc", F.explode(pairs).alias("p")).select("doc", F.coalesce("p.first", F.lit(0).cast("long")).alias("first"), F.coalesce("p.second", F.lit(0).cast("long")).alias("second"))
-    if moved is None:
-        return rows
-    rows = with_ids(with_ids(rows, moved, "first"), moved, "second")
-    return rows.select("doc", F.coalesce(F.shiftleft("first", 32).bitwiseOR(F.col("second")), F.lit(0).cast("long")).alias("gram"))
+def hot_gains(parts: DataFrame, counts: DataFrame, n: int) -> DataFrame:
+    """hot, gain: what seeing a hot bigram adds, null where one document holds all of it. A hash that two bigrams share is not hot."""
+    same = parts.where("second <> 0").groupBy(pair_hash("word").alias("hot"))
+    rows = same.agg(F.count("*").alias("pairs"), *[F.min(c).alias(name) for c, name in (("word", "first"), ("second", "second"), ("f", "c"), ("low", "low"), ("high", "high"))]).where("pairs = 1")
+    few = counts.join(F.broadcast(rows.select(F.explode(F.array("first", "second")).alias("word"))), "word", "left_semi")
+    for column in ("first", "second"):
+        rows = rows.join(F.broadcast(few.select(F.col("word").alias(column), F.log("f").alias(f"log_{column}"))), column)
+    return rows.select("hot", F.when(F.col("low") < F.col("high"), gain(n)).alias("gain"))
+
 
+def gain(n: int) -> Column:
+    return F.log("c") - F.col("log_first") - F.col("log_second") + math.log(max(n, 1)) - math.log(BACKOFF)
 
-def dealt_bigrams(docs: DataFrame, moved: DataFrame | None) -> tuple[DataFrame, list[str]]:
-    """doc, key and slice of every bigram, partitioned by key and slice (-1, or of hot bigrams one by document)."""
-    rows = bigrams(docs, moved)
-    key = [c for c in rows.columns if c != "doc"]
-    whole = F.xxhash64(*key)
-    part = bigrams(docs.where(F.pmod(F.xxhash64("doc", "text"), F.lit(16)) == 0), moved)
-    top = part.agg(F.count("*").alias("n"), F.expr(f"approx_top_k(xxhash64({', '.join(key)}), {HOT_BIGRAMS}, {HOT_BIGRAMS * 20})").alias("top"))
-    found = top.select("n", F.explode("top").alias("t")).where(F.col("t.count") > F.greatest(F.col("n") * 1e-4, F.lit(100))).select(F.col("t.item").alias("hot"))
-    hot = F.broadcast(stored(found, "hot-bigrams"))
-    slices = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = rows.join(hot, whole == F.col("hot"), "left")
-    slice_ = F.coalesce(F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("doc"), F.lit(slices)).cast("int")), F.lit(-1))
-    return met.select("doc", *key, slice_.alias("slice")).repartition(*key, "slice"), key
+
+def dealt_bigrams(docs: DataFrame, hot: DataFrame, moved: DataFrame | None) -> tuple[DataFrame, list[str]]:
+    """doc and key of every bigram that is not hot, partitioned by key: gram where ids fit into one bigint, else first and second."""
+    rows = word_pairs(docs, "doc").where("second IS NOT NULL").join(F.broadcast(hot), pair_hash() == F.col("hot"), "left_anti")
+    rows = rows.withColumn("second", F.coalesce("second", F.lit(0).cast("long")))
+    if moved is None:
+        return rows.repartition("first", "second"), ["first", "second"]
+    rows = with_ids(with_ids(rows, moved, "first"), moved, "second")
+    return rows.select("doc", F.coalesce(F.shiftleft("first", 32).bitwiseOR(F.col("second")), F.lit(0).cast("long")).alias("gram")).repartition("gram"), ["gram"]
 
 
 def add_logs(rows: DataFrame, counts: DataFrame, column: str, name: str, n: int, small: bool, spread: Column) -> DataFrame:
@@ -114,36 +131,40 @@ def add_logs(rows: DataFrame, counts: DataFrame, column: str, name: str, n: int,
     return met.withColumn(name, F.coalesce("_hl", "_l", F.lit(0.0))).drop("_w", "_l", "_h", "_hl", "_k")
 
 
-def seen_sums(docs: DataFrame, counts: DataFrame, n: int, small: bool) -> DataFrame:
-    """doc, n_seen, gain: how many bigrams of a document are seen, and what they add to its score."""
+def seen_sums(docs: DataFrame, counts: DataFrame, hot: DataFrame, n: int, small: bool) -> DataFrame:
+    """doc, n_seen, gain: how many bigrams of a document, hot ones aside, are seen, and what they add to its score."""
     moved = moved_words(counts)
-    rows, key = dealt_bigrams(docs, moved)
-    parts = rows.groupBy(*key, "slice").agg(F.count("*").alias("c"), F.min("doc").alias("low"), F.max("doc").alias("high"))
-    totals = parts.where("slice >= 0").groupBy(*key).agg(F.sum("c").alias("all_c"), F.min("low").alias("all_low"), F.max("high").alias("all_high"))
-    totals = F.broadcast(stored(totals, "hot-totals"))  # HOT_BIGRAMS rows at most
-    table = parts.join(totals, key, "left").select(*key, "slice", F.coalesce("all_c", "c").alias("c"), F.coalesce("all_low", "low").alias("low"), F.coalesce("all_high", "high").alias("high")).where("low < high")
+    rows, key = dealt_bigrams(docs, hot, moved)
+    table = rows.groupBy(*key).agg(F.count("*").alias("c"), F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
     if moved is not None:
         table = table.withColumns({"first": F.shiftrightunsigned("gram", 32), "second": F.col("gram").bitwiseAND(F.lit((1 << 32) - 1))})
     logs = with_ids(counts.where("f > 1"), moved, "word")
     for column in ("first", "second"):
-        table = add_logs(table, logs, column, f"log_{column}", n, small, F.concat_ws(" ", *key, "slice"))
-    gain = F.log("c") - F.col("log_first") - F.col("log_second") + math.log(max(n, 1)) - math.log(BACKOFF)
-    met = rows.join(table.select(*key, "slice", gain.alias("gain")).hint("shuffle_hash"), [*key, "slice"])
+        table = add_logs(table, logs, column, f"log_{column}", n, small, F.concat_ws(" ", *key))
+    met = rows.join(table.select(*key, gain(n).alias("gain")).hint("shuffle_hash"), key)
     return met.groupBy("doc").agg(F.count("*").alias("n_seen"), F.sum("gain").alias("gain"))
 
 
+def word_sums(docs: DataFrame, counts: DataFrame, hot: DataFrame, n: int, small: bool) -> DataFrame:
+    """doc, n_words, n_pairs, logs, hot_seen, hot_gain of documents with words: sums over words and over hot bigrams."""
+    rows = word_pairs(docs, "doc").join(F.broadcast(hot), pair_hash() == F.col("hot"), "left")
+    rows = rows.select("doc", F.col("first").alias("word"), F.col("second").isNotNull().cast("int").alias("pair"), "gain")
+    met = add_logs(rows, counts.where("f > 1"), "word", "log", n, small, F.col("doc"))
+    return met.groupBy("doc").agg(F.count("*").alias("n_words"), F.sum("pair").alias("n_pairs"), F.sum("log").alias("logs"), F.count("gain").alias("hot_seen"), F.sum("gain").alias("hot_gain"))
+
+
 def scores(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_seen, log_score, mean_log_score for docs(doc_id, text)."""
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NOBODY)).alias("doc"), "text")
-    counts = stored(word_counts(docs), "word-counts")
+    parts = stored(word_counts(docs, stored(hot_bigrams(docs), "hot-bigrams")), "word-parts")
+    counts = stored(parts.groupBy("word").agg(F.sum("f").alias("f")), "word-counts")
     n = counts.agg(F.sum("f")).first()[0] or 0
     small = counts.where("f > 1").limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    hot = stored(hot_gains(parts, counts, n), "hot-gains")
 
-    logs = add_logs(hashed_words(docs, "doc"), counts.where("f > 1"), "word", "log", n, small, F.col("doc")).groupBy("doc").agg(F.count("*").alias("n_words"), F.sum("log").alias("logs"))
-    texts = docs.groupBy("doc").agg(F.sum(F.when(F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"), 1).otherwise(0)).alias("n_texts"))
-    both = texts.join(logs, "doc", "left").join(seen_sums(docs, counts, n, small), "doc", "left").na.fill(0)
-    score = F.col("logs") - F.col("n_words") * math.log(max(n, 1)) + (F.col("n_words") - F.col("n_texts")) * math.log(BACKOFF) + F.col("gain")
-    return both.select(F.nullif(F.col("doc"), F.lit(NOBODY)).alias("doc_id"), "n_words", "n_seen", F.round(score, 4).alias("log_score"), F.round(score / F.nullif(F.col("n_words"), F.lit(0)), 6).alias("mean_log_score"))
+    both = docs.select("doc").distinct().join(word_sums(docs, counts, hot, n, small), "doc", "left").join(seen_sums(docs, counts, hot, n, small), "doc", "left").na.fill(0)
+    score = F.col("logs") - F.col("n_words") * math.log(max(n, 1)) + F.col("n_pairs") * math.log(BACKOFF) + F.col("gain") + F.col("hot_gain")
+    return both.select(F.nullif(F.col("doc"), F.lit(NOBODY)).alias("doc_id"), "n_words", (F.col("n_seen") + F.col("hot_seen")).alias("n_seen"), F.round(score, 4).alias("log_score"), F.round(score / F.nullif(F.col("n_words"), F.lit(0)), 6).alias("mean_log_score"))
 
 
 def query(spark, sf_dir):
