@@ -50,9 +50,9 @@ def word_pairs(docs: DataFrame, *carry: str) -> DataFrame:
     optimizer cut each text a second time, to filter empty arrays.
     """
     cut = docs.select(*carry, F.array_remove(cut_words(F.col("text")), "").alias("words"))
-    rows = cut.select(*carry, "words", F.posexplode_outer("words").alias("place", "word")).where("word IS NOT NULL")
-    after = F.get("words", F.col("place") + 1)
-    return rows.select(*carry, F.xxhash64("word").alias("first"), F.when(after.isNotNull(), F.xxhash64(after)).alias("second"))
+    pairs = F.arrays_zip("words", F.slice("words", F.lit(2), F.size("words")))
+    rows = cut.select(*carry, F.inline_outer(pairs).alias("word", "after")).where("word IS NOT NULL")
+    return rows.select(*carry, F.xxhash64("word").alias("first"), F.when(F.col("after").isNotNull(), F.xxhash64("after")).alias("second"))
 
 
 def pair_hash(first: str = "first") -> Column:

@@ -1,6 +1,7 @@
 """Frequent bigrams of the language model are counted in the pass that counts words, exactly and without a pass of their own."""
 
 import math
+import re
 from collections import Counter
 
 import pytest
@@ -70,3 +71,5 @@ def test_words_are_cut_as_compiled_code(spark, capsys):
     lm.word_pairs(spark.createDataFrame([(1, "a  b")], "doc long, text string"), "doc").explain()
     plan = capsys.readouterr().out
     assert "lambda" not in plan and plan.count("split(") == 1
+    carried = re.search(r"Generate .*\), \[(.*?)\], true", plan)[1]
+    assert "doc#" in carried and "words#" not in carried
