@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from .projection import CHANNELS
 
 # The fields of a profile, their choices, ranges and defaults.
@@ -20,27 +23,60 @@ DEFAULT_ID, MIGRATED_ID = "default", "migrated"
 SAFE = 2**53 - 1
 
 
+PATHS = [*FIELDS, *(f"{name}.{field}" for name, fields in NESTED.items() for field in fields)]
+OLDER = {"posLabel": "posLabels", "posColor": "posColors"}
+WHOLE = "_whole"
+NUMBERS = [*UNITS, *LIMITS, *(f"runtimeBudgets.{k}" for k in BUDGETS)]
+
+
 def at(path: str, kind: str = "variant", column: str = "profile") -> Column:
     """The value at a path as a kind; null where there is none or where it is something else."""
     return F.try_variant_get(F.col(column), f"$.{path}", kind)
 
 
-def kind_of(path: str) -> Column:
-    """boolean, integer, number, string, object, array, null, or SQL null where there is no such field."""
-    found = F.schema_of_variant(at(path))
+def _own(what: str, path: str) -> str:
+    return f"_{what}_{path.replace('.', '_')}"
+
+
+def opened(raw: DataFrame, numbers: bool = True) -> DataFrame:
+    """raw(.., profile) with what kind_of() and number() read: columns that hold whether it is an object, each field's kind, and the numbers.
+
+    A field is looked up once for a row; as columns, schemas and kinds are not spelled again in each rule that asks for them.
+    """
+    paths = [*PATHS, *OLDER.values()]
+    out = raw.withColumns({_own("schema", p): F.schema_of_variant(at(p)) for p in paths} | {WHOLE: F.coalesce(F.schema_of_variant("profile").startswith("OBJECT"), F.lit(False))})
+    out = out.withColumns({_own("kind", p): _kind(F.col(_own("schema", p))) for p in paths}).drop(*(_own("schema", p) for p in paths))
+    return out.withColumns({_own("number", p): _number(p) for p in NUMBERS}) if numbers else out
+
+
+def closed(rows: DataFrame) -> DataFrame:
+    """rows without the columns of opened()."""
+    return rows.drop(WHOLE, *(_own("kind", p) for p in [*PATHS, *OLDER.values()]), *(_own("number", p) for p in NUMBERS))
+
+
+def _kind(found: Column) -> Column:
     return (
         F.when(found == "BOOLEAN", "boolean").when(found == "BIGINT", "integer").when(found.rlike("^(DOUBLE|DECIMAL|FLOAT)"), "number").when(found == "STRING", "string")
         .when(found.startswith("OBJECT"), "object").when(found.startswith("ARRAY"), "array").when(found == "VOID", "null")
     )
 
 
-def number(path: str) -> Column:
-    """The number that a value stands for: numbers, numerals, true and false, null as 0."""
+def kind_of(path: str) -> Column:
+    """boolean, integer, number, string, object, array, null, or SQL null where there is no such field; for opened() rows."""
+    return F.col(_own("kind", path))
+
+
+def _number(path: str) -> Column:
     kind = kind_of(path)
     text = F.trim(at(path, "string"))
     return F.when(kind.isin("integer", "number"), at(path, "double")).when(kind == "string", F.when(text == "", 0.0).otherwise(text.try_cast("double"))).when(kind == "boolean", at(path, "boolean").cast("double")).when(kind == "null", 0.0)
 
 
+def number(path: str) -> Column:
+    """The number that a value stands for: numbers, numerals, true and false, null as 0; for opened() rows."""
+    return F.col(_own("number", path))
+
+
 def clamped(path: str, low: float, high: float, default: float) -> Column:
     found = number(path)
     finite = found.isNotNull() & ~F.isnan(found) & (F.abs(found) != float("inf"))
@@ -57,6 +93,16 @@ def parsed(raw: DataFrame, text: str = "json") -> DataFrame:
     return raw.withColumn("profile", F.try_parse_json(text))
 
 
+def per_text(raw: DataFrame, of: Callable[[DataFrame], DataFrame], text: str = "json", rows: int = 10_000) -> DataFrame:
+    """raw with the columns that of() adds to a table of its distinct texts, so that a profile that many rows spell is read once.
+
+    Up to so many distinct texts are broadcast, more are joined by shuffle. Distinct texts are exchanged into all partitions, as
+    few bytes make much work. Rows whose text is null get what of() makes of null.
+    """
+    found = X.small(X.settled(of(X.by_key(raw.select(text).distinct(), text)).withColumnRenamed(text, "_text")), rows)
+    return raw.join(found, F.col(text).eqNullSafe(F.col("_text"))).drop("_text")
+
+
 def migrated(raw: DataFrame) -> DataFrame:
     """raw(.., profile) with the fields of a current profile, from a current, partial or older one.
 
@@ -64,14 +110,12 @@ def migrated(raw: DataFrame) -> DataFrame:
     empty. Columns: profile_id, profile_revision, enabled, language_mode, trigger_mode, label_position, density,
     min_confidence, channels (map), runtime_budgets (map), max_text_nodes, max_marked_tokens.
     """
-    older = {"posLabel": "posLabels", "posColor": "posColors"}
-
     def switch(name: str) -> Column:
         if name == "learningState":
             return F.lit(False)
-        default = F.lit(name in older)
+        default = F.lit(name in OLDER)
         own = F.when(kind_of(f"channels.{name}") == "boolean", at(f"channels.{name}", "boolean"))
-        return F.coalesce(own, *([F.when(kind_of(older[name]) == "boolean", at(older[name], "boolean"))] if name in older else []), default)
+        return F.coalesce(own, *([F.when(kind_of(OLDER[name]) == "boolean", at(OLDER[name], "boolean"))] if name in OLDER else []), default)
 
     def choice(name: str, text: Column) -> Column:
         options, default = CHOICES[name]
@@ -84,12 +128,12 @@ def migrated(raw: DataFrame) -> DataFrame:
     revision = F.when((kind_of("profileRevision") == "integer") & at("profileRevision", "bigint").between(0, SAFE), at("profileRevision", "bigint")).otherwise(0)
     pairs = lambda values: F.create_map(*(x for k, v in values.items() for x in (F.lit(k), v)))
     budgets = {k: rounded(clamped(f"runtimeBudgets.{k}", k != "viewportBufferPx", most, most)) for k, most in BUDGETS.items()}
-    return raw.withColumns({
+    return closed(opened(raw).withColumns({
         "profile_id": F.coalesce(name, F.when(current, DEFAULT_ID).otherwise(MIGRATED_ID)), "profile_revision": revision.cast("long"), "enabled": F.coalesce(F.when(kind_of("enabled") == "boolean", at("enabled", "boolean")), F.lit(True)),
         "language_mode": choice("languageMode", mode), "trigger_mode": choice("triggerMode", text("triggerMode")), "label_position": choice("labelPosition", text("labelPosition")),
         "density": clamped("density", 0, 1, UNITS["density"]), "min_confidence": clamped("minConfidence", 0, 1, UNITS["minConfidence"]),
         "channels": pairs({c: switch(c) for c in SWITCHES}), "runtime_budgets": pairs(budgets), "max_text_nodes": rounded(clamped("maxTextNodes", *LIMITS["maxTextNodes"])), "max_marked_tokens": rounded(clamped("maxMarkedTokens", *LIMITS["maxMarkedTokens"])),
-    })
+    }))
 
 
 def _rules() -> dict[str, Column]:
@@ -111,7 +155,7 @@ def violations(raw: DataFrame) -> DataFrame:
 
     OBJECT:path where an object should be, MISSING:path, UNKNOWN:path, INVALID:path. Fields inside what is no object are not named.
     """
-    whole = F.coalesce(F.schema_of_variant("profile").startswith("OBJECT"), F.lit(False))
+    whole = F.col(WHOLE)
     inside = {name: F.coalesce(kind_of(name) == "object", F.lit(False)) for name in NESTED}
     found = [F.when(~whole, F.lit("OBJECT:profile"))]
     keys = lambda value: F.coalesce(F.json_object_keys(F.to_json(value)), F.array().cast("array<string>"))
@@ -120,11 +164,11 @@ def violations(raw: DataFrame) -> DataFrame:
     for name, fields in NESTED.items():
         found.append(F.when(whole & kind_of(name).isNotNull() & ~inside[name], F.lit(f"OBJECT:{name}")))
         unknown.append(F.when(inside[name], others(at(name), fields, f"{name}.")))
-    paths = [(name, whole) for name in FIELDS] + [(f"{name}.{field}", inside[name]) for name, fields in NESTED.items() for field in fields]
     rules = _rules()
-    for path, there in paths:
+    for path in PATHS:
+        there = inside[path.split(".")[0]] if "." in path else whole
         found.append(F.when(there & kind_of(path).isNull(), F.lit(f"MISSING:{path}")))
         if path in rules:
             found.append(F.when(there & kind_of(path).isNotNull() & ~F.coalesce(rules[path], F.lit(False)), F.lit(f"INVALID:{path}")))
     none = F.array().cast("array<string>")
-    return raw.withColumn("codes", F.array_sort(F.concat(F.array_compact(F.array(*found)), *(F.coalesce(u, none) for u in unknown))))
+    return closed(opened(raw, numbers=False).withColumn("codes", F.array_sort(F.concat(F.array_compact(F.array(*found)), *(F.coalesce(u, none) for u in unknown)))))

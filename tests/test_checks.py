@@ -86,3 +86,19 @@ def test_segments_of_a_long_text_with_signs_beyond_the_basic_plane(spark):
     docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
     runs = projection.segments(docs, spark.createDataFrame([(1, a, b) for a, b in spans], "doc_id long, start int, end int")).orderBy("doc_id", "seg_ix").collect()
     assert "".join(r.text for r in runs) == text and len(runs) == 80_000 and {r.text for r in runs if r.marked} == {"a\U0001f600"}
+
+
+def test_a_profile_of_many_rows_is_read_once(spark):
+    texts = [json.dumps({"profileId": "a", "density": 2}), "[1]", None]
+    raw = spark.createDataFrame([(i, texts[i % 3]) for i in range(300)], "id int, json string")
+    read = []
+
+    def of(distinct):
+        read.append(distinct.count())
+        return profiles.migrated(profiles.violations(profiles.parsed(distinct))).select("json", "codes", "profile_id", "density")
+
+    for rows in (10_000, 1):
+        found = {(r.id, tuple(r.codes), r.profile_id, r.density) for r in profiles.per_text(raw, of, rows=rows).collect()}
+        whole = profiles.migrated(profiles.violations(profiles.parsed(raw)))
+        assert found == {(r.id, tuple(r.codes), r.profile_id, r.density) for r in whole.collect()} and len(found) == 300
+    assert read == [3, 3]
