@@ -67,6 +67,19 @@ def test_gold_offsets(spark):
     assert [(r.start, r.end) for r in D.gold_tokens(cases).orderBy("token_ix").collect()] == [(0, 4), (7, 11), (None, None)]
 
 
+def test_gold_tokens_of_a_long_text(spark):
+    import time
+
+    words = [f"wörd{i % 7}" for i in range(60_000)]
+    cases = spark.createDataFrame([(1, " ".join(words), words), (2, "a b", ["b", "a", "b"]), (3, "a b", ["", "b", None, "b"]), (4, None, ["a"]), (5, "a", None)], "id long, text string, surfaces array<string>")
+    began = time.time()
+    found = {(r.case_id, r.token_ix): (r.start, r.end) for r in D.gold_tokens(cases).collect()}
+    assert time.time() - began < 30
+    assert all(found[1, i] == (6 * i, 6 * i + 5) for i in range(60_000)) and len(found) == 60_008
+    assert [found[2, i] for i in range(3)] == [(2, 3), (None, None), (None, None)]
+    assert [found[3, i] for i in range(4)] == [(0, 0), (2, 3), (None, None), (None, None)] and found[4, 0] == (None, None)
+
+
 def test_buckets_write_and_verify(spark, tmp_path):
     lex = lexicon.seed_lexicon(spark)
     lexicon.write_buckets(lex, str(tmp_path / "lex"), 8)
