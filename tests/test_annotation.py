@@ -191,3 +191,21 @@ def test_annotator_hook(spark):
     only_nouns = lambda tokens: tokens.where("pos = 'n'")
     out = annotate(docs(spark, "The child reads books."), lexicon.seed_lexicon(spark), lexicon.seed_morphology(spark), "en", only_nouns)
     assert sorted(r.norm for r in out.collect()) == ["books", "child"]
+
+
+def test_each_language_is_analysed_once(spark):
+    """Overlaps and roles are told in one pass over the tokens of both languages."""
+    from glossmill.plans.annotate import annotate
+
+    docs = spark.createDataFrame([(1, "the dog 卡拉OK runs OKs x卡拉"), (2, "OK 卡拉OK卡拉OK a"), (3, None)], "doc_id long, text string")
+    han = spark.createDataFrame([("卡拉OK", "zh-Hant", "n", 0.8, "k", "verified")], "norm string, locale string, pos string, confidence double, lexical_ref string, tier string")
+    lex = lexicon.seed_lexicon(spark).where("locale = 'en'").unionByName(han, allowMissingColumns=True)
+    for evidence in (False, True):
+        found = annotate(docs, lex, lexicon.seed_morphology(spark), "both", evidence=evidence)
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("collect_list(") == 1
+        rows = found.orderBy("doc_id", "start").collect()
+        assert [(r.doc_id, r.surface, r.start, r.end, r.language) for r in rows] == [
+            (1, "the", 0, 3, "en"), (1, "dog", 4, 7, "en"), (1, "卡拉OK", 8, 12, "zh-Hant"), (1, "runs", 13, 17, "en"), (1, "OKs", 18, 21, "en"), (1, "x", 22, 23, "en"), (1, "卡", 23, 24, "zh-Hant"), (1, "拉", 24, 25, "zh-Hant"),
+            (2, "OK", 0, 2, "en"), (2, "卡拉OK", 3, 7, "zh-Hant"), (2, "卡拉OK", 7, 11, "zh-Hant"), (2, "a", 12, 13, "en"),
+        ]
+        assert all(r.grammar_role is None and r.chunk is None for r in rows if r.language != "en")
